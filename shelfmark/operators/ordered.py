@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,33 +140,28 @@ def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    start: Callable[[], object],
-    step: Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]],
+    step: Callable[[pd.DataFrame, np.ndarray, object], tuple[pd.DataFrame, object]],
     schema: str,
 ) -> DataFrame:
     """Fold over each key's rows in order, with only one batch in memory.
 
-    Rows are sorted by Spark (which spills); the state of the current key is
-    carried from one Arrow batch to the next, so no group is ever collected.
+    Rows are sorted by Spark (which spills). ``step`` gets a batch, a flag per
+    row that is true where a new key starts, and the state left by the batch
+    before, so no group is ever collected.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: tuple | None = None
+        last: tuple | None = None
         state: object = None
         for batch in batches:
             if batch.empty:
                 continue
             marks = batch[keys]
-            fresh = marks.ne(marks.shift()).any(axis=1)
-            fresh.iloc[0] = True
-            parts = []
-            for _, part in batch.groupby(fresh.cumsum().to_numpy(), sort=False):
-                key = tuple(part[keys].iloc[0])
-                if key != current:
-                    current, state = key, start()
-                done, state = step(part, state)
-                parts.append(done)
-            yield pd.concat(parts)
+            fresh = marks.ne(marks.shift()).any(axis=1).to_numpy()
+            fresh[0] = tuple(marks.iloc[0]) != last
+            last = tuple(marks.iloc[-1])
+            done, state = step(batch, fresh, state)
+            yield done
 
     placed = df.repartition(*[F.col(key) for key in keys])
     return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
