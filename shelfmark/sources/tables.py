@@ -9,6 +9,7 @@ One writer at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,20 +37,23 @@ class PageTable:
         return F.pmod(F.xxhash64(F.col(self.page).cast("string")), F.lit(self.buckets)).cast("int")
 
     def _log(self) -> DataFrame:
-        shape = "generation bigint, bucket int, batch string"
+        shape = "generation string, bucket int, batch string"
         if not path_exists(self.spark, self.log_path):
             return self.spark.createDataFrame([], shape)
         return self.spark.read.schema(shape).json(self.log_path)
 
-    def generation(self) -> int:
-        return self._log().agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0]
+    def _next_generation(self) -> str:
+        """Sorts after every published one; unique, so a dead attempt is never mixed in."""
+        last = self._log().agg(F.max("generation")).first()[0]
+        number = int(last.split("-")[0]) + 1 if last else 1
+        return f"{number:012d}-{uuid.uuid4().hex}"
 
     def applied(self, batch: str) -> bool:
         """Whether a change with this id was already made (for retried batches)."""
         return bool(self._log().where(F.col("batch") == batch).limit(1).count())
 
     def _stored(self) -> DataFrame:
-        columns = f"{self.schema}, generation bigint, bucket int"
+        columns = f"{self.schema}, generation string, bucket int"
         if not path_exists(self.spark, self.rows_path):
             return self.spark.createDataFrame([], columns)
         return self.spark.read.schema(columns).parquet(self.rows_path)
@@ -66,7 +70,7 @@ class PageTable:
         return current.drop("generation", "bucket")
 
     def _publish(self, rows: DataFrame, buckets: list[int], batch: str) -> None:
-        generation = self.generation() + 1
+        generation = self._next_generation()
         placed = rows.withColumn("generation", F.lit(generation)).withColumn("bucket", self._bucket())
         # Rebalancing splits an overfull bucket over several tasks and files.
         (
@@ -76,7 +80,7 @@ class PageTable:
             .parquet(self.rows_path)
         )
         entries = [(generation, bucket, batch) for bucket in buckets]
-        log = self.spark.createDataFrame(entries, "generation bigint, bucket int, batch string")
+        log = self.spark.createDataFrame(entries, "generation string, bucket int, batch string")
         log.coalesce(1).write.mode("append").json(self.log_path)
 
     def _change(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame], batch: str) -> None:
