@@ -40,6 +40,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """A number with a fixed count of decimals, rounded from its exact binary value."""
+    return F.replace(F.format_number(value.cast("double"), decimals), F.lit(","), F.lit(""))
+
+
 def estimate_tokens(text: Column) -> Column:
     """Four characters make one token, rounded up; null counts as empty."""
     return F.ceil(F.coalesce(F.length(text), F.lit(0)) / F.lit(CHARS_PER_TOKEN)).cast("long")
@@ -204,7 +209,7 @@ def hit_block(title: Column, score: Column, url: Column, content: Column, rank:
         F.lit("### "),
         F.coalesce(title, F.concat(F.lit("Result "), rank.cast("string"))),
         F.lit(" (score="),
-        F.format_string("%.3f", score.cast("double")),
+        fixed(score, 3),
         F.lit(")"),
         F.when(F.length(url) > 0, F.concat(F.lit("\nSource: "), url)).otherwise(F.lit("")),
         F.lit("\n"),

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import fixed
+
 DEFAULT_K = (1, 3, 5, 10)
 
 
@@ -129,8 +131,8 @@ def winners(metrics: DataFrame, config: str = "config") -> DataFrame:
         "value",
         F.coalesce(F.col("value") == F.col("__best"), F.lit(False)).alias("is_best"),
         F.when(F.col("value").isNull(), F.lit("—"))
-        .when(F.col("value") == F.col("__best"), F.concat(F.lit("**"), F.format_string("%.4f", "value"), F.lit("**")))
-        .otherwise(F.format_string("%.4f", "value"))
+        .when(F.col("value") == F.col("__best"), F.concat(F.lit("**"), fixed(F.col("value"), 4), F.lit("**")))
+        .otherwise(fixed(F.col("value"), 4))
         .alias("cell"),
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import is_probably_german, whole_word
+from shelfmark.functions.text import fixed, is_probably_german, whole_word
 
 # Limits of the decision rules.
 CONFIDENCE_FLOOR = 0.4
@@ -205,7 +205,7 @@ def comments_block(lines: Column) -> Column:
 def cache_hit_line(key: Column, score: Column, strong: Column, question: Column, resolution: Column) -> Column:
     mark = F.when(strong, F.lit(", strong match")).otherwise(F.lit(""))
     return F.concat(
-        F.lit("["), key, F.lit(" — similarity "), F.format_string("%.2f", score), mark, F.lit("]\nQuestion: "),
+        F.lit("["), key, F.lit(" — similarity "), fixed(score, 2), mark, F.lit("]\nQuestion: "),
         question, F.lit("\nResolution: "), resolution,
     )
 

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("search",)
+_MODULES = ("search", "evaluation", "answers")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
