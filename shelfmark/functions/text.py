@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def whole_word(pattern: str) -> str:
     return f"{_NOT_AFTER_WORD}(?:{pattern}){_NOT_BEFORE_WORD}"
 
 
+def let(value: Column, build: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once per row and use it many times in ``build``.
+
+    Spark does not share common parts inside the lambdas of array functions.
+    """
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
@@ -143,8 +153,6 @@ def markdown_to_html(text: Column) -> Column:
     Splitting at the fence lines leaves prose at even and code at odd places,
     so no state has to be carried from line to line.
     """
-    sections = F.split(text, _FENCE_LINE, -1)
-    last = F.size(sections) - 1
 
     def prose_line(line: Column) -> Column:
         level = F.length(F.regexp_extract(line, r"\A(#{1,6})\s+.+", 1))
@@ -157,18 +165,21 @@ def markdown_to_html(text: Column) -> Column:
 
     def prose(section: Column) -> Column:
         lines = F.array_compact(F.transform(F.split(section, "\n", -1), prose_line))
-        return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+        return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
-    def code(section: Column, place: Column) -> Column:
-        closed = place < last
+    def code(section: Column, closed: Column) -> Column:
         body = F.when(closed, F.regexp_replace(section, r"\n\z", "")).otherwise(section)
         block = F.concat(F.lit("<pre><code>"), escape_markup(body), F.lit("</code></pre>"))
         return F.when(closed | (F.length(section) > 0), block)
 
-    parts = F.transform(
-        sections, lambda s, place: F.when(place % 2 == 0, prose(s)).otherwise(code(s, place))
-    )
-    return F.array_join(F.array_compact(parts), "\n")
+    def convert(sections: Column) -> Column:
+        last = F.size(sections) - 1
+        parts = F.transform(
+            sections, lambda s, place: F.when(place % 2 == 0, prose(s)).otherwise(code(s, place < last))
+        )
+        return F.array_join(F.array_compact(parts), "\n")
+
+    return let(F.split(text, _FENCE_LINE, -1), convert)
 
 
 def local_page_id(relative_path: Column) -> Column:
@@ -223,6 +234,10 @@ def trim_to_budget(blocks: Column, budget_tokens: int, separator: str = BLOCK_SE
     ``blocks`` is an array holding at most one search's hits, so this is a
     short fold inside the row.
     """
+    return let(blocks, lambda b: _trim(b, budget_tokens, separator))
+
+
+def _trim(blocks: Column, budget_tokens: int, separator: str) -> Column:
     most = budget_tokens * CHARS_PER_TOKEN
     full = F.array_join(blocks, separator)
     gap = len(separator)

@@ -124,14 +124,17 @@ def token_windows(text: Column, max_tokens: int, overlap_tokens: int) -> Column:
     if overlap_tokens >= max_tokens:
         raise ValueError("overlap_tokens must be smaller than max_tokens")
     step = max_tokens - overlap_tokens
-    tokens = F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), F.lit(1))
-    beyond = F.greatest(F.size(tokens) - F.lit(max_tokens), F.lit(0))
-    last = F.ceil(beyond / F.lit(step)).cast("int")
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: tx.strip(F.array_join(F.slice(tokens, i * step + 1, F.lit(max_tokens)), "")),
-    )
-    return F.when(F.size(tokens) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def cut(tokens: Column) -> Column:
+        beyond = F.greatest(F.size(tokens) - F.lit(max_tokens), F.lit(0))
+        last = F.ceil(beyond / F.lit(step)).cast("int")
+        windows = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: tx.strip(F.array_join(F.slice(tokens, i * step + 1, F.lit(max_tokens)), "")),
+        )
+        return F.when(F.size(tokens) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), F.lit(1)), cut)
 
 
 def _fixed_size(pages: DataFrame, params: Mapping[str, Any]) -> DataFrame:

@@ -107,33 +107,40 @@ def parse_model_reply(reply: Column, most: int | None = None) -> Column:
     candidate = F.when(trimmed.rlike(fence), tx.strip(F.regexp_extract(trimmed, fence, 1))).otherwise(trimmed)
     span = F.regexp_extract(candidate, r"(\{[\s\S]*\})", 1)
     parsed = F.coalesce(F.try_parse_json(candidate), F.try_parse_json(F.nullif(span, F.lit(""))))
+    return tx.let(parsed, lambda document: _questions(document, most))
 
+
+def _questions(parsed: Column, most: int | None) -> Column:
     def kind(value: Column) -> Column:
         return F.schema_of_variant(value)
 
-    is_object = kind(parsed).startswith("OBJECT")
-    listed = F.try_variant_get(parsed, "$.questions", "variant")
-    items = F.when(listed.isNotNull(), F.try_variant_get(parsed, "$.questions", "array<variant>")).otherwise(
-        F.array(parsed)
-    )
-
     def field(item: Column, name: str) -> Column:
         value = F.try_variant_get(item, f"$.{name}", "variant")
         return F.when(kind(value) == "STRING", tx.strip(F.try_variant_get(item, f"$.{name}", "string")))
 
-    questions = F.transform(items, lambda i: F.struct(field(i, "question").alias("question"), field(i, "rationale").alias("rationale")))
-    broken = F.exists(
-        questions,
-        lambda q: (F.coalesce(F.length(q["question"]), F.lit(0)) == 0) | q["rationale"].isNull(),
-    )
-    error = (
-        F.when(parsed.isNull(), "no JSON found")
-        .when(~is_object, "not a JSON object")
-        .when(items.isNull() | (F.size(items) == 0), "questions must be a non-empty array")
-        .when(broken, "question or rationale missing")
+    def entry(item: Column) -> Column:
+        return F.struct(field(item, "question").alias("question"), field(item, "rationale").alias("rationale"))
+
+    listed = F.try_variant_get(parsed, "$.questions", "variant")
+    items = F.when(listed.isNotNull(), F.try_variant_get(parsed, "$.questions", "array<variant>")).otherwise(
+        F.array(parsed)
     )
-    kept = F.slice(questions, 1, most) if most else questions
-    return F.struct(F.when(error.isNull(), kept).alias("questions"), error.alias("error"))
+
+    def check(questions: Column) -> Column:
+        broken = F.exists(
+            questions,
+            lambda q: (F.coalesce(F.length(q["question"]), F.lit(0)) == 0) | q["rationale"].isNull(),
+        )
+        error = (
+            F.when(parsed.isNull(), "no JSON found")
+            .when(~kind(parsed).startswith("OBJECT"), "not a JSON object")
+            .when(questions.isNull() | (F.size(questions) == 0), "questions must be a non-empty array")
+            .when(broken, "question or rationale missing")
+        )
+        kept = F.slice(questions, 1, most) if most else questions
+        return F.struct(F.when(error.isNull(), kept).alias("questions"), error.alias("error"))
+
+    return tx.let(F.transform(items, entry), check)
 
 
 # Rich-text nodes that end a line.
