@@ -159,6 +159,11 @@ def number_queries(asked: DataFrame) -> DataFrame:
     )
 
 
+def golden_pairs(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The golden set in long form: one row per query and relevant chunk."""
+    return pairs.join(queries, "source_chunk_id")
+
+
 def golden_records(queries: DataFrame, pairs: DataFrame, generated_by: str, generated_at: str) -> DataFrame:
     """One record per query in export shape (camelCase, one array per query).
 

@@ -217,3 +217,28 @@ def cache_hits_block(lines: Column) -> Column:
 
 def context_block(context: Column) -> Column:
     return _block("retrieved_context", F.coalesce(context, F.lit("")), "(none retrieved)")
+
+
+def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, agent: str) -> DataFrame:
+    """A model's input as ordered rows (ticket_key, section, place, text).
+
+    Section 0 is the ticket, 1 its comments, 2 the retrieved context. Rows stay
+    separate, so a ticket with very many comments is no problem; the text is
+    joined where the model is called.
+    """
+    head = tickets.select(
+        "ticket_key", F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"),
+        ticket_block(*[F.col(c) for c in ("ticket_key", "issue_type", "status", "reporter_name", "summary", "description")]).alias("text"),
+    )
+    keys = tickets.select("ticket_key")
+    said = comments.join(keys, "ticket_key", "left_semi").select(
+        "ticket_key", F.lit(1).alias("section"), F.col("place").cast("long").alias("place"),
+        comment_line(F.col("author"), F.col("author_name"), F.col("body"), agent).alias("text"),
+    )
+    silent = keys.join(comments, "ticket_key", "left_anti").select(
+        "ticket_key", F.lit(1).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("(none)").alias("text")
+    )
+    found = keys.join(context.select("ticket_key", "context"), "ticket_key", "left").select(
+        "ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), context_block(F.col("context")).alias("text")
+    )
+    return head.unionByName(said).unionByName(silent).unionByName(found)

@@ -348,21 +348,19 @@ def golden_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 asked AS (
   SELECT *, trim(regexp_extract(content, '\\A\\s*([^.!?]*[.!?])', 1), {TRIM}) AS query FROM sample),
 numbered AS (
-  SELECT *, format('q_{{:03d}}', row_number() OVER (ORDER BY place)) AS query_id FROM asked WHERE query <> ''),
-listed AS (
-  SELECT source_chunk_id, string_agg(chunk_id, ',' ORDER BY NOT is_source, chunk_index, chunk_id) AS relevant FROM pairs GROUP BY source_chunk_id)
-SELECT query_id, query, relevant, page_id::VARCHAR AS source_page, title AS source_title
-FROM numbered JOIN listed ON source_chunk_id = chunk_id""",
+  SELECT *, format('q_{{:03d}}', row_number() OVER (ORDER BY place)) AS query_id FROM asked WHERE query <> '')
+SELECT query_id, query, p.chunk_id, p.is_source, p.chunk_index::BIGINT AS chunk_index, page_id::VARCHAR AS source_page, title AS source_title
+FROM numbered n JOIN pairs p ON p.source_chunk_id = n.chunk_id""",
 )
 def golden_build(spark: SparkSession, folder: str) -> DataFrame:
-    """Sample, question, neighbours and dense ids: the records of a golden set."""
+    """Sample, question, dense ids and relevant chunks of a golden set, one row per pair."""
     good = gd.valid_chunks(lines(spark, folder))
     sample = gd.sample_chunks(good, SAMPLE)
     asked = gd.number_queries(gd.first_sentence_questions(sample))
-    records = gd.golden_records(asked, gd.neighbours(sample, good, SAMPLE), "first sentence", "2024-06-01T00:00:00Z")
-    return records.select(
-        F.col("queryId").alias("query_id"), "query", F.array_join("relevantChunkIds", ",").alias("relevant"),
-        F.col("metadata.sourcePageId").cast("string").alias("source_page"), F.col("metadata.sourcePageTitle").alias("source_title"),
+    pairs = gd.golden_pairs(asked, gd.neighbours(sample, good, SAMPLE))
+    return pairs.select(
+        "query_id", "query", "chunk_id", "is_source", "chunk_index", F.col("page_id").cast("string").alias("source_page"),
+        F.col("title").alias("source_title"),
     )
 
 
