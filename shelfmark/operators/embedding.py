@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.functions.text import words
-
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -49,39 +47,46 @@ def embed(
     return df.mapInPandas(run, schema)
 
 
-def hash_bucket(word: Column, width: int) -> Column:
+_WORD_CACHE = 1 << 20
+
+
+def hash_bucket(word: str, width: int) -> int:
     """Bucket of a word: the first four hex digits of its MD5, modulo the width."""
-    return (F.conv(F.left(F.md5(word), F.lit(4)), 16, 10).cast("int") % F.lit(width)).cast("int")
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:4], 16) % width
 
 
-def hashed_words(df: DataFrame, text: str | Column, *, width: int = 64, name: str = "vector") -> DataFrame:
-    """The offline default: word counts per hash bucket.
+def hashed_words(df: DataFrame, text: str, *, width: int = 64, name: str = "vector") -> DataFrame:
+    """The offline default: word counts per hash bucket; texts without words give null.
 
-    Words are cut and hashed in the JVM; Python only counts bucket numbers,
-    one vectorised step per Arrow batch. Texts without words give null.
+    Each Arrow batch is lowered, cut and counted by vectorised calls; only the
+    distinct words of a batch are hashed one by one, and those once per task.
     """
-    column = F.col(text) if isinstance(text, str) else text
-    rest = df.columns
-    buckets = F.transform(words(F.lower(column)), lambda w: hash_bucket(w, width))
-    staged = df.select(*rest, buckets.alias("__buckets"))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("__buckets"))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            cell = row * width + lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.bincount(cell, minlength=batch.num_rows * width).astype(np.float32)
+            column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+            lists = pc.split_pattern_regex(pc.utf8_lower(column), pattern="[ \t\n\x0b\f\r]+")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            encoded = lists.flatten().dictionary_encode()
+            if len(known) > _WORD_CACHE:
+                known.clear()
+            buckets = []
+            for word in encoded.dictionary.to_pylist():
+                bucket = known.get(word)
+                if bucket is None:
+                    bucket = known[word] = hash_bucket(word, width) if word else -1
+                buckets.append(bucket)
+            bucket = np.array(buckets, dtype=np.int64)[encoded.indices.to_numpy()]
+            row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+            counts = np.bincount(row * width + bucket, minlength=batch.num_rows * width).astype(np.float32)
+            empty = np.bincount(row, minlength=batch.num_rows) == 0
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
-            vectors = pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(counts), mask=pa.array(sizes == 0)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(rest))], vectors], names=[*rest, name]
-            )
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts), mask=pa.array(empty))
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, name])
 
-    return staged.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def hashed_embedder(width: int) -> Embedder:
@@ -91,8 +96,7 @@ def hashed_embedder(width: int) -> Embedder:
         rows = np.zeros((len(texts), width), dtype=np.float32)
         for place, text in enumerate(texts):
             for word in text.lower().split():
-                digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-                rows[place, int(digest[:4], 16) % width] += 1
+                rows[place, hash_bucket(word, width)] += 1
         return rows.tolist()
 
     return run

@@ -44,8 +44,8 @@ marked AS (
   FROM tight),
 blocks AS (SELECT page_id, url, replace(body, '</div>', chr(10) || chr(10)) AS body FROM marked),
 plain AS (
-  SELECT page_id, url, replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]+>', '', 'g'),
-    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]+>', '', 'g'),
+    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text
   FROM blocks)"""
 
 
