@@ -29,6 +29,7 @@ def take_tokens(
 ) -> tuple[list[bool], list[int], tuple[float, float] | None]:
     """Token bucket over events in order; returns decisions and waiting times."""
     allowed, wait = [], []
+    burst = float(burst)
     tokens, last = state or (burst, 0.0)
     for now, first in zip(at_ms, fresh):
         if first:
