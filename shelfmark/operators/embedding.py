@@ -55,13 +55,19 @@ def hash_bucket(word: str, width: int) -> int:
     return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:4], 16) % width
 
 
-def hashed_words(df: DataFrame, text: str, *, width: int = 64, name: str = "vector") -> DataFrame:
+def hashed_words(
+    df: DataFrame, text: str, *, width: int = 64, name: str = "vector", keep_text: bool = True
+) -> DataFrame:
     """The offline default: word counts per hash bucket; texts without words give null.
 
+    Select the columns you need beforehand: what passes through Python cannot
+    be pruned. ``keep_text=False`` leaves the text itself out of the result.
+
     Each Arrow batch is lowered, cut and counted by vectorised calls; only the
     distinct words of a batch are hashed one by one, and those once per task.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
+    kept = [c for c in df.columns if keep_text or c != text]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -84,7 +90,8 @@ def hashed_words(df: DataFrame, text: str, *, width: int = 64, name: str = "vect
             empty = np.bincount(row, minlength=batch.num_rows) == 0
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
             vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts), mask=pa.array(empty))
-            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, name])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, vectors], names=[*kept, name])
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,9 @@ meets every corpus block once, again keeping only ``k`` rows per query and
 block. Both ways are exact and give the same rows.
 
 Scores are rounded to nine decimals before ranking, so ranks do not depend on
-the order in which a product was summed. Ties are broken by chunk id.
+the order in which a product was summed. Ties are broken by chunk id. Products
+are first taken in single precision; everything that could still be among the
+best k, given the largest possible error, is scored again in double precision.
 """
 
 from __future__ import annotations
@@ -54,23 +56,43 @@ def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return merged if isinstance(merged, pa.Array) else pa.concat_arrays(merged.chunks)
 
 
-def unit_rows(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
-    """A list column as a matrix of unit rows; zero vectors become NaN rows."""
+def matrix_of(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
+    """A list column as a matrix; all lists must have the same width."""
     lists = _one(column)
     rows = len(lists)
     if rows == 0:
         return np.zeros((0, width or 0))
-    lengths = pc.list_value_length(lists)
-    found = pc.min_max(lengths)
+    found = pc.min_max(pc.list_value_length(lists))
     low, high = found["min"].as_py(), found["max"].as_py()
     if low != high or (width is not None and low != width):
         raise ValueError(f"vectors of different widths: {low} to {high}, expected {width or low}")
-    matrix = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, low)
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(rows, low)
+
+
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision; zero vectors become NaN rows."""
+    matrix = matrix.astype(np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
         return matrix / np.where(norms == 0, np.nan, norms)
 
 
+@dataclass(frozen=True)
+class Scored:
+    """Scores of some rows against all queries: rows x queries, -inf for no hit.
+
+    ``rough`` is within ``error`` of the true score, which ``exact`` gives for
+    single (row, query) cells.
+    """
+
+    rough: np.ndarray
+    error: float
+    exact: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+Scorer = Callable[[pa.Table | pa.RecordBatch, int, int], Scored]
+
+
 class BestRows:
     """The best k (score, id) per query seen so far."""
 
@@ -81,18 +103,18 @@ class BestRows:
         self.ids: np.ndarray | None = None
         self.floor = np.full(queries, -np.inf)
 
-    def offer(self, scores: np.ndarray, ids: pa.Array, threshold: float | None) -> None:
-        """``scores`` is rows x queries; -inf marks a row that does not count."""
+    def offer(self, part: Scored, ids: pa.Array, threshold: float | None) -> None:
+        """Take in the rows of one part that may still be among the best."""
+        scores = part.rough
         rows = scores.shape[0]
-        margin = 10.0**-SCORE_DECIMALS
+        bound = self.floor - part.error
         if rows > self.k:
             kth = np.partition(scores, rows - self.k, axis=0)[rows - self.k]
-            bound = np.maximum(self.floor, kth)
-        else:
-            bound = self.floor
-        keep = (scores >= bound - margin) & (scores > -np.inf)
-        row, query = np.nonzero(keep)
-        score = np.round(scores[row, query], SCORE_DECIMALS)
+            bound = np.maximum(bound, kth - 2 * part.error)
+        if threshold is not None:
+            bound = np.maximum(bound, threshold - part.error)
+        row, query = np.nonzero((scores >= bound) & (scores > -np.inf))
+        score = np.round(part.exact(row, query), SCORE_DECIMALS)
         if threshold is not None:
             passing = score >= threshold
             row, query, score = row[passing], query[passing], score[passing]
@@ -120,9 +142,6 @@ class BestRows:
         return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-Scorer = Callable[[pa.Table | pa.RecordBatch, int, int], np.ndarray]
-
-
 def _scope_mask(queries: pa.Table) -> Callable[[pa.Array], np.ndarray] | None:
     """Rows x queries mask of the scopes each query may see; null means all."""
     if "scopes" not in queries.column_names:
@@ -145,14 +164,33 @@ def _scope_mask(queries: pa.Table) -> Callable[[pa.Array], np.ndarray] | None:
 
 
 def dense_scorer(queries: pa.Table) -> Scorer:
-    """Cosine similarity; NaN rows (zero vectors) never count."""
-    matrix = unit_rows(queries.column("vector"))
-
-    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int) -> np.ndarray:
-        part = unit_rows(_one(batch.column("vector")).slice(start, rows), matrix.shape[1])
-        scores = part @ matrix.T
-        scores[np.isnan(scores)] = -np.inf
-        return scores
+    """Cosine similarity; zero vectors never count."""
+    wanted = unit_rows(matrix_of(queries.column("vector")))
+    rough_wanted = wanted.astype(np.float32).T.copy()
+    width = wanted.shape[1]
+    # Largest error of a single-precision product of two unit rows, with room.
+    error = (width + 8) * 1.2e-7 + 10.0**-SCORE_DECIMALS
+    step = max(1, _CELLS_PER_STEP // max(1, width))
+
+    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int) -> Scored:
+        raw = matrix_of(_one(batch.column("vector")).slice(start, rows), width)
+        single = raw.astype(np.float32)
+        norms = np.linalg.norm(single, axis=1, keepdims=True)
+        odd = ~np.isfinite(norms[:, 0]) | (norms[:, 0] < 1e-15)
+        if odd.any():  # too long or too short for single precision
+            single = unit_rows(raw).astype(np.float32)
+            norms = np.ones((rows, 1), dtype=np.float32)
+        rough = (single / norms) @ rough_wanted
+        rough[np.isnan(rough)] = -np.inf
+
+        def exact(row: np.ndarray, query: np.ndarray) -> np.ndarray:
+            out = np.empty(len(row))
+            for place in range(0, len(row), step):
+                some = slice(place, place + step)
+                out[some] = np.einsum("ij,ij->i", unit_rows(raw[row[some]]), wanted[query[some]])
+            return out
+
+        return Scored(rough, error, exact)
 
     return score
 
@@ -172,7 +210,7 @@ def lexical_scorer(queries: pa.Table) -> Scorer:
     starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, dtype=np.int64)
     totals = np.bincount(owner, minlength=len(terms)).astype(np.float64)
 
-    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int) -> np.ndarray:
+    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int) -> Scored:
         lists = _one(batch.column("terms")).slice(start, rows)
         sizes_here = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         row = np.repeat(np.arange(rows), sizes_here)
@@ -187,7 +225,8 @@ def lexical_scorer(queries: pa.Table) -> Scorer:
         hits = np.bincount(cell_row * len(totals) + cell_query, minlength=rows * len(totals))
         hits = hits.reshape(rows, len(totals)).astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(hits > 0, hits / totals, -np.inf)
+            shares = np.where(hits > 0, hits / totals, -np.inf)
+        return Scored(shares, 10.0**-SCORE_DECIMALS, lambda row, query: shares[row, query])
 
     return score
 
@@ -213,13 +252,13 @@ class _BlockSearch:
         step = max(1, _CELLS_PER_STEP // max(1, len(self.ids)))
         for start in range(0, batch.num_rows, step):
             rows = min(step, batch.num_rows - start)
-            scores = self.score(batch, start, rows)
+            scored = self.score(batch, start, rows)
             part = ids.slice(start, rows)
             if self.mask:
-                scores[~self.mask(scope.slice(start, rows))] = -np.inf
+                scored.rough[~self.mask(scope.slice(start, rows))] = -np.inf
             if self.own is not None:
-                scores[_numpy(part)[:, None] == self.own[None, :]] = -np.inf
-            self.best.offer(scores, part, self.threshold)
+                scored.rough[_numpy(part)[:, None] == self.own[None, :]] = -np.inf
+            self.best.offer(scored, part, self.threshold)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -294,7 +333,8 @@ def _grid_topk(
     row_bytes = max(1, 2 * sample.nbytes // max(1, sample.num_rows))
     block_rows = max(1, min(limits.query_rows, limits.query_bytes // row_bytes))
     query_blocks = max(1, math.ceil(asked.count() / block_rows))
-    corpus_blocks = max(1, math.ceil(corpus.count() / limits.corpus_block_rows))
+    chunk_rows = max(1, min(limits.corpus_block_rows, limits.query_bytes // row_bytes))
+    corpus_blocks = max(1, math.ceil(corpus.count() / chunk_rows))
 
     def block_of(key: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

@@ -35,8 +35,8 @@ def sub_query_hits(
     parts = rt.expand(questions).withColumn(
         "query_id", F.concat_ws("/", F.col("question_id").cast("string"), F.col("sub_idx").cast("string"))
     )
-    vectors = hashed_words(parts, "sub_query", width=width)
-    hits = rt.search_many(corpus, vectors.select("query_id", "vector"), k=k, threshold=threshold, limits=limits)
+    vectors = hashed_words(parts.select("query_id", "sub_query"), "sub_query", width=width, keep_text=False)
+    hits = rt.search_many(corpus, vectors, k=k, threshold=threshold, limits=limits)
     place = F.split("query_id", "/", 2)
     question_type = questions.schema["question_id"].dataType
     numbered = hits.select(

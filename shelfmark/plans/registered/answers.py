@@ -33,7 +33,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return hashed_words(documents(spark, folder), "content", width=WIDTH).select("chunk_id", "vector")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return hashed_words(texts, "text", width=WIDTH, keep_text=False)
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

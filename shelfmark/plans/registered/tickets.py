@@ -283,7 +283,7 @@ def cached_questions(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "documents").select(
         F.concat(F.lit("D-"), F.col("doc_id")).alias("ticket_key"), F.col("source").alias("project_key"), "text"
     )
-    return hashed_words(texts, "text", width=WIDTH)
+    return hashed_words(texts, "text", width=WIDTH, keep_text=False)
 
 
 def asked_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,7 +292,7 @@ def asked_questions(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
         F.concat(F.lit("src"), F.col("turn")).alias("project_key"), "text",
     )
-    return hashed_words(turns, "text", width=WIDTH)
+    return hashed_words(turns, "text", width=WIDTH, keep_text=False)
 
 
 CACHE_SQL = f"""asked AS (SELECT conv_id || '-' || turn AS query_id, 'src' || turn AS project_key, text FROM conversations WHERE role = 'user'),

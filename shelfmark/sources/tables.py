@@ -19,8 +19,8 @@ from shelfmark.operators.merge import delete_pages, replace_pages, upsert
 from shelfmark.sources.files import path_exists
 
 DEFAULT_BUCKETS = 64
-# At most one log row per bucket is broadcast; this bounds the number.
-MAX_BUCKETS = 65_536
+# A reader lists one generation per bucket in its partition filter.
+MAX_BUCKETS = 4096
 
 
 class PageTable:
@@ -61,12 +61,14 @@ class PageTable:
     def read(self, touched: DataFrame | None = None) -> DataFrame:
         """The current rows; with ``touched`` only the buckets of those pages.
 
-        Partition columns prune the scan to each bucket's newest generation.
+        One row of the log per bucket (a bounded number) becomes a filter on
+        the partition columns, so other files are not even opened.
         """
         newest = self._log().groupBy("bucket").agg(F.max("generation").alias("generation"))
         if touched is not None:
             newest = newest.join(touched.select(self._bucket().alias("bucket")).distinct(), "bucket", "left_semi")
-        current = self._stored().join(F.broadcast(newest), ["generation", "bucket"], "left_semi")
+        wanted = [f"{row['generation']}/{row['bucket']}" for row in newest.collect()]
+        current = self._stored().where(F.concat_ws("/", "generation", F.col("bucket").cast("string")).isin(wanted))
         return current.drop("generation", "bucket")
 
     def _publish(self, rows: DataFrame, buckets: list[int], batch: str) -> None:

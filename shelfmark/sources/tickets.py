@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import strip
 from shelfmark.operators.records import rich_text
 
 _USER = "struct<accountId: string, displayName: string>"
@@ -29,7 +30,10 @@ def parse_tickets(df: DataFrame, column: str) -> DataFrame:
 
 
 def _plain(body: Column) -> Column:
-    return rich_text(F.to_json(body))
+    """Plain strings are handled in the JVM; only document trees go to Python."""
+    is_text = F.schema_of_variant(body) == "STRING"
+    tree = rich_text(F.when(~is_text, F.to_json(body)))
+    return F.when(is_text, strip(F.try_variant_get(body, "$", "string"))).otherwise(tree)
 
 
 def normalize_tickets(tickets: DataFrame) -> DataFrame:
