@@ -1,16 +1,18 @@
 """Pages to chunks with swappable strategies.
 
-A strategy turns the page table into rows with an array of pieces; numbering,
-ids, totals and the context prefix are added the same way for all of them,
-without a shuffle, because a page's pieces sit in its own row.
+A strategy turns page rows into piece rows; ids and the context prefix are
+added the same way for all of them. Nothing is shuffled, because a page's
+pieces all come from its own row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,21 +20,21 @@ from pyspark.sql import types as T
 from shelfmark.functions import html as markup
 from shelfmark.functions import text as tx
 
-PIECE = T.StructType(
-    [
-        T.StructField("header_path", T.ArrayType(T.StringType())),
-        T.StructField("content", T.StringType()),
-        T.StructField("content_type", T.StringType()),
-    ]
-)
-PIECES = T.ArrayType(PIECE)
+PIECE_FIELDS = [
+    T.StructField("header_path", T.ArrayType(T.StringType())),
+    T.StructField("content", T.StringType()),
+    T.StructField("content_type", T.StringType()),
+    T.StructField("chunk_index", T.LongType()),
+    T.StructField("total_chunks", T.LongType()),
+]
+Piece = tuple[list[str], str, str]
 
 Strategy = Callable[[DataFrame, Mapping[str, Any]], DataFrame]
 _STRATEGIES: dict[str, Strategy] = {}
 
 
 def register_chunker(name: str, strategy: Strategy) -> None:
-    """Add a strategy: it gets pages with ``html`` and adds ``pieces`` (see PIECES)."""
+    """Add a strategy: pages with ``html`` become rows with the PIECE_FIELDS."""
     _STRATEGIES[name] = strategy
 
 
@@ -43,20 +45,58 @@ def get_chunker(name: str) -> Strategy:
     return _STRATEGIES[name]
 
 
-def _per_page(
-    pages: DataFrame, name: str, kind: T.DataType, convert: Callable[[str], Any]
-) -> DataFrame:
-    """One Arrow-batched pass over the pages for parsing SQL cannot express."""
+def pieces_of(pages: DataFrame, cut: Callable[[str], Iterable[Piece]]) -> DataFrame:
+    """One row per piece that ``cut`` finds in a page's HTML.
 
-    @F.pandas_udf(kind)
-    def apply(column: pd.Series) -> pd.Series:
-        return column.map(lambda value: convert(value or ""))
-
-    return pages.withColumn(name, apply(F.col("html")))
-
-
-def _piece_dicts(found: list[tuple[list[str], str, str]]) -> list[dict[str, Any]]:
-    return [dict(zip(("header_path", "content", "content_type"), piece)) for piece in found]
+    One Arrow-batched pass for parsing SQL cannot express; the page's other
+    columns are repeated by index, not copied value by value.
+    """
+    rest = [c for c in pages.columns if c != "html"]
+    schema = T.StructType([*[pages.schema[c] for c in rest], *PIECE_FIELDS])
+    names = [*rest, *[f.name for f in PIECE_FIELDS]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[Piece] = []
+            counts = []
+            for page in batch.column(batch.schema.get_field_index("html")).to_pylist():
+                before = len(found)
+                found.extend(cut(page or ""))
+                counts.append(len(found) - before)
+            sizes = np.array(counts, dtype=np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            paths, contents, kinds = zip(*found) if found else ((), (), ())
+            repeated = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[repeated.column(batch.schema.get_field_index(c)) for c in rest],
+                    pa.array(paths, pa.list_(pa.string())),
+                    pa.array(contents, pa.string()),
+                    pa.array(kinds, pa.string()),
+                    pa.array(place),
+                    pa.array(np.repeat(sizes, sizes)),
+                ],
+                names=names,
+            )
+
+    return pages.mapInArrow(run, schema)
+
+
+def pieces_of_array(pages: DataFrame, texts: str) -> DataFrame:
+    """Piece rows from a column that already holds the pieces as an array of texts."""
+    rest = [c for c in pages.columns if c not in (texts, "html")]
+    rows = pages.select(
+        *rest, F.size(texts).cast("long").alias("total_chunks"), F.posexplode(texts).alias("chunk_index", "content")
+    )
+    return rows.select(
+        *rest,
+        F.array().cast("array<string>").alias("header_path"),
+        "content",
+        F.lit("text").alias("content_type"),
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        "total_chunks",
+    )
 
 
 def word_count(text: str) -> int:
@@ -78,13 +118,18 @@ def _counter(params: Mapping[str, Any]) -> Callable[[str], int]:
 
 def html_to_text(pages: DataFrame, name: str = "text") -> DataFrame:
     """Adds the page's readable text."""
-    return _per_page(pages, name, T.StringType(), markup.to_text)
+
+    @F.pandas_udf("string")
+    def convert(column: pd.Series) -> pd.Series:
+        return column.map(lambda page: markup.to_text(page or ""))
+
+    return pages.withColumn(name, convert(F.col("html")))
 
 
 def html_sections(pages: DataFrame, params: Mapping[str, Any] | None = None) -> DataFrame:
-    """Adds ``pieces``: the parts between top-level headings, unsplit."""
+    """The parts between top-level headings as piece rows, unsplit."""
     descend = tuple((params or {}).get("descend", ()))
-    return _per_page(pages, "pieces", PIECES, lambda page: _piece_dicts(markup.sections(page, descend)))
+    return pieces_of(pages, lambda page: markup.sections(page, descend))
 
 
 def _sections_packed(pages: DataFrame, params: Mapping[str, Any]) -> DataFrame:
@@ -93,26 +138,12 @@ def _sections_packed(pages: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     descend = tuple(params.get("descend", ()))
     count = _counter(params)
 
-    def convert(page: str) -> list[dict[str, Any]]:
-        packed = [
-            (path, part, kind)
-            for path, content, kind in markup.sections(page, descend)
-            for part in markup.pack_paragraphs(content, most, overlap, count)
-        ]
-        return _piece_dicts(packed)
+    def cut(page: str) -> Iterator[Piece]:
+        for path, content, kind in markup.sections(page, descend):
+            for part in markup.pack_paragraphs(content, most, overlap, count):
+                yield path, part, kind
 
-    return _per_page(pages, "pieces", PIECES, convert)
-
-
-def _plain_pieces(windows: Column) -> Column:
-    def piece(content: Column) -> Column:
-        return F.struct(
-            F.array().cast("array<string>").alias("header_path"),
-            content.alias("content"),
-            F.lit("text").alias("content_type"),
-        )
-
-    return F.transform(windows, piece)
+    return pieces_of(pages, cut)
 
 
 def token_windows(text: Column, max_tokens: int, overlap_tokens: int) -> Column:
@@ -141,18 +172,19 @@ def _fixed_size(pages: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     windows = token_windows(
         F.col("__text"), int(params.get("max_tokens", 800)), int(params.get("overlap_tokens", 100))
     )
-    return html_to_text(pages, "__text").withColumn("pieces", _plain_pieces(windows)).drop("__text")
+    texts = html_to_text(pages, "__text").drop("html")
+    return pieces_of_array(texts.withColumn("__windows", windows).drop("__text"), "__windows")
 
 
 def _recursive(pages: DataFrame, params: Mapping[str, Any]) -> DataFrame:
     size = int(params.get("chunk_size", 2000))
     overlap = int(params.get("chunk_overlap", 200))
 
-    def convert(page: str) -> list[dict[str, Any]]:
-        parts = markup.split_recursive(markup.to_text(page).strip(), size, overlap)
-        return _piece_dicts([([], part, "text") for part in parts])
+    def cut(page: str) -> Iterator[Piece]:
+        for part in markup.split_recursive(markup.to_text(page).strip(), size, overlap):
+            yield [], part, "text"
 
-    return _per_page(pages, "pieces", PIECES, convert)
+    return pieces_of(pages, cut)
 
 
 register_chunker("html_section", _sections_packed)
@@ -160,30 +192,20 @@ register_chunker("fixed_size", _fixed_size)
 register_chunker("recursive", _recursive)
 
 
-def number_pieces(pages: DataFrame) -> DataFrame:
-    """Pieces to chunk rows: dense index, total, id and prefixed content."""
-    rest = [c for c in pages.columns if c not in ("pieces", "html")]
-    rows = pages.select(
-        *rest,
-        F.size("pieces").cast("long").alias("total_chunks"),
-        F.posexplode("pieces").alias("__index", "__piece"),
-    )
+def chunks_of(pieces: DataFrame) -> DataFrame:
+    """Piece rows to chunk rows: an id and content with the context prefix."""
     page = F.col("page_id").cast("string")
-    prefix = tx.context_prefix(F.col("title"), F.col("ancestors"), F.col("__piece.header_path"))
-    return rows.select(
-        F.concat(page, F.lit("_"), F.col("__index")).alias("chunk_id"),
-        *rest,
-        F.concat(prefix, tx.strip(F.col("__piece.content"))).alias("content"),
-        F.col("__piece.header_path").alias("header_path"),
-        F.col("__piece.content_type").alias("content_type"),
-        F.col("__index").cast("long").alias("chunk_index"),
-        "total_chunks",
-    )
+    prefix = tx.context_prefix(F.col("title"), F.col("ancestors"), F.col("header_path"))
+    added = {
+        "chunk_id": F.concat(page, F.lit("_"), F.col("chunk_index").cast("string")),
+        "content": F.concat(prefix, tx.strip(F.col("content"))),
+    }
+    return pieces.withColumns(added)
 
 
 def chunk_pages(pages: DataFrame, chunker: str = "html_section", params: Mapping[str, Any] | None = None) -> DataFrame:
     """Chunk rows of pages with page_id, title, ancestors and html columns."""
-    return number_pieces(get_chunker(chunker)(pages, dict(params or {})))
+    return chunks_of(get_chunker(chunker)(pages, dict(params or {})))
 
 
 def caption_chunks(pages: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -67,11 +67,10 @@ UNION ALL SELECT page_id, 1, p.title, length(trim(p.after, {TRIM})) FROM cut""",
 )
 def html_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Parts between headings, with the article wrapper opened."""
-    cut = ch.html_sections(pages(spark, folder), {"descend": ("article",)})
-    parts = cut.select("page_id", F.posexplode("pieces").alias("place", "p"))
+    parts = ch.html_sections(pages(spark, folder).select("page_id", "html"), {"descend": ("article",)})
     return parts.select(
-        "page_id", F.col("place").cast("long").alias("place"), F.array_join("p.header_path", " > ").alias("path"),
-        F.length(tx.strip(F.col("p.content"))).cast("long").alias("n_chars"),
+        "page_id", F.col("chunk_index").alias("place"), F.array_join("header_path", " > ").alias("path"),
+        F.length(tx.strip(F.col("content"))).cast("long").alias("n_chars"),
     )
 
 
@@ -142,16 +141,11 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), range
 )
 def chunk_numbering(spark: SparkSession, folder: str) -> DataFrame:
     """Index, total and id of each line of a document."""
-    lines = F.transform(
-        F.split("text", "\n", -1),
-        lambda line: F.struct(
-            F.array().cast("array<string>").alias("header_path"), line.alias("content"), F.lit("text").alias("content_type")
-        ),
-    )
     rows = documents(spark, folder).select(
-        F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.array("lang").alias("ancestors"), lines.alias("pieces")
+        F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.array("lang").alias("ancestors"),
+        F.split("text", "\n", -1).alias("parts"),
     )
-    return ch.number_pieces(rows).select("chunk_id", "chunk_index", "total_chunks")
+    return ch.chunks_of(ch.pieces_of_array(rows, "parts")).select("chunk_id", "chunk_index", "total_chunks")
 
 
 @query(
