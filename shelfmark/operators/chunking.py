@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import html as markup
 from shelfmark.functions import text as tx
+from shelfmark.operators.spread import explode_once, spread
 
 PIECE_FIELDS = [
     T.StructField("header_path", T.ArrayType(T.StringType())),
@@ -80,15 +81,15 @@ def pieces_of(pages: DataFrame, cut: Callable[[str], Iterable[Piece]]) -> DataFr
                 names=names,
             )
 
-    return pages.mapInArrow(run, schema)
+    return spread(pages).mapInArrow(run, schema)
 
 
 def pieces_of_array(pages: DataFrame, texts: str) -> DataFrame:
     """Piece rows from a column that already holds the pieces as an array of texts."""
     rest = [c for c in pages.columns if c not in (texts, "html")]
-    rows = pages.select(
-        *rest, F.size(texts).cast("long").alias("total_chunks"), F.posexplode(texts).alias("chunk_index", "content")
-    )
+    # The size is taken first, so that the array itself is not repeated for every piece.
+    sized = pages.select(*rest, F.size(texts).cast("long").alias("total_chunks"), texts)
+    rows = explode_once(sized, [*rest, "total_chunks"], F.col(texts), "chunk_index", "content")
     return rows.select(
         *rest,
         F.array().cast("array<string>").alias("header_path"),
@@ -123,7 +124,7 @@ def html_to_text(pages: DataFrame, name: str = "text") -> DataFrame:
     def convert(column: pd.Series) -> pd.Series:
         return column.map(lambda page: markup.to_text(page or ""))
 
-    return pages.withColumn(name, convert(F.col("html")))
+    return spread(pages).withColumn(name, convert(F.col("html")))
 
 
 def html_sections(pages: DataFrame, params: Mapping[str, Any] | None = None) -> DataFrame:

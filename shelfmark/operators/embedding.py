@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.operators.spread import spread
+
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -73,7 +75,7 @@ def hashed_words(
         known: dict[str, int] = {}
         for batch in batches:
             column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
-            lists = pc.split_pattern_regex(pc.utf8_lower(column), pattern="[ \t\n\x0b\f\r]+")
+            lists = pc.ascii_split_whitespace(pc.utf8_lower(column))
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
             encoded = lists.flatten().dictionary_encode()
             if len(known) > _WORD_CACHE:
@@ -93,7 +95,7 @@ def hashed_words(
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, vectors], names=[*kept, name])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def hashed_embedder(width: int) -> Embedder:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import text as tx
+from shelfmark.operators.spread import explode_once
 from shelfmark.operators.topk import Limits, rank_hits, score_topk, topk
 
 DEFAULT_TOP_K = 5
@@ -110,8 +111,7 @@ def cache_lookup(
 
 def expand(questions: DataFrame, question_id: str = "question_id", message: str = "message") -> DataFrame:
     """Sub-queries (question_id, sub_idx, sub_query); the message itself is number 0."""
-    parts = F.posexplode(tx.split_questions(F.col(message))).alias("sub_idx", "sub_query")
-    return questions.select(question_id, parts)
+    return explode_once(questions, [question_id], tx.split_questions(F.col(message)), "sub_idx", "sub_query")
 
 
 def pool(hits: DataFrame, question_id: str = "question_id") -> DataFrame:

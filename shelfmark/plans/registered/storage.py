@@ -9,6 +9,7 @@ from shelfmark.functions import text as tx
 from shelfmark.operators import filters as fl
 from shelfmark.operators import merge as mg
 from shelfmark.operators.chunking import caption_chunks as captions_of
+from shelfmark.operators.spread import explode_once
 from shelfmark.plans import ingest
 from shelfmark.plans.registered import query, table
 from shelfmark.sources import pages as pg
@@ -143,7 +144,7 @@ def label_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines_as_chunks(documents: DataFrame) -> DataFrame:
     """Every line of a document is a chunk."""
-    lines = documents.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("place", "content"))
+    lines = explode_once(documents, ["doc_id", "source"], F.split("text", "\n", -1), "place", "content")
     return lines.select(
         F.concat_ws("_", F.col("doc_id").cast("string"), F.col("place").cast("string")).alias("chunk_id"),
         F.col("doc_id").alias("page_id"), F.col("source").alias("space_key"), "content",
@@ -434,7 +435,7 @@ def sync_batch(spark: SparkSession, folder: str) -> DataFrame:
     versions = outdated.unionByName(current).withColumn("last_modified", F.lit("2024-01-01"))
     newest = ingest.newest_versions(versions)
     kept = ingest.kept_pages(newest, ingest.Profile())
-    parts = kept.select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    parts = explode_once(kept, ["page_id"], F.split("text", "\n", -1), "place", "line")
     fresh = parts.select(
         "page_id", F.concat_ws("_", F.col("page_id").cast("string"), F.col("place").cast("string")).alias("chunk_id"),
         F.md5("line").alias("digest"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as tx
 from shelfmark.operators import chunking as ch
 from shelfmark.operators import golden as gd
+from shelfmark.operators.spread import explode_once, spread
 from shelfmark.plans.registered import query, table
 from shelfmark.plans.registered.answers import GERMAN_SQL, TRIM
 
@@ -108,12 +109,12 @@ FROM windows""",
 )
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping word windows of every document, in the JVM."""
-    windows = documents(spark, folder).select("doc_id", ch.token_windows(F.col("text"), WINDOW, OVERLAP).alias("windows"))
-    cut = windows.select("doc_id", F.size("windows").alias("n"), F.posexplode("windows").alias("place", "content"))
+    texts = spread(documents(spark, folder).select(F.col("doc_id").alias("page_id"), "text"))
+    windows = texts.select("page_id", ch.token_windows(F.col("text"), WINDOW, OVERLAP).alias("windows"))
+    cut = ch.pieces_of_array(windows, "windows")
     return cut.select(
-        F.concat_ws("_", F.col("doc_id").cast("string"), F.col("place").cast("string")).alias("chunk_id"), "doc_id",
-        F.col("place").cast("long").alias("chunk_index"), F.col("n").cast("long").alias("total_chunks"),
-        F.md5("content").alias("digest"),
+        F.concat_ws("_", F.col("page_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
+        F.col("page_id").alias("doc_id"), "chunk_index", "total_chunks", F.md5("content").alias("digest"),
     )
 
 
@@ -270,7 +271,7 @@ def normalize_question(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Document lines as chunks with JSON metadata, some of it unusable."""
-    rows = documents(spark, folder).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("place", "content"))
+    rows = explode_once(documents(spark, folder), ["doc_id", "source", "lang"], F.split("text", "\n", -1), "place", "content")
     total = (
         F.when(F.col("lang") == "es", F.lit('"many"')).when(F.col("lang") == "fr", F.lit("2.5")).otherwise(F.lit("9"))
     )

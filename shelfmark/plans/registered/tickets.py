@@ -13,6 +13,7 @@ from shelfmark.operators import filters as fl
 from shelfmark.operators import retrieval as rt
 from shelfmark.operators import triage as tr
 from shelfmark.operators.embedding import hashed_words
+from shelfmark.operators.spread import spread
 from shelfmark.plans.registered import query, table
 from shelfmark.plans.registered.answers import TRIM, WIDTH, vector_sql
 from shelfmark.plans.registered.search import ranked_sql
@@ -77,7 +78,7 @@ def raw_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tickets(spark: SparkSession, folder: str) -> DataFrame:
-    normal = src.normalize_tickets(src.parse_tickets(raw_tickets(spark, folder), "json"))
+    normal = src.normalize_tickets(src.parse_tickets(spread(raw_tickets(spark, folder)), "json"))
     return normal.withColumn("project_key", F.split_part("ticket_key", F.lit("-"), F.lit(1)))
 
 
