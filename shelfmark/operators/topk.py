@@ -18,7 +18,7 @@ best k, given the largest possible error, is scored again in double precision.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SCORE_DECIMALS = 9
 MAX_QUERY_ROWS = 8192
@@ -101,9 +102,10 @@ class BestRows:
         self.query = np.zeros(0, dtype=np.int64)
         self.score = np.zeros(0)
         self.ids: np.ndarray | None = None
+        self.extra: list[pa.Array] = []
         self.floor = np.full(queries, -np.inf)
 
-    def offer(self, part: Scored, ids: pa.Array, threshold: float | None) -> None:
+    def offer(self, part: Scored, ids: pa.Array, extra: list[pa.Array], threshold: float | None) -> None:
         """Take in the rows of one part that may still be among the best."""
         scores = part.rough
         rows = scores.shape[0]
@@ -121,7 +123,9 @@ class BestRows:
         if len(row) == 0:
             return
         found = _numpy(ids.take(pa.array(row)))
+        carried = [column.take(pa.array(row)) for column in extra]
         if self.ids is not None:
+            carried = [pa.concat_arrays(pair) for pair in zip(self.extra, carried)]
             query = np.concatenate([self.query, query])
             score = np.concatenate([self.score, score])
             found = np.concatenate([self.ids, found])
@@ -132,13 +136,14 @@ class BestRows:
         place = np.arange(len(query)) - np.repeat(starts, sizes)
         kept = place < self.k
         self.query, self.score, self.ids = query[kept], score[kept], found[kept]
+        self.extra = [column.take(pa.array(order[kept])) for column in carried]
         full = sizes >= self.k
         self.floor[query[starts[full]]] = score[starts[full] + self.k - 1]
 
     def table(self, query_ids: pa.Array, schema: pa.Schema) -> pa.Table:
         if self.ids is None:
             return schema.empty_table()
-        columns = [query_ids.take(pa.array(self.query)), pa.array(self.ids), pa.array(self.score)]
+        columns = [query_ids.take(pa.array(self.query)), pa.array(self.ids), pa.array(self.score), *self.extra]
         return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -237,18 +242,20 @@ SCORERS = {"vector": dense_scorer, "terms": lexical_scorer}
 class _BlockSearch:
     """Scores corpus batches against one block of queries held in memory."""
 
-    def __init__(self, queries: pa.Table, field: str, k: int, threshold: float | None, skip_self: bool):
+    def __init__(self, queries: pa.Table, field: str, k: int, threshold: float | None, skip_self: bool,
+                 carry: Sequence[str]) -> None:
         self.queries = queries
         self.ids = _one(queries.column("query_id"))
         self.own = _numpy(self.ids) if skip_self else None
         self.score = SCORERS[field](queries)
         self.mask = _scope_mask(queries)
-        self.threshold = threshold
+        self.threshold, self.carry = threshold, carry
         self.best = BestRows(len(queries), k)
 
     def feed(self, batch: pa.Table | pa.RecordBatch) -> None:
         ids = _one(batch.column("chunk_id"))
         scope = _one(batch.column("scope")) if self.mask else None
+        extra = [_one(batch.column(name)) for name in self.carry]
         step = max(1, _CELLS_PER_STEP // max(1, len(self.ids)))
         for start in range(0, batch.num_rows, step):
             rows = min(step, batch.num_rows - start)
@@ -258,17 +265,11 @@ class _BlockSearch:
                 scored.rough[~self.mask(scope.slice(start, rows))] = -np.inf
             if self.own is not None:
                 scored.rough[_numpy(part)[:, None] == self.own[None, :]] = -np.inf
-            self.best.offer(scored, part, self.threshold)
+            self.best.offer(scored, part, [column.slice(start, rows) for column in extra], self.threshold)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(),
-             T.DoubleType(): pa.float64()}
-    return pa.schema([(f.name, kinds[f.dataType]) for f in schema.fields])
-
-
-def _prepare(df: DataFrame, key: str, field: str, scope: str | None) -> DataFrame:
-    present = [key, field] + ([scope] if scope and scope in df.columns else [])
+def _prepare(df: DataFrame, key: str, field: str, others: Sequence[str]) -> DataFrame:
+    present = dict.fromkeys([key, field, *[c for c in others if c in df.columns]])
     return df.where(F.col(field).isNotNull()).select(*present)
 
 
@@ -280,26 +281,30 @@ def score_topk(
     field: str = "vector",
     threshold: float | None = None,
     skip_self: bool = False,
+    carry: Sequence[str] = (),
     limits: Limits = Limits(),
 ) -> DataFrame:
     """Candidates (query_id, chunk_id, score): every query's best k and more.
 
     ``chunks`` has chunk_id, the scored field and, with scopes, ``scope``;
-    ``queries`` has query_id, the field and optionally ``scopes``.
+    ``queries`` has query_id, the field and optionally ``scopes``. ``carry``
+    names small chunk columns to keep on the hits, which saves joining them
+    back; leave texts out, as every chunk's value passes through Python.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
     scoped = "scopes" in queries.columns
-    corpus = _prepare(chunks, "chunk_id", field, "scope" if scoped else None)
-    asked = _prepare(queries, "query_id", field, "scopes")
+    corpus = _prepare(chunks, "chunk_id", field, [*carry, *(["scope"] if scoped else [])])
+    asked = _prepare(queries, "query_id", field, ["scopes"])
     out = T.StructType(
         [
             T.StructField("query_id", asked.schema["query_id"].dataType),
             T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
             T.StructField("score", T.DoubleType()),
+            *[corpus.schema[name] for name in carry],
         ]
     )
-    arrow_out = _arrow_schema(out)
+    arrow_out = to_arrow_schema(out)
 
     # Reads at most one row more than a task may hold, whatever the input size.
     held = asked.limit(limits.query_rows + 1).toArrow()
@@ -308,13 +313,13 @@ def score_topk(
             return asked.sparkSession.createDataFrame([], out)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = _BlockSearch(held, field, k, threshold, skip_self)
+            block = _BlockSearch(held, field, k, threshold, skip_self, carry)
             for batch in batches:
                 block.feed(batch)
             yield from block.best.table(block.ids, arrow_out).to_batches()
 
         return corpus.mapInArrow(search, out)
-    return _grid_topk(corpus, asked, k, field, threshold, skip_self, limits, held, out, arrow_out)
+    return _grid_topk(corpus, asked, k, field, threshold, skip_self, carry, limits, held, out, arrow_out)
 
 
 def _grid_topk(
@@ -324,6 +329,7 @@ def _grid_topk(
     field: str,
     threshold: float | None,
     skip_self: bool,
+    carry: Sequence[str],
     limits: Limits,
     sample: pa.Table,
     out: T.StructType,
@@ -348,7 +354,7 @@ def _grid_topk(
     def meet(part: pa.Table, block: pa.Table) -> pa.Table:
         if part.num_rows == 0 or block.num_rows == 0:
             return arrow_out.empty_table()
-        search = _BlockSearch(block, field, k, threshold, skip_self)
+        search = _BlockSearch(block, field, k, threshold, skip_self, carry)
         search.feed(part)
         return search.best.table(search.ids, arrow_out)
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.operators import metrics
-from shelfmark.operators.retrieval import rerank
 from shelfmark.operators.topk import Limits, topk
 
 SEARCH_LIMIT = 20
@@ -25,12 +24,21 @@ def evaluate_pairs(
 
 def with_rerank_stage(hits: DataFrame, score: Column, *, top_n: int = 10, threshold: float = 0.0,
                       by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Hits of both stages as rows with ``stage`` base or reranked."""
-    reranked = rerank(hits, score, by=by, top_n=top_n, threshold=threshold)
-    columns = [c for c in hits.columns if c != "rank"]
-    base = hits.select(*columns, F.col("rank").cast("long").alias("rank"), F.lit("base").alias("stage"))
-    after = reranked.select(*columns, F.col("rerank_rank").cast("long").alias("rank"), F.lit("reranked").alias("stage"))
-    return base.unionByName(after)
+    """Hits of both stages as rows with ``stage`` base or reranked.
+
+    Both ranks are put on the same row and then unfolded, so the search itself
+    runs once.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last("rerank_score"), F.asc("chunk_id"))
+    marked = hits.withColumn("rerank_score", F.round(score, 9)).withColumn("__place", F.row_number().over(order))
+    kept = (F.col("__place") <= top_n) & (F.col("rerank_score") >= threshold)
+    stages = F.array(
+        F.struct(F.lit("base").alias("stage"), F.col("rank").cast("long").alias("rank")),
+        F.struct(F.lit("reranked").alias("stage"), F.when(kept, F.col("__place").cast("long")).alias("rank")),
+    )
+    rest = [c for c in hits.columns if c != "rank"]
+    unfolded = marked.select(*rest, F.explode(stages).alias("__s"))
+    return unfolded.select(*rest, "__s.stage", "__s.rank").where(F.col("rank").isNotNull())
 
 
 def with_thresholds(hits: DataFrame, thresholds: Sequence[float]) -> DataFrame:

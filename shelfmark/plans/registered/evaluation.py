@@ -89,14 +89,12 @@ def space_hits(spark: SparkSession, folder: str, width: int | None = None, limit
     chunks, asked = corpus(spark, folder), cases(spark, folder)
     cut = (lambda c: F.slice(c, 1, width)) if width else (lambda c: F.col(c))
     hits = topk(
-        chunks.select("chunk_id", cut("vector").alias("vector")),
+        chunks.select("chunk_id", "space_key", cut("vector").alias("vector")),
         asked.select("query_id", cut("vector").alias("vector")),
-        limit, threshold=threshold, skip_self=True,
+        limit, threshold=threshold, skip_self=True, carry=("space_key",),
     )
     wanted = asked.select("query_id", F.col("space_key").alias("asked_space"))
-    spaces = chunks.select("chunk_id", "space_key")
-    joined = hits.join(spaces, "chunk_id").join(wanted, "query_id")
-    return joined.withColumn("relevant", F.col("space_key") == F.col("asked_space"))
+    return hits.join(wanted, "query_id").withColumn("relevant", F.col("space_key") == F.col("asked_space"))
 
 
 def space_cases(spark: SparkSession, folder: str) -> DataFrame:

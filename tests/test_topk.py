@@ -124,3 +124,10 @@ def test_limit_of_the_search_tool():
     for bad in (0, 51):
         with pytest.raises(ValueError):
             rt.check_limit(bad)
+
+
+def test_carried_columns_belong_to_their_hits(corpus, asked):
+    few = Limits(query_rows=9, corpus_block_rows=70)
+    for limits in (Limits(), few):
+        hits = topk(corpus.repartition(5), asked, 6, carry=("scope",), limits=limits).collect()
+        assert len(hits) == 40 * 6 and all(h["scope"] == f"S{h['chunk_id'] % 3}" for h in hits)
