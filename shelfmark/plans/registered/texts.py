@@ -75,7 +75,46 @@ def html_sections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("chunk_html_section")
+def _words_sql(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '\\S+'))"
+
+
+TAIL_SQL = f"""CASE WHEN length(current) <= {4 * OVERLAP} THEN current
+  WHEN regexp_matches(right(current, {4 * OVERLAP}), '\\A[^.!?]*[.!?]\\s*') THEN regexp_replace(right(current, {4 * OVERLAP}), '\\A[^.!?]*[.!?]\\s*', '')
+  WHEN regexp_matches(right(current, {4 * OVERLAP}), '\\A\\S*\\s+') THEN regexp_replace(right(current, {4 * OVERLAP}), '\\A\\S*\\s+', '')
+  ELSE right(current, {4 * OVERLAP}) END"""
+
+
+@query(
+    "chunk_html_section",
+    f"""WITH RECURSIVE {PAGE_TEXT_SQL},
+split_pages AS (
+  SELECT page_id, url, text, regexp_split_to_array(text, '\\n\\n+') AS parts, {_words_sql('text')} <= {WINDOW} AS whole FROM plain
+  WHERE trim(text, {TRIM}) <> ''),
+walk AS (
+  SELECT page_id, 0 AS i, ''::VARCHAR AS current, 0::BIGINT AS used, NULL::VARCHAR AS done FROM split_pages WHERE NOT whole
+  UNION ALL
+  SELECT page_id, i + 1, CASE WHEN full_now THEN {TAIL_SQL} ELSE current END || part || chr(10) || chr(10),
+         CASE WHEN full_now THEN {_words_sql(f"({TAIL_SQL}) || part")} ELSE used + cost END::BIGINT,
+         CASE WHEN full_now THEN trim(current, {TRIM}) END
+  FROM (SELECT w.*, s.parts[i + 1] AS part, {_words_sql('s.parts[i + 1]')} AS cost,
+               used + {_words_sql('s.parts[i + 1]')} > {WINDOW} AND current <> '' AS full_now
+        FROM walk w JOIN split_pages s USING (page_id) WHERE i < len(s.parts))),
+pieces AS (
+  SELECT page_id, i, done AS content FROM walk WHERE done IS NOT NULL
+  UNION ALL SELECT w.page_id, i + 1, trim(current, {TRIM}) FROM walk w JOIN split_pages s ON s.page_id = w.page_id AND i = len(s.parts)
+            WHERE trim(current, {TRIM}) <> ''
+  UNION ALL SELECT page_id, 0, trim(text, {TRIM}) FROM split_pages WHERE whole),
+numbered AS (
+  SELECT p.*, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, count(*) OVER (PARTITION BY page_id) AS total,
+         regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path
+  FROM pieces p JOIN split_pages USING (page_id)),
+prefixed AS (
+  SELECT *, 'Page: ' || path || chr(10) || 'Path: ' || array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), ' > ')
+    || chr(10) || chr(10) || content AS chunk FROM numbered)
+SELECT page_id || '_' || place AS chunk_id, page_id, place AS chunk_index, total AS total_chunks, 'text' AS content_type, '' AS path,
+       length(chunk)::BIGINT AS n_chars, md5(chunk) AS digest FROM prefixed""",
+)
 def chunk_html_section(spark: SparkSession, folder: str) -> DataFrame:
     """The default strategy; packing carries overlap from piece to piece."""
     chunks = ch.chunk_pages(pages(spark, folder), "html_section", {"max_tokens": WINDOW, "overlap_tokens": OVERLAP})
