@@ -277,3 +277,26 @@ def test_embedders(spark):
     assert plugged[0] == default[0] and plugged[2] == default[2]
     with pytest.raises(Exception, match="width"):
         embed(df, "text", lambda: hashed_embedder(8), width=16).collect()
+
+
+def test_paged_source(spark, tmp_path):
+    from shelfmark.sources.paged import PagedSource
+
+    (tmp_path / "fake_wiki.py").write_text(
+        "def count(params):\n    return 130 if params['space'] == 'IT' else 0\n\n"
+        "def fetch(start, limit, params):\n"
+        "    return [{'id': str(i), 'title': f'P {i}', 'space': {'key': params['space']}} for i in range(start, start + limit)]\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_wiki.py"))
+    spark.dataSource.register(PagedSource)
+
+    def load(space):
+        reader = spark.read.format("paged").option("fetch", "fake_wiki:fetch").option("count", "fake_wiki:count")
+        return reader.option("pages_per_task", 1).option("page_size", 50).option("param.space", space).load()
+
+    raw = load("IT")
+    assert raw.rdd.getNumPartitions() == 3
+    found = pages.page_metadata(pages.parse_pages(raw, "json"))
+    assert found.count() == 130 and found.select("page_id").distinct().count() == 130
+    assert {r["space_key"] for r in found.collect()} == {"IT"}
+    assert load("EMPTY").count() == 0
