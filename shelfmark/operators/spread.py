@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 SMALL_BYTES = 1 << 30
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything a frame reads, by Spark's own estimates; runs nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, most_bytes: int = SMALL_BYTES) -> DataFrame:
     """Deal the rows of a small input out to all cores before heavy per-row work.
 
-    A small file is one partition and would keep one core busy. The size is the
-    sum of Spark's own estimates for the inputs, so nothing is run to find it;
-    larger inputs have enough partitions and are returned as they are, unshuffled.
+    A small file is one partition and would keep one core busy. Larger inputs
+    have enough partitions and are returned as they are, unshuffled.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    if total > most_bytes:
+    if input_bytes(df) > most_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

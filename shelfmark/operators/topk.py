@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from shelfmark.operators.spread import SMALL_BYTES, input_bytes
+
 SCORE_DECIMALS = 9
 MAX_QUERY_ROWS = 8192
 MAX_QUERY_BYTES = 128 << 20
@@ -306,9 +308,8 @@ def score_topk(
     )
     arrow_out = to_arrow_schema(out)
 
-    # Reads at most one row more than a task may hold, whatever the input size.
-    held = asked.limit(limits.query_rows + 1).toArrow()
-    if held.num_rows <= limits.query_rows and held.nbytes * 2 <= limits.query_bytes:
+    held = _hold(asked, limits)
+    if held is not None:
         if held.num_rows == 0:
             return asked.sparkSession.createDataFrame([], out)
 
@@ -319,7 +320,21 @@ def score_topk(
             yield from block.best.table(block.ids, arrow_out).to_batches()
 
         return corpus.mapInArrow(search, out)
-    return _grid_topk(corpus, asked, k, field, threshold, skip_self, carry, limits, held, out, arrow_out)
+    return _grid_topk(corpus, asked, k, field, threshold, skip_self, carry, limits, out, arrow_out)
+
+
+def _hold(asked: DataFrame, limits: Limits) -> pa.Table | None:
+    """The queries, if they are few enough for every task to hold them.
+
+    Reads at most one row more than that. Where the input is large the ids are
+    counted first, partition by partition, until the bound is passed.
+    """
+    most = limits.query_rows
+    if input_bytes(asked) > SMALL_BYTES and len(asked.select("query_id").take(most + 1)) > most:
+        return None
+    held = asked.limit(most + 1).toArrow()
+    fits = held.num_rows <= most and held.nbytes * 2 <= limits.query_bytes
+    return held if fits else None
 
 
 def _grid_topk(
@@ -331,11 +346,11 @@ def _grid_topk(
     skip_self: bool,
     carry: Sequence[str],
     limits: Limits,
-    sample: pa.Table,
     out: T.StructType,
     arrow_out: pa.Schema,
 ) -> DataFrame:
     """Every query block meets every corpus block; both blocks are of bounded size."""
+    sample = asked.limit(16).toArrow()
     row_bytes = max(1, 2 * sample.nbytes // max(1, sample.num_rows))
     block_rows = max(1, min(limits.query_rows, limits.query_bytes // row_bytes))
     query_blocks = max(1, math.ceil(asked.count() / block_rows))

@@ -10,7 +10,7 @@ One writer at a time.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,10 @@ class PageTable:
         self.spark, self.page, self.schema, self.buckets = spark, page, schema, buckets
         self.rows_path, self.log_path = f"{path}/rows", f"{path}/log"
 
+    @property
+    def columns(self) -> list[str]:
+        return self.spark.createDataFrame([], self.schema).columns
+
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.page).cast("string")), F.lit(self.buckets)).cast("int")
 
@@ -58,15 +62,15 @@ class PageTable:
             return self.spark.createDataFrame([], columns)
         return self.spark.read.schema(columns).parquet(self.rows_path)
 
-    def read(self, touched: DataFrame | None = None) -> DataFrame:
-        """The current rows; with ``touched`` only the buckets of those pages.
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The current rows, of some buckets or of all.
 
         One row of the log per bucket (a bounded number) becomes a filter on
         the partition columns, so other files are not even opened.
         """
         newest = self._log().groupBy("bucket").agg(F.max("generation").alias("generation"))
-        if touched is not None:
-            newest = newest.join(touched.select(self._bucket().alias("bucket")).distinct(), "bucket", "left_semi")
+        if buckets is not None:
+            newest = newest.where(F.col("bucket").isin(list(buckets)))
         wanted = [f"{row['generation']}/{row['bucket']}" for row in newest.collect()]
         current = self._stored().where(F.concat_ws("/", "generation", F.col("bucket").cast("string")).isin(wanted))
         return current.drop("generation", "bucket")
@@ -91,7 +95,7 @@ class PageTable:
         found = touched.select(self._bucket().alias("bucket")).distinct()
         buckets = [row[0] for row in found.collect()]  # at most ``self.buckets`` rows
         if buckets:
-            self._publish(change(self.read(touched)), buckets, batch)
+            self._publish(change(self.read(buckets)), buckets, batch)
 
     def replace(self, touched: DataFrame, fresh: DataFrame, batch: str = "") -> None:
         """All rows of the touched pages give way to ``fresh``; an empty page is cleared."""

@@ -29,15 +29,11 @@ def apply_batch(table: PageTable, pages: DataFrame, profile: Profile, batch: str
         fresh = chunk_rows(newest, profile)
         if captions is not None:
             fresh = fresh.unionByName(caption_chunks(newest, captions), allowMissingColumns=True)
-        table.replace(newest.select("page_id"), fresh.select(*_columns(table)), batch)
+        table.replace(newest.select("page_id"), fresh.select(*table.columns), batch)
     finally:
         newest.unpersist()
 
 
-def _columns(table: PageTable) -> list[str]:
-    return table.read().columns
-
-
 def delete_stale(table: PageTable, live: DataFrame, spaces: DataFrame, batch: str = "") -> None:
     """Remove pages that are gone from the given spaces."""
     stored = table.read().select("space_key", "page_id").distinct()
