@@ -170,10 +170,10 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def texted_hits(spark: SparkSession, folder: str, width: int | None = None) -> DataFrame:
-    """Hits with query and chunk text; the text of a chunk is the document of the same number."""
+    """Hits with query and chunk text; the text of a chunk is the document of the same number, if any."""
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return space_hits(spark, folder, width).join(texts, "chunk_id").join(asked, "query_id")
+    return space_hits(spark, folder, width).join(texts, "chunk_id", "left").join(asked, "query_id")
 
 
 def lexical_sql(hits: str = "hits", name: str = "lexical", extra: str = "") -> str:
