@@ -19,7 +19,7 @@ from shelfmark.plans.registered import search
 from shelfmark.session import local_session
 
 HEADLINE = (
-    "topk_batch", "topk_every_chunk", "eval_aggregate", "eval_per_query", "hybrid_rrf", "pooled_hits", "context_blocks",
+    "topk_batch", "topk_batch_blocks", "eval_aggregate", "eval_per_query", "hybrid_rrf", "pooled_hits", "context_blocks",
     "chunk_fixed", "chunk_html_section", "html_to_text", "embed_documents", "history_budget", "rate_limit",
     "events_dedupe", "replace_pages", "tickets_normalize", "golden_build", "cache_lookup", "ab_compare",
 )

@@ -55,10 +55,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-PAGE_PAIRS_SQL = """relevant AS (
-  SELECT q.query_id, c.chunk_id FROM cases q JOIN corpus c ON c.page_id = q.page_id AND c.chunk_id <> q.query_id)"""
-PAGE_JUDGED_SQL = f"""{ranked_sql('scored', 'hits', LIMIT, 'score >= 0.0 AND chunk_id <> query_id')},
-{PAGE_PAIRS_SQL},
+BESIDE_SQL = """relevant AS (
+  SELECT q.query_id, c.chunk_id FROM cases q JOIN corpus c ON c.page_id = q.page_id AND abs(c.chunk_index - q.chunk_index) = 1)"""
+BESIDE_JUDGED_SQL = f"""{ranked_sql('scored', 'hits', LIMIT, 'score >= 0.0 AND chunk_id <> query_id')},
+{BESIDE_SQL},
 judged AS (
   SELECT coalesce(h.query_id, r.query_id) AS query_id, h.rank, r.chunk_id IS NOT NULL AS relevant,
          CASE WHEN r.chunk_id IS NULL THEN 0 ELSE 1 END AS n_rel
@@ -69,15 +69,16 @@ _ROUNDED_SQL = ", ".join(f"round({c}, 6) AS {c}" for c, _, _ in metrics.metric_n
 
 @query(
     "eval_per_query",
-    f"""WITH {CORPUS_SQL}, {PAGE_JUDGED_SQL}, {per_query_sql('query_id')}
+    f"""WITH {CORPUS_SQL}, {BESIDE_JUDGED_SQL}, {per_query_sql('query_id')}
 SELECT query_id, {_ROUNDED_SQL}, hit_rate::BIGINT AS hit_rate FROM per_query""",
 )
 def eval_per_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Other chunks of the query's own page are relevant, as listed pairs."""
+    """The chunks right before and after the query's own are relevant, as listed pairs."""
     chunks, asked = corpus(spark, folder), cases(spark, folder)
     hits = topk(chunks, asked.select("query_id", "vector"), LIMIT, threshold=0.0, skip_self=True)
-    pages = asked.select("query_id", "page_id")
-    relevant = chunks.join(pages, "page_id").where("chunk_id <> query_id").select("query_id", "chunk_id")
+    beside = F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index")
+    places = asked.select("query_id", "page_id", beside)
+    relevant = chunks.join(places, ["page_id", "chunk_index"]).select("query_id", "chunk_id")
     result = metrics.per_query(metrics.judge_pairs(hits, relevant), KS)
     names = [c for c, _, _ in metrics.metric_names(KS) if c != "hit_rate"]
     return rounded(result, *names).withColumn("hit_rate", F.col("hit_rate").cast("long"))

@@ -15,7 +15,7 @@ from shelfmark.functions import text as tx
 from shelfmark.operators import retrieval as rt
 from shelfmark.operators.embedding import wrong_width
 from shelfmark.operators.spread import spread
-from shelfmark.operators.topk import topk
+from shelfmark.operators.topk import Limits, topk
 from shelfmark.plans.registered import query, table
 
 K = 10
@@ -38,7 +38,9 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    vectors = corpus(spark, folder).select(F.col("chunk_id").alias("query_id"), "vector", "space_key", "page_id")
+    vectors = corpus(spark, folder).select(
+        F.col("chunk_id").alias("query_id"), "vector", "space_key", "page_id", "chunk_index"
+    )
     return items.join(vectors, "query_id")
 
 
@@ -47,7 +49,7 @@ CORPUS_SQL = """corpus AS (
          ['L' || label] AS labels, embedding::DOUBLE[] AS vector
   FROM embeddings),
 cases AS (
-  SELECT b.item_id AS query_id, b.text AS query, c.vector, c.space_key, c.page_id
+  SELECT b.item_id AS query_id, b.text AS query, c.vector, c.space_key, c.page_id, c.chunk_index
   FROM benchmark b JOIN corpus c ON c.chunk_id = b.item_id),
 scored AS (
   SELECT q.query_id, q.space_key AS asked_space, q.page_id AS asked_page, c.chunk_id, c.space_key, c.page_id,
@@ -120,18 +122,17 @@ def topk_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "topk_every_chunk",
-    f"""WITH {CORPUS_SQL}, pairs AS (
-  SELECT q.chunk_id AS query_id, c.chunk_id, round(list_cosine_similarity(q.vector, c.vector), 9) AS score
-  FROM corpus q JOIN corpus c ON c.chunk_id <> q.chunk_id), {ranked_sql('pairs', 'hits', 5)}
-SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits""",
+    "topk_batch_blocks",
+    f"""WITH {CORPUS_SQL}, {ranked_sql('scored', 'hits', K, 'chunk_id <> query_id')}
+SELECT query_id, chunk_id, space_key, round(score, 6) AS score, rank FROM hits""",
 )
-def topk_every_chunk(spark: SparkSession, folder: str) -> DataFrame:
-    """Every chunk as a query: beyond a checked size this runs block against block."""
-    chunks = corpus(spark, folder)
-    asked = chunks.select(F.col("chunk_id").alias("query_id"), "vector")
-    hits = rt.search_many(chunks, asked, k=5, threshold=None, skip_self=True)
-    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+def topk_batch_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The way taken when tasks cannot hold all queries: blocks of queries meet blocks of chunks."""
+    few = Limits(query_rows=32)
+    hits = topk(corpus(spark, folder), cases(spark, folder), K, skip_self=True, carry=("space_key",), limits=few)
+    return hits.select(
+        "query_id", "chunk_id", "space_key", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 @query(
