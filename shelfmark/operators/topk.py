@@ -82,7 +82,7 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Scored:
-    """Scores of some rows against all queries: rows x queries, -inf for no hit.
+    """Scores of some rows against some queries: rows x queries, -inf for no hit.
 
     ``rough`` is within ``error`` of the true score, which ``exact`` gives for
     single (row, query) cells.
@@ -93,7 +93,7 @@ class Scored:
     exact: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-Scorer = Callable[[pa.Table | pa.RecordBatch, int, int], Scored]
+Scorer = Callable[[pa.Table | pa.RecordBatch, int, int, np.ndarray], Scored]
 
 
 class BestRows:
@@ -107,11 +107,13 @@ class BestRows:
         self.extra: list[pa.Array] = []
         self.floor = np.full(queries, -np.inf)
 
-    def offer(self, part: Scored, ids: pa.Array, extra: list[pa.Array], threshold: float | None) -> None:
-        """Take in the rows of one part that may still be among the best."""
+    def offer(
+        self, part: Scored, queries: np.ndarray, ids: pa.Array, extra: list[pa.Array], threshold: float | None
+    ) -> None:
+        """Take in the rows of one part that may still be among the best of ``queries``."""
         scores = part.rough
         rows = scores.shape[0]
-        bound = self.floor - part.error
+        bound = self.floor[queries] - part.error
         if rows > self.k:
             kth = np.partition(scores, rows - self.k, axis=0)[rows - self.k]
             bound = np.maximum(bound, kth - 2 * part.error)
@@ -119,6 +121,7 @@ class BestRows:
             bound = np.maximum(bound, threshold - part.error)
         row, query = np.nonzero((scores >= bound) & (scores > -np.inf))
         score = np.round(part.exact(row, query), SCORE_DECIMALS)
+        query = queries[query]
         if threshold is not None:
             passing = score >= threshold
             row, query, score = row[passing], query[passing], score[passing]
@@ -149,37 +152,42 @@ class BestRows:
         return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _scope_mask(queries: pa.Table) -> Callable[[pa.Array], np.ndarray] | None:
-    """Rows x queries mask of the scopes each query may see; null means all."""
-    if "scopes" not in queries.column_names:
-        return None
-    allowed = queries.column("scopes").to_pylist()
-    names = pa.array(sorted({s for scopes in allowed if scopes is not None for s in scopes}), pa.string())
-    code = {name: i for i, name in enumerate(names.to_pylist())}
-    table = np.zeros((len(code) + 1, len(allowed)), dtype=bool)
-    for place, scopes in enumerate(allowed):
-        if scopes is None:
-            table[:, place] = True
-        else:
-            table[[code[s] for s in scopes], place] = True
-
-    def mask(scope: pa.Array) -> np.ndarray:
-        found = pc.fill_null(pc.index_in(scope, value_set=names), len(code))
-        return table[found.to_numpy(zero_copy_only=False)]
-
-    return mask
+class _Scopes:
+    """Which queries may see which scope; a query without scopes sees all."""
+
+    def __init__(self, queries: pa.Table) -> None:
+        allowed = queries.column("scopes").to_pylist()
+        self.names = pa.array(sorted({s for a in allowed if a is not None for s in a}), pa.string())
+        code = {name: place for place, name in enumerate(self.names.to_pylist())}
+        asking: list[list[int]] = [[] for _ in range(len(code) + 1)]
+        for query, scopes in enumerate(allowed):
+            for place in range(len(asking)) if scopes is None else {code[s] for s in scopes}:
+                asking[place].append(query)
+        self.asking = [np.array(queries_here, dtype=np.int64) for queries_here in asking]
+
+    def parts(self, batch: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.Table | pa.RecordBatch, np.ndarray]]:
+        """The batch cut by scope, each with the queries that may see it."""
+        found = pc.fill_null(pc.index_in(_one(batch.column("scope")), value_set=self.names), len(self.names))
+        codes = found.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else []
+        for start, stop in zip(starts, [*starts[1:], len(codes)]):
+            queries = self.asking[codes[start]]
+            if len(queries):
+                yield batch.take(pa.array(order[start:stop])), queries
 
 
 def dense_scorer(queries: pa.Table) -> Scorer:
     """Cosine similarity; zero vectors never count."""
     wanted = unit_rows(matrix_of(queries.column("vector")))
-    rough_wanted = wanted.astype(np.float32).T.copy()
+    rough_wanted = wanted.astype(np.float32)
     width = wanted.shape[1]
     # Largest error of a single-precision product of two unit rows, with room.
     error = (width + 8) * 1.2e-7 + 10.0**-SCORE_DECIMALS
     step = max(1, _CELLS_PER_STEP // max(1, width))
 
-    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int) -> Scored:
+    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int, queries: np.ndarray) -> Scored:
         raw = matrix_of(_one(batch.column("vector")).slice(start, rows), width)
         single = raw.astype(np.float32)
         norms = np.linalg.norm(single, axis=1, keepdims=True)
@@ -187,14 +195,15 @@ def dense_scorer(queries: pa.Table) -> Scorer:
         if odd.any():  # too long or too short for single precision
             single = unit_rows(raw).astype(np.float32)
             norms = np.ones((rows, 1), dtype=np.float32)
-        rough = (single / norms) @ rough_wanted
+        block = rough_wanted if len(queries) == len(rough_wanted) else rough_wanted[queries]
+        rough = (single / norms) @ block.T
         rough[np.isnan(rough)] = -np.inf
 
         def exact(row: np.ndarray, query: np.ndarray) -> np.ndarray:
             out = np.empty(len(row))
             for place in range(0, len(row), step):
                 some = slice(place, place + step)
-                out[some] = np.einsum("ij,ij->i", unit_rows(raw[row[some]]), wanted[query[some]])
+                out[some] = np.einsum("ij,ij->i", unit_rows(raw[row[some]]), wanted[queries[query[some]]])
             return out
 
         return Scored(rough, error, exact)
@@ -217,7 +226,7 @@ def lexical_scorer(queries: pa.Table) -> Scorer:
     starts = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, dtype=np.int64)
     totals = np.bincount(owner, minlength=len(terms)).astype(np.float64)
 
-    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int) -> Scored:
+    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int, queries: np.ndarray) -> Scored:
         lists = _one(batch.column("terms")).slice(start, rows)
         sizes_here = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         row = np.repeat(np.arange(rows), sizes_here)
@@ -233,6 +242,8 @@ def lexical_scorer(queries: pa.Table) -> Scorer:
         hits = hits.reshape(rows, len(totals)).astype(np.float64)
         with np.errstate(divide="ignore", invalid="ignore"):
             shares = np.where(hits > 0, hits / totals, -np.inf)
+        if len(queries) != len(totals):
+            shares = shares[:, queries]
         return Scored(shares, 10.0**-SCORE_DECIMALS, lambda row, query: shares[row, query])
 
     return score
@@ -250,24 +261,24 @@ class _BlockSearch:
         self.ids = _one(queries.column("query_id"))
         self.own = _numpy(self.ids) if skip_self else None
         self.score = SCORERS[field](queries)
-        self.mask = _scope_mask(queries)
+        self.scopes = _Scopes(queries) if "scopes" in queries.column_names else None
+        self.everyone = np.arange(len(queries))
         self.threshold, self.carry = threshold, carry
         self.best = BestRows(len(queries), k)
 
     def feed(self, batch: pa.Table | pa.RecordBatch) -> None:
-        ids = _one(batch.column("chunk_id"))
-        scope = _one(batch.column("scope")) if self.mask else None
-        extra = [_one(batch.column(name)) for name in self.carry]
-        step = max(1, _CELLS_PER_STEP // max(1, len(self.ids)))
-        for start in range(0, batch.num_rows, step):
-            rows = min(step, batch.num_rows - start)
-            scored = self.score(batch, start, rows)
-            part = ids.slice(start, rows)
-            if self.mask:
-                scored.rough[~self.mask(scope.slice(start, rows))] = -np.inf
-            if self.own is not None:
-                scored.rough[_numpy(part)[:, None] == self.own[None, :]] = -np.inf
-            self.best.offer(scored, part, [column.slice(start, rows) for column in extra], self.threshold)
+        for part, queries in self.scopes.parts(batch) if self.scopes else [(batch, self.everyone)]:
+            ids = _one(part.column("chunk_id"))
+            extra = [_one(part.column(name)) for name in self.carry]
+            step = max(1, _CELLS_PER_STEP // max(1, len(queries)))
+            for start in range(0, part.num_rows, step):
+                rows = min(step, part.num_rows - start)
+                scored = self.score(part, start, rows, queries)
+                some = ids.slice(start, rows)
+                if self.own is not None:
+                    scored.rough[_numpy(some)[:, None] == self.own[queries][None, :]] = -np.inf
+                carried = [column.slice(start, rows) for column in extra]
+                self.best.offer(scored, queries, some, carried, self.threshold)
 
 
 def _prepare(df: DataFrame, key: str, field: str, others: Sequence[str]) -> DataFrame:
