@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def millis(times: pd.Series) -> list[float]:
     return (times.astype("datetime64[us]").astype("int64") / 1000.0).tolist()
 
 
+def _times(batch: pa.RecordBatch, at: str) -> list[float]:
+    micros = batch.column(batch.schema.get_field_index(at)).cast(pa.int64())
+    return (micros.to_numpy() / 1000.0).tolist()
+
+
 def rate_limit(
     events: DataFrame, key: str = "client", at: str = "ts", tie: str = "event_id",
     *, burst: float = 10, per_minute: float = 60,
@@ -59,13 +65,12 @@ def rate_limit(
     refill_seconds = burst / per_ms / 1000
     pieces = segments_by_gap(events.select(key, at, tie), [key], at, tie, refill_seconds)
 
-    def step(batch: pd.DataFrame, fresh: np.ndarray, state: object) -> tuple[pd.DataFrame, object]:
-        allowed, wait, state = take_tokens(millis(batch[at]), fresh.tolist(), state, burst, per_ms)
-        return batch[[key, at, tie]].assign(allowed=allowed, retry_after_ms=wait), state
+    def step(batch: pa.RecordBatch, fresh: np.ndarray, state: object) -> tuple[list[pa.Array], object]:
+        allowed, wait, state = take_tokens(_times(batch, at), fresh.tolist(), state, burst, per_ms)
+        return [pa.array(allowed), pa.array(wait, pa.int64())], state
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, allowed boolean, retry_after_ms bigint"
-    return ordered_scan(pieces, [key, "segment"], [at, tie], step, schema)
+    added = "allowed boolean, retry_after_ms bigint"
+    return ordered_scan(pieces, [key, "segment"], [at, tie], [key, at, tie], step, added)
 
 
 def accept_after(
@@ -90,10 +95,8 @@ def suppress_duplicates(
     """
     pieces = segments_by_gap(events.select(key, at, tie), [key], at, tie, quiet_seconds, strict=True)
 
-    def step(batch: pd.DataFrame, fresh: np.ndarray, state: object) -> tuple[pd.DataFrame, object]:
-        accepted, state = accept_after(millis(batch[at]), fresh.tolist(), state, quiet_seconds * 1000)
-        return batch[[key, at, tie]].assign(accepted=accepted), state
+    def step(batch: pa.RecordBatch, fresh: np.ndarray, state: object) -> tuple[list[pa.Array], object]:
+        accepted, state = accept_after(_times(batch, at), fresh.tolist(), state, quiet_seconds * 1000)
+        return [pa.array(accepted)], state
 
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, accepted boolean"
-    return ordered_scan(pieces, [key, "segment"], [at, tie], step, schema)
+    return ordered_scan(pieces, [key, "segment"], [at, tie], [key, at, tie], step, "accepted boolean")

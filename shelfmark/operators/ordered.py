@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BLOCK = "__block"
 
@@ -136,32 +138,46 @@ def segments_by_gap(
     )
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """True where a value differs from the one before; nulls are equal to each other."""
+    here, before = column.slice(1), column.slice(0, len(column) - 1)
+    differs = pc.fill_null(pc.not_equal(here, before), False)
+    return pc.or_(differs, pc.xor(here.is_null(), before.is_null())).to_numpy(zero_copy_only=False)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    step: Callable[[pd.DataFrame, np.ndarray, object], tuple[pd.DataFrame, object]],
-    schema: str,
+    keep: list[str],
+    step: Callable[[pa.RecordBatch, np.ndarray, object], tuple[list[pa.Array], object]],
+    added: str,
 ) -> DataFrame:
-    """Fold over each key's rows in order, with only one batch in memory.
+    """Fold over each key's rows in order; returns ``keep`` and the ``added`` columns.
 
     Rows are sorted by Spark (which spills). ``step`` gets a batch, a flag per
     row that is true where a new key starts, and the state left by the batch
     before, so no group is ever collected.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list | None = None
         state: object = None
         for batch in batches:
-            if batch.empty:
+            rows = batch.num_rows
+            if rows == 0:
                 continue
-            marks = batch[keys]
-            fresh = marks.ne(marks.shift()).any(axis=1).to_numpy()
-            fresh[0] = tuple(marks.iloc[0]) != last
-            last = tuple(marks.iloc[-1])
-            done, state = step(batch, fresh, state)
-            yield done
-
-    placed = df.repartition(*[F.col(key) for key in keys])
-    return placed.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+            marks = [batch.column(batch.schema.get_field_index(key)) for key in keys]
+            fresh = np.zeros(rows, dtype=bool)
+            fresh[0] = [mark[0] for mark in marks] != last
+            for mark in marks:
+                fresh[1:] |= _changes(mark)
+            last = [mark[rows - 1] for mark in marks]
+            new, state = step(batch, fresh, state)
+            kept = [batch.column(batch.schema.get_field_index(name)) for name in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=names)
+
+    out = T.StructType([*[df.schema[name] for name in keep], *T.StructType.fromDDL(added).fields])
+    names = out.fieldNames()
+    placed = df.select(*dict.fromkeys([*keys, *order, *keep])).repartition(*[F.col(key) for key in keys])
+    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, out)
