@@ -1,8 +1,8 @@
 """Rate limiting and duplicate suppression of event arrivals, batch form.
 
 Both carry state from one event of a key to the next. The state is reset by a
-long enough pause, so a key's events are first cut at those pauses and each
-piece is scanned on its own (see ``ordered``); the streaming twins in
+long enough pause, so a crowded key is first cut at those pauses and each piece
+is scanned on its own (see ``ordered``); the streaming twins in
 ``shelfmark.streaming`` keep the same state between micro-batches.
 """
 
@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.ordered import ordered_scan, segments_by_gap
+from shelfmark.operators.ordered import cut_hot_keys, ordered_scan
+
+# Keys with more rows than this are cut into pieces first.
+HOT_ROWS = 1_000_000
 
 
 def client_key(subject: Column, address: Column) -> Column:
@@ -58,12 +61,12 @@ def _times(batch: pa.RecordBatch, at: str) -> list[float]:
 
 def rate_limit(
     events: DataFrame, key: str = "client", at: str = "ts", tie: str = "event_id",
-    *, burst: float = 10, per_minute: float = 60,
+    *, burst: float = 10, per_minute: float = 60, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds allowed and retry_after_ms. A bucket is full again after a pause of burst/rate."""
     per_ms = per_minute / 60_000
     refill_seconds = burst / per_ms / 1000
-    pieces = segments_by_gap(events.select(key, at, tie), [key], at, tie, refill_seconds)
+    pieces = cut_hot_keys(events.select(key, at, tie), key, at, tie, refill_seconds, hot_rows=hot_rows)
 
     def step(batch: pa.RecordBatch, fresh: np.ndarray, state: object) -> tuple[list[pa.Array], object]:
         allowed, wait, state = take_tokens(_times(batch, at), fresh.tolist(), state, burst, per_ms)
@@ -86,14 +89,15 @@ def accept_after(
 
 
 def suppress_duplicates(
-    events: DataFrame, key: str, at: str = "ts", tie: str = "event_id", *, quiet_seconds: float
+    events: DataFrame, key: str, at: str = "ts", tie: str = "event_id", *, quiet_seconds: float,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds accepted: false while an accepted event of the key is still fresh.
 
     Time stands in for "queued or in progress": a key is accepted again once
     more than ``quiet_seconds`` have passed since it was last accepted.
     """
-    pieces = segments_by_gap(events.select(key, at, tie), [key], at, tie, quiet_seconds, strict=True)
+    pieces = cut_hot_keys(events.select(key, at, tie), key, at, tie, quiet_seconds, strict=True, hot_rows=hot_rows)
 
     def step(batch: pa.RecordBatch, fresh: np.ndarray, state: object) -> tuple[list[pa.Array], object]:
         accepted, state = accept_after(_times(batch, at), fresh.tolist(), state, quiet_seconds * 1000)

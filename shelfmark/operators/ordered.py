@@ -138,6 +138,21 @@ def segments_by_gap(
     )
 
 
+def cut_hot_keys(
+    df: DataFrame, key: str, order: str, tie: str, gap_seconds: float, *, strict: bool = False,
+    hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """Adds ``segment`` as :func:`segments_by_gap` does, but only to crowded keys.
+
+    Other keys keep null: one task can scan them whole. There are at most
+    total/hot_rows crowded keys, so finding them is one small aggregation.
+    """
+    crowded = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(key)
+    calm = df.join(crowded, key, "left_anti").withColumn("segment", F.lit(None).cast(df.schema[order].dataType))
+    hot = segments_by_gap(df.join(crowded, key, "left_semi"), [key], order, tie, gap_seconds, strict=strict)
+    return calm.unionByName(hot)
+
+
 def _changes(column: pa.Array) -> np.ndarray:
     """True where a value differs from the one before; nulls are equal to each other."""
     here, before = column.slice(1), column.slice(0, len(column) - 1)

@@ -61,9 +61,10 @@ def test_previous_value_across_blocks(frame, events):
             before = number
 
 
+@pytest.mark.parametrize("hot_rows", [50, 10**6])
 @pytest.mark.parametrize("burst, per_minute", [(3, 60), (1, 20), (10, 600)])
-def test_rate_limit_same_as_a_loop(frame, events, burst, per_minute):
-    got = {r["event_id"]: (r["allowed"], r["retry_after_ms"]) for r in ar.rate_limit(frame, burst=burst, per_minute=per_minute).collect()}
+def test_rate_limit_same_as_a_loop(frame, events, burst, per_minute, hot_rows):
+    got = {r["event_id"]: (r["allowed"], r["retry_after_ms"]) for r in ar.rate_limit(frame, burst=burst, per_minute=per_minute, hot_rows=hot_rows).collect()}
     rate = per_minute / 60_000
     for rows in by_key(events).values():
         tokens, last = float(burst), None
@@ -79,9 +80,10 @@ def test_rate_limit_same_as_a_loop(frame, events, burst, per_minute):
     assert len(got) == len(events)
 
 
+@pytest.mark.parametrize("hot_rows", [50, 10**6])
 @pytest.mark.parametrize("quiet", [0.5, 4, 60])
-def test_duplicates_same_as_a_loop(frame, events, quiet):
-    got = {r["event_id"]: r["accepted"] for r in ar.suppress_duplicates(frame, "client", quiet_seconds=quiet).collect()}
+def test_duplicates_same_as_a_loop(frame, events, quiet, hot_rows):
+    got = {r["event_id"]: r["accepted"] for r in ar.suppress_duplicates(frame, "client", quiet_seconds=quiet, hot_rows=hot_rows).collect()}
     for rows in by_key(events).values():
         last = None
         for number, at in rows:
