@@ -196,21 +196,25 @@ def check_golden_lines(lines: DataFrame, line: str = "line", number: str = "line
     Blank lines are skipped. Reported per line: malformed JSON, a missing or
     empty field, an empty id list or a query id that an earlier line used.
     """
-    parsed = lines.where(F.length(tx.strip(F.col(line))) > 0).withColumn("__d", F.try_parse_json(tx.strip(F.col(line))))
-    document = F.col("__d")
-
-    def text_field(path: str) -> Column:
-        return F.when(_variant_is(document, path, ("STRING",)), F.try_variant_get(document, path, "string"))
-
-    entries = F.try_variant_get(document, "$.relevantChunkIds", "array<variant>")
-    ids = F.transform(entries, lambda e: F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")))
-    shaped = parsed.select(
-        *[c for c in lines.columns],
-        text_field("$.queryId").alias("query_id"),
-        text_field("$.query").alias("query"),
-        ids.alias("relevant_chunk_ids"),
-        document.isNull().alias("__broken"),
-    )
+
+    def fields(document: Column) -> Column:
+        def text_field(path: str) -> Column:
+            return F.when(_variant_is(document, path, ("STRING",)), F.try_variant_get(document, path, "string"))
+
+        entries = F.try_variant_get(document, "$.relevantChunkIds", "array<variant>")
+        ids = F.transform(
+            entries, lambda e: F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
+        )
+        return F.struct(
+            text_field("$.queryId").alias("query_id"),
+            text_field("$.query").alias("query"),
+            ids.alias("relevant_chunk_ids"),
+            document.isNull().alias("__broken"),
+        )
+
+    filled = lines.where(F.length(tx.strip(F.col(line))) > 0)
+    parsed = filled.withColumn("__d", tx.let(F.try_parse_json(tx.strip(F.col(line))), fields))
+    shaped = parsed.select(*lines.columns, "__d.*")
     bad_ids = F.size(F.filter("relevant_chunk_ids", lambda x: F.coalesce(F.length(x), F.lit(0)) == 0)) > 0
     problem = (
         F.when(F.col("__broken"), "malformed JSON")

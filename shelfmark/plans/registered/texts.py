@@ -413,8 +413,8 @@ FROM judged LEFT JOIN firsts USING (user_id)""",
 )
 def golden_validate(spark: SparkSession, folder: str) -> DataFrame:
     """Events as JSONL lines with all kinds of faults; clicks are blank lines."""
-    events = table(spark, folder, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    events = spread(table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")))
+    k = F.col("k")
     name = F.when(k < 10, F.lit("")).otherwise(F.concat(F.lit('"queryId": "q_'), F.col("user_id"), F.lit('", ')))
     text = F.when((k >= 10) & (k < 20), F.lit('"query": 5')).otherwise(F.concat(F.lit('"query": "'), "event_type", F.lit('"')))
     ids = (
