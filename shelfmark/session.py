@@ -5,10 +5,14 @@ On a cluster the session comes from the platform; nothing here is required.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -50,7 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a result that several later steps read, in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per session, so that queries run from any working folder."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="shelfmark-ship-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "shelfmark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._shelfmark_shipped = True
