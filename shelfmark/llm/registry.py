@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("exact_index", "line_chunks", "bpe", "decontaminate")
+MODULES = ("exact_index", "line_chunks", "bpe", "decontaminate", "quality")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
