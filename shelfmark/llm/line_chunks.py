@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, keyed, row_key, table
+from shelfmark.llm.common import KEY, keyed, row_key, stored, table
 from shelfmark.llm.registry import query
 
 DIVISOR = 4
@@ -65,12 +65,13 @@ def line_dedup(
     multi = (F.col("c.n") > 1) & (F.length(F.trim(F.translate("c.t", "\n\r\t", ""))) > 0)
     exploded = base.select(*KEY, F.posexplode(joined_chunks).alias("i", "c")).where(multi)
     marks = exploded.select(*KEY, "i", F.xxhash64("c.t").alias("mark"))
-    again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    again = stored(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     places = marks.join(again, "mark", "left_semi").groupBy(*KEY).agg(F.collect_set("i").alias("at"))
     found = base.join(places, KEY).select(*KEY, "at", F.posexplode(joined_chunks).alias("i", "c"))
-    found = found.where(F.array_contains("at", F.col("i"))).select(*KEY, "i", F.col("c.t").alias("t"))
+    found = stored(found.where(F.array_contains("at", F.col("i"))).select(*KEY, "i", F.col("c.t").alias("t")))
     first = F.min(F.struct(F.col(KEY[0]), F.col(KEY[1]), F.col("i"))).alias("first")
-    repeated = found.groupBy("t").agg(F.count("*").alias("n"), first).where("n > 1").select("t", "first")
+    # Stored tables leave both sides of these joins plain exchanges, which Spark splits where one chunk is in very many texts.
+    repeated = stored(found.groupBy("t").agg(F.count("*").alias("n"), first).where("n > 1").select("t", "first"))
     later = found.join(repeated, "t").where(F.struct(*KEY, "i") != F.col("first"))
     drop = later.groupBy(*KEY).agg(F.collect_set("i").alias("gone"))
     done = base.join(drop, KEY, "left").dropDuplicates(KEY)
