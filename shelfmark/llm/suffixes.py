@@ -54,7 +54,7 @@ def common_prefixes(seq: np.ndarray, order: np.ndarray, limit: int) -> np.ndarra
     Kasai's bound (the suffix one further on shares at least one symbol less)
     fills the values in text order; only places where the preceding symbols of
     the two suffixes differ are compared, all at once, eight symbols at a time.
-    ``seq`` has ``limit`` + 8 symbols of padding.
+    ``seq`` ends with 16 zeros or more.
     """
     count = len(order)
     shared = np.zeros(count, np.int64)
@@ -80,14 +80,13 @@ def common_prefixes(seq: np.ndarray, order: np.ndarray, limit: int) -> np.ndarra
             same &= (x == seq[b + k]) & (x != 0)
             grown += same
         done[left] += grown
-        keep = same & (done[left] < limit)
-        left, a, b = left[keep], a[keep] + 8, b[keep] + 8
-    length[fresh] = np.minimum(done, limit) if limit else done
-    # A place that is not fresh continues the run of its predecessor: one symbol less, unless capped there.
+        left, a, b = left[same], a[same] + 8, b[same] + 8
+    length[fresh] = done
+    # A place that is not fresh continues the run of its predecessor: one symbol less.
     run = np.maximum.accumulate(np.where(np.isin(np.arange(len(here)), fresh, assume_unique=True), np.arange(len(here)), 0))
     length = np.maximum(length[run] - (np.arange(len(here)) - run), 0)
     spot = np.zeros(len(seq), np.int64)
-    spot[here] = length
+    spot[here] = np.minimum(length, limit)
     shared[1:] = spot[order[1:]]
     return shared
 
