@@ -54,8 +54,8 @@ def line_dedup(
 ) -> DataFrame:
     """(key, __sm_kept, n_lines, n_chunks, n_removed_chunks, n_removed_lines) per distinct (id, text).
 
-    The first occurrence is the one with the smallest id (a null id comes
-    last), then text hash, then place. Chunks of blank lines alone stay. A null
+    The first occurrence is the one with the smallest id (a null id counts as
+    0), then text hash, then place. Chunks of blank lines alone stay. A null
     or empty text is one empty line. Rows that repeat id and text share one
     row here, and each repetition counts as an occurrence.
     """

@@ -6,26 +6,32 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import near_dedup
+from shelfmark.llm.common import buffers
 from shelfmark.llm.near_dedup import deduplicated, near_duplicates
+from shelfmark.llm.words import words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 def shingle_counts(text):
-    words = WORD.findall((text or "").lower())
-    if not words:
+    found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not found:
         return Counter()
-    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+    return Counter(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4)))
 
 
 def brute(rows):
     """Smallest id of every row's class, over all pairs of distinct texts."""
     sets = [shingle_counts(t) for _, t in rows]
-    df, n = Counter(s for c in sets for s in c), len(rows)
-    idf = {s: 1 + math.log((n + 1) / (d + 1)) / math.log(n + 1) for s, d in df.items()}
+    every = sorted({s for c in sets for s in c})
+    _, hashes = near_dedup.shingles(*words(*buffers(pa.array([" ".join(s) for s in every]))))
+    cell = dict(zip(every, (hashes % (1 << near_dedup.SPACE_BITS)).tolist(), strict=True))
+    df, n = Counter(x for c in sets for x in {cell[s] for s in c}), len(rows)
+    idf = {s: 1 + math.log((n + 1) / (df[cell[s]] + 1)) / math.log(n + 1) for s in every}
     up = list(range(len(rows)))
 
     def root(i):
@@ -54,9 +60,9 @@ def corpus(seed):
     rng = random.Random(seed)
     rows = []
     for _ in range(12):
-        words = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([6, 60, 200]))]
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([6, 60, 200]))]
         for _ in range(rng.choice([1, 2, 5, 30])):
-            copy = list(words)
+            copy = list(base)
             for _ in range(rng.choice([0, 0, 1, 2, 6])):
                 copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
             rows.append(" ".join(copy))
@@ -78,10 +84,10 @@ def test_classes_equal_brute_force(spark, seed):
 
 def test_crowded_bucket_takes_rounds(spark):
     rng = random.Random(9)
-    words = [f"v{rng.randrange(5000)}" for _ in range(120)]
+    base = [f"v{rng.randrange(5000)}" for _ in range(120)]
     rows = []
     for i in range(150):
-        copy = list(words)
+        copy = list(base)
         copy[rng.randrange(120)] = f"n{i}"
         rows.append((i, " ".join(copy)))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
