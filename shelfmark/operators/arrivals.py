@@ -8,7 +8,9 @@ is scanned on its own (see ``ordered``); the streaming twins in
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,66 +30,99 @@ def client_key(subject: Column, address: Column) -> Column:
     return F.coalesce(named, F.when(F.length(address) > 0, address), F.lit("unknown"))
 
 
+class Rate(NamedTuple):
+    """A token bucket in whole numbers, so that every way of counting agrees.
+
+    A microsecond adds ``gain`` units; a token is ``token`` units.
+    """
+
+    full: int
+    token: int
+    gain: int
+
+    @classmethod
+    def of(cls, burst: float, per_minute: float) -> Rate:
+        rate = Fraction(per_minute).limit_denominator(1_000_000)
+        token = 60_000_000 * rate.denominator
+        return cls(int(Fraction(burst).limit_denominator(1_000_000) * token), token, rate.numerator)
+
+    def refill_micros(self) -> int:
+        """The shortest pause after which the bucket is full whatever was in it."""
+        return -(-self.full // self.gain)
+
+
 def take_tokens(
-    at_ms: list[float], fresh: list[bool], state: tuple[float, float] | None, burst: float, per_ms: float
-) -> tuple[list[bool], list[int], tuple[float, float] | None]:
-    """Token bucket over events in order; returns decisions and waiting times."""
+    at: list[int], fresh: list[bool], state: tuple[int, int] | None, rate: Rate
+) -> tuple[list[bool], list[int], tuple[int, int] | None]:
+    """Token bucket over events in order, at microseconds; returns decisions and waiting times in milliseconds."""
     allowed, wait = [], []
-    burst = float(burst)
-    tokens, last = state or (burst, 0.0)
-    for now, first in zip(at_ms, fresh):
+    units, last = state or (rate.full, 0)
+    for now, first in zip(at, fresh):
         if first:
-            tokens, last = burst, now
+            units, last = rate.full, now
         if now > last:
-            tokens, last = min(burst, tokens + (now - last) * per_ms), now
-        if tokens >= 1:
-            tokens -= 1
+            units, last = min(rate.full, units + (now - last) * rate.gain), now
+        if units >= rate.token:
+            units -= rate.token
             allowed.append(True)
             wait.append(0)
         else:
             allowed.append(False)
-            wait.append(math.ceil((1 - tokens) / per_ms))
-    return allowed, wait, (tokens, last)
+            wait.append(-(-(rate.token - units) // (1000 * rate.gain)))
+    return allowed, wait, (units, last)
+
 
+def micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
 
-def millis(times: pd.Series) -> list[float]:
-    return (times.astype("datetime64[us]").astype("int64") / 1000.0).tolist()
 
+def _times(batch: pa.RecordBatch, at: str) -> list[int]:
+    return batch.column(batch.schema.get_field_index(at)).cast(pa.int64()).to_pylist()
 
-def _times(batch: pa.RecordBatch, at: str) -> list[float]:
-    micros = batch.column(batch.schema.get_field_index(at)).cast(pa.int64())
-    return (micros.to_numpy() / 1000.0).tolist()
+
+def _decided(events: DataFrame, key: str, at: str, tie: str, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows without a time change nothing and get null decisions."""
+    rows = events.select(key, at, tie)
+    decided = decide(rows.where(F.col(at).isNotNull()))
+    added = [F.lit(None).cast(decided.schema[c].dataType).alias(c) for c in decided.columns[3:]]
+    return decided.unionByName(rows.where(F.col(at).isNull()).select("*", *added))
 
 
 def rate_limit(
     events: DataFrame, key: str = "client", at: str = "ts", tie: str = "event_id",
     *, burst: float = 10, per_minute: float = 60, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Adds allowed and retry_after_ms. A bucket is full again after a pause of burst/rate."""
-    per_ms = per_minute / 60_000
-    refill_seconds = burst / per_ms / 1000
-    pieces = cut_hot_keys(events.select(key, at, tie), key, at, tie, refill_seconds, hot_rows=hot_rows)
+    """Adds allowed and retry_after_ms. A bucket is full again after a pause of burst/rate.
+
+    Null keys share one bucket; an event without a time is undecided (null).
+    """
+    rate = Rate.of(burst, per_minute)
 
     def step(batch: pa.RecordBatch, fresh: np.ndarray, state: object) -> tuple[list[pa.Array], object]:
-        allowed, wait, state = take_tokens(_times(batch, at), fresh.tolist(), state, burst, per_ms)
+        allowed, wait, state = take_tokens(_times(batch, at), fresh.tolist(), state, rate)
         return [pa.array(allowed), pa.array(wait, pa.int64())], state
 
-    added = "allowed boolean, retry_after_ms bigint"
-    return ordered_scan(pieces, [key, "segment"], [at, tie], [key, at, tie], step, added)
+    def decide(rows: DataFrame) -> DataFrame:
+        pieces = cut_hot_keys(rows, key, at, tie, rate.refill_micros(), hot_rows=hot_rows)
+        return ordered_scan(pieces, [key, "segment"], [at, tie], [key, at, tie], step, "allowed boolean, retry_after_ms bigint")
+
+    return _decided(events, key, at, tie, decide)
 
 
-def accept_after(
-    at_ms: list[float], fresh: list[bool], last: float | None, quiet_ms: float
-) -> tuple[list[bool], float | None]:
+def accept_after(at: list[int], fresh: list[bool], last: int | None, quiet_micros: int) -> tuple[list[bool], int | None]:
     accepted = []
-    for now, first in zip(at_ms, fresh):
-        take = first or last is None or now - last > quiet_ms
+    for now, first in zip(at, fresh):
+        take = first or last is None or now - last > quiet_micros
         if take:
             last = now
         accepted.append(take)
     return accepted, last
 
 
+def quiet_span(seconds: float) -> int:
+    return round(seconds * 1_000_000)
+
+
 def suppress_duplicates(
     events: DataFrame, key: str, at: str = "ts", tie: str = "event_id", *, quiet_seconds: float,
     hot_rows: int = HOT_ROWS,
@@ -95,12 +130,17 @@ def suppress_duplicates(
     """Adds accepted: false while an accepted event of the key is still fresh.
 
     Time stands in for "queued or in progress": a key is accepted again once
-    more than ``quiet_seconds`` have passed since it was last accepted.
+    more than ``quiet_seconds`` have passed since it was last accepted. Null
+    keys are one key; an event without a time is undecided (null).
     """
-    pieces = cut_hot_keys(events.select(key, at, tie), key, at, tie, quiet_seconds, strict=True, hot_rows=hot_rows)
+    quiet = quiet_span(quiet_seconds)
 
     def step(batch: pa.RecordBatch, fresh: np.ndarray, state: object) -> tuple[list[pa.Array], object]:
-        accepted, state = accept_after(_times(batch, at), fresh.tolist(), state, quiet_seconds * 1000)
+        accepted, state = accept_after(_times(batch, at), fresh.tolist(), state, quiet)
         return [pa.array(accepted)], state
 
-    return ordered_scan(pieces, [key, "segment"], [at, tie], [key, at, tie], step, "accepted boolean")
+    def decide(rows: DataFrame) -> DataFrame:
+        pieces = cut_hot_keys(rows, key, at, tie, quiet, strict=True, hot_rows=hot_rows)
+        return ordered_scan(pieces, [key, "segment"], [at, tie], [key, at, tie], step, "accepted boolean")
+
+    return _decided(events, key, at, tie, decide)

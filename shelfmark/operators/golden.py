@@ -79,15 +79,15 @@ def sample_chunks(
     return picked.withColumn("place", place.cast("long")).drop("__order")
 
 
-def neighbours(sample: DataFrame, chunks: DataFrame, n: int = SAMPLE_CHUNKS) -> DataFrame:
+def neighbours(sample: DataFrame, chunks: DataFrame) -> DataFrame:
     """Relevant chunks of each sampled chunk: itself first, then its page by index.
 
     Long rows instead of arrays, so a page of any size is no problem:
-    (source_chunk_id, chunk_id, is_source, chunk_index). The sample is
-    broadcast; ``sample_chunks`` bounds it to n rows.
+    (source_chunk_id, chunk_id, is_source, chunk_index). Every row of the
+    sample counts; Spark picks the join by its size.
     """
-    wanted = sample.limit(n).select(F.col("chunk_id").alias("source_chunk_id"), "page_id")
-    joined = chunks.select("page_id", "chunk_id", "chunk_index").join(F.broadcast(wanted), "page_id")
+    wanted = sample.select(F.col("chunk_id").alias("source_chunk_id"), "page_id")
+    joined = chunks.select("page_id", "chunk_id", "chunk_index").join(wanted, "page_id")
     return joined.select(
         "source_chunk_id",
         "chunk_id",

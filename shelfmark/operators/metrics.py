@@ -146,9 +146,14 @@ def lift(metrics: DataFrame, stage: str = "stage", before: str = "base", after:
 
 
 def regressions(run: DataFrame, baseline: DataFrame, allowed_drop: float) -> DataFrame:
-    """Compare a run to a baseline; ``failed`` where a metric fell by more than allowed."""
+    """Compare a run to a baseline; ``failed`` where a metric fell by more than allowed or is gone from the run.
+
+    A metric that only the run has cannot fail.
+    """
     old = baseline.select("metric", "k", F.col("value").alias("baseline"))
+    new = run.select("metric", "k", "value")
     drop = F.col("baseline") - F.col("value")
-    return run.join(old, ["metric", "k"]).select(
-        "metric", "k", "value", "baseline", drop.alias("drop"), (drop > allowed_drop).alias("failed")
+    gone = F.col("value").isNull() & F.col("baseline").isNotNull()
+    return new.join(old, ["metric", "k"], "full_outer").select(
+        "metric", "k", "value", "baseline", drop.alias("drop"), (gone | F.coalesce(drop > allowed_drop, F.lit(False))).alias("failed")
     )

@@ -20,6 +20,14 @@ from pyspark.sql import types as T
 _BLOCK = "__block"
 
 
+def same_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the right side's other columns are added."""
+    renamed = right.select(*[F.col(k).alias(f"__right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    equal = [F.col(k).eqNullSafe(F.col(f"__right_{i}")) for i, k in enumerate(keys)]
+    condition = equal[0]
+    for one in equal[1:]:
+        condition = condition & one
+    return left.join(renamed, condition, how).drop(*[f"__right_{i}" for i in range(len(keys))])
 
 
 def running_sum(
@@ -35,7 +43,9 @@ def running_sum(
     """Adds ``name``: the sum of ``value`` up to this row, in the key's order.
 
     ``order`` is a whole number that is unique within the key. The newest row
-    of each key is marked in ``<name>_first``.
+    of each key is marked in ``<name>_first``. Rows with a null key form a key
+    of their own; rows with a null order come first, or last if descending, and
+    are never marked.
     """
     rows = df.withColumn("__value", value).withColumn(
         _BLOCK, F.floor(F.col(order) / F.lit(block)).cast("long")
@@ -59,9 +69,9 @@ def running_sum(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(offsets, [*keys, _BLOCK])
+        same_key(rows, offsets, [*keys, _BLOCK])
         .withColumn(name, F.col("__before") + F.sum("__value").over(inside))
-        .withColumn(f"{name}_first", F.col(order) == F.col("__first"))
+        .withColumn(f"{name}_first", F.coalesce(F.col(order) == F.col("__first"), F.lit(False)))
         .drop("__value", _BLOCK, "__before", "__first")
     )
 
@@ -84,7 +94,7 @@ def previous_value(
     )
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(order, tie)
     return (
-        rows.join(carried, [*keys, _BLOCK])
+        same_key(rows, carried, [*keys, _BLOCK])
         .withColumn(name, F.coalesce(F.lag(value).over(inside), F.col("__carried")))
         .drop(_BLOCK, "__carried")
     )
@@ -106,7 +116,7 @@ def _last_start(df: DataFrame, keys: list[str], order: str, tie: str, block_seco
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(carried, [*keys, _BLOCK])
+        same_key(rows, carried, [*keys, _BLOCK])
         .withColumn("segment", F.coalesce(F.max("__at").over(inside), F.col("__carried")))
         .drop(_BLOCK, "__at", "__carried", "__start")
     )
@@ -117,21 +127,21 @@ def segments_by_gap(
     keys: list[str],
     order: str,
     tie: str,
-    gap_seconds: float,
+    gap_micros: int,
     *,
     strict: bool = False,
     block_seconds: int | None = None,
 ) -> DataFrame:
-    """Adds ``segment``: rows of a key belong together until a pause of ``gap_seconds``.
+    """Adds ``segment``: rows of a key belong together until a pause of ``gap_micros``.
 
     A segment can be worked on alone when such a pause resets the state that is
     carried from row to row, so a hot key is split at every pause. With
     ``strict`` the pause has to be longer than the gap.
     """
-    block = block_seconds or max(3600, int(gap_seconds) * 4)
+    block = block_seconds or max(3600, gap_micros // 1_000_000 * 4)
     linked = previous_value(df, keys, order, tie, order, "__previous", block)
     waited = F.unix_micros(order) - F.unix_micros("__previous")
-    limit = F.lit(int(gap_seconds * 1_000_000))
+    limit = F.lit(gap_micros)
     starts = F.col("__previous").isNull() | (waited > limit if strict else waited >= limit)
     return _last_start(
         linked.withColumn("__start", starts).drop("__previous"), keys, order, tie, block
@@ -139,17 +149,18 @@ def segments_by_gap(
 
 
 def cut_hot_keys(
-    df: DataFrame, key: str, order: str, tie: str, gap_seconds: float, *, strict: bool = False,
+    df: DataFrame, key: str, order: str, tie: str, gap_micros: int, *, strict: bool = False,
     hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Adds ``segment`` as :func:`segments_by_gap` does, but only to crowded keys.
 
     Other keys keep null: one task can scan them whole. There are at most
-    total/hot_rows crowded keys, so finding them is one small aggregation.
+    total/hot_rows crowded keys, so finding them is one small aggregation. A
+    null key is a key like any other.
     """
     crowded = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(key)
-    calm = df.join(crowded, key, "left_anti").withColumn("segment", F.lit(None).cast(df.schema[order].dataType))
-    hot = segments_by_gap(df.join(crowded, key, "left_semi"), [key], order, tie, gap_seconds, strict=strict)
+    calm = same_key(df, crowded, [key], "left_anti").withColumn("segment", F.lit(None).cast(df.schema[order].dataType))
+    hot = segments_by_gap(same_key(df, crowded, [key], "left_semi"), [key], order, tie, gap_micros, strict=strict)
     return calm.unionByName(hot)
 
 

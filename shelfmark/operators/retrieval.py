@@ -129,10 +129,11 @@ def with_fallback(questions: DataFrame, hits: DataFrame, raw_hits: DataFrame, qu
 
 
 def lexical_score(query: Column, document: Column) -> Column:
-    """Share of the query's distinct lower-case words that the document contains."""
+    """Share of the query's distinct lower-case words that the document contains; 0.0 with nothing to compare."""
     asked = F.array_distinct(tx.words(F.lower(query)))
     found = F.array_intersect(asked, tx.words(F.lower(document)))
-    return F.try_divide(F.size(found).cast("double"), F.size(asked).cast("double"))
+    share = F.try_divide(F.size(found).cast("double"), F.size(asked).cast("double"))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def rerank(

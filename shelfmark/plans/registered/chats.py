@@ -81,45 +81,68 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 EVENTS_SQL = """arrived AS (
   SELECT event_id, ts, CASE WHEN user_id > 20 THEN 'sub:' || user_id WHEN user_id > 5 THEN '10.0.0.' || user_id ELSE 'unknown' END AS client,
-         epoch_us(ts) / 1000.0 AS ms FROM events),
+         epoch_us(ts) AS us FROM events),
 placed AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS n FROM arrived)"""
 
-# A bucket of two, refilled by one token every twelve hours.
+# A bucket of two, refilled by one token every twelve hours; one token is so many microseconds.
 BURST, PER_MINUTE = 2, 1 / 720
+TOKEN = 720 * 60_000_000
 QUIET_HOURS = 6
+# Crowded already at this size, so that the cutting of crowded keys is compared too.
+SMALL_HOT = 40
 
-
-@query(
-    "rate_limit",
-    f"""WITH RECURSIVE {EVENTS_SQL},
+RATE_SQL = f"""WITH RECURSIVE {EVENTS_SQL},
 walk AS (
-  SELECT client, n, event_id, ms, {BURST - 1}::DOUBLE AS tokens, true AS allowed FROM placed WHERE n = 1
+  SELECT client, n, event_id, us, {(BURST - 1) * TOKEN}::BIGINT AS units, true AS allowed, 0::BIGINT AS retry_after_ms FROM placed WHERE n = 1
   UNION ALL
-  SELECT client, n, event_id, ms, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1 FROM (
-    SELECT p.client, p.n, p.event_id, p.ms, least({BURST}, w.tokens + (p.ms - w.ms) * ({PER_MINUTE}::DOUBLE / 60000)) AS filled
+  SELECT client, n, event_id, us, CASE WHEN filled >= {TOKEN} THEN filled - {TOKEN} ELSE filled END, filled >= {TOKEN},
+         CASE WHEN filled >= {TOKEN} THEN 0 ELSE ({TOKEN} - filled + 999) // 1000 END FROM (
+    SELECT p.client, p.n, p.event_id, p.us, least({BURST * TOKEN}, w.units + (p.us - w.us)) AS filled
     FROM walk w JOIN placed p ON p.client = w.client AND p.n = w.n + 1))
-SELECT client, event_id, allowed FROM walk""",
-)
+SELECT client, event_id, allowed, retry_after_ms FROM walk"""
+
+
+def _limited(spark: SparkSession, folder: str, **hot: int) -> DataFrame:
+    limited = ar.rate_limit(events(spark, folder), burst=BURST, per_minute=PER_MINUTE, **hot)
+    return limited.select("client", "event_id", "allowed", "retry_after_ms")
+
+
+@query("rate_limit", RATE_SQL)
 def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
-    limited = ar.rate_limit(events(spark, folder), burst=BURST, per_minute=PER_MINUTE)
-    return limited.select("client", "event_id", "allowed")
+    return _limited(spark, folder)
 
 
-@query(
-    "events_dedupe",
-    f"""WITH RECURSIVE {EVENTS_SQL},
+@query("rate_limit_hot", RATE_SQL)
+def rate_limit_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The same decisions with crowded keys cut at their pauses."""
+    return _limited(spark, folder, hot_rows=SMALL_HOT)
+
+
+DEDUPE_SQL = f"""WITH RECURSIVE {EVENTS_SQL},
 walk AS (
-  SELECT client, n, event_id, ms AS last, true AS accepted FROM placed WHERE n = 1
+  SELECT client, n, event_id, us AS last, true AS accepted FROM placed WHERE n = 1
   UNION ALL
-  SELECT p.client, p.n, p.event_id, CASE WHEN p.ms - w.last > {QUIET_HOURS * 3_600_000} THEN p.ms ELSE w.last END,
-         p.ms - w.last > {QUIET_HOURS * 3_600_000}
+  SELECT p.client, p.n, p.event_id, CASE WHEN p.us - w.last > {QUIET_HOURS * 3_600_000_000} THEN p.us ELSE w.last END,
+         p.us - w.last > {QUIET_HOURS * 3_600_000_000}
   FROM walk w JOIN placed p ON p.client = w.client AND p.n = w.n + 1)
-SELECT client, event_id, accepted FROM walk""",
-)
+SELECT client, event_id, accepted FROM walk"""
+
+
+def _single(spark: SparkSession, folder: str, **hot: int) -> DataFrame:
+    marked = ar.suppress_duplicates(events(spark, folder), "client", quiet_seconds=QUIET_HOURS * 3600, **hot)
+    return marked.select("client", "event_id", "accepted")
+
+
+@query("events_dedupe", DEDUPE_SQL)
 def events_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """A key is taken up again once six hours have passed since it was last accepted."""
-    marked = ar.suppress_duplicates(events(spark, folder), "client", quiet_seconds=QUIET_HOURS * 3600)
-    return marked.select("client", "event_id", "accepted")
+    return _single(spark, folder)
+
+
+@query("events_dedupe_hot", DEDUPE_SQL)
+def events_dedupe_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The same decisions with crowded keys cut at their pauses."""
+    return _single(spark, folder, hot_rows=SMALL_HOT)
 
 
 CLAIM_SQL = """CASE event_type WHEN 'signup' THEN 'claim' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'fail'

@@ -340,6 +340,20 @@ def regression_gate(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.regressions(means(HALF), means(None), 0.002), "drop")
 
 
+@query(
+    "regression_gate_missing",
+    f"""WITH {SPACE_SQL}, {BASE_HITS_SQL}, {space_judged_sql()}, {per_query_sql('query_id')},
+baseline AS ({means_sql('')}), run AS (SELECT * FROM baseline WHERE NOT (metric = 'recall' AND k = 5))
+SELECT metric, k, r.value, b.value AS baseline, round(b.value - r.value, 6) AS drop, r.value IS NULL OR b.value - r.value > 0.002 AS failed
+FROM baseline b LEFT JOIN run r USING (metric, k)""",
+)
+def regression_gate_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """A metric that the run lacks fails the gate."""
+    scores = metrics.per_query(metrics.judge_classes(space_hits(spark, folder, None), space_cases(spark, folder)), KS)
+    means = rounded(metrics.aggregate(scores, KS), "value")
+    return rounded(metrics.regressions(means.where("NOT (metric = 'recall' AND k = 5)"), means, 0.002), "drop")
+
+
 @query(
     "eval_report",
     f"""WITH {SPACE_SQL}, {BASE_HITS_SQL}, {space_judged_sql()}, {per_query_sql('query_id')}, means AS ({means_sql('')})

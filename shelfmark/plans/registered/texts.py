@@ -373,7 +373,7 @@ pairs AS (
 )
 def golden_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     good = gd.valid_chunks(lines(spark, folder))
-    return gd.neighbours(gd.sample_chunks(good, SAMPLE), good, SAMPLE)
+    return gd.neighbours(gd.sample_chunks(good, SAMPLE), good)
 
 
 @query(
@@ -391,7 +391,7 @@ def golden_build(spark: SparkSession, folder: str) -> DataFrame:
     good = gd.valid_chunks(lines(spark, folder))
     sample = gd.sample_chunks(good, SAMPLE)
     asked = gd.number_queries(gd.first_sentence_questions(sample))
-    pairs = gd.golden_pairs(asked, gd.neighbours(sample, good, SAMPLE))
+    pairs = gd.golden_pairs(asked, gd.neighbours(sample, good))
     return pairs.select(
         "query_id", "query", "chunk_id", "is_source", "chunk_index", F.col("page_id").cast("string").alias("source_page"),
         F.col("title").alias("source_title"),

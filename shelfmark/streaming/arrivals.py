@@ -1,77 +1,80 @@
 """Stateful twins of the batch operators in ``operators.arrivals``.
 
-State is two numbers per key. It times out, in event time, once it can no longer
-matter, which bounds the stored keys by the active ones. ``late`` says how far
-behind an event may arrive; Spark leaves out rows later than that.
+State is two whole numbers per key. It is forgotten after ``idle`` of processing
+time without an event of the key, which bounds the stored keys by the active
+ones; ``idle`` is at least the pause that resets the state. No watermark is
+set, so no event is dropped: a late one is counted when it arrives, at the
+latest time seen so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfmark.operators.arrivals import accept_after, millis, take_tokens
+from shelfmark.operators.arrivals import Rate, accept_after, micros, quiet_span, take_tokens
 
 
-def _ordered(parts: Iterable[pd.DataFrame], at: str, tie: str) -> pd.DataFrame:
+def _ordered(parts: Iterator[pd.DataFrame], at: str, tie: str) -> pd.DataFrame:
     """Rows of one key in one micro-batch; ``maxFilesPerTrigger`` bounds them."""
     return pd.concat(list(parts)).sort_values([at, tie])
 
 
-def _expire(state: GroupState, at_ms: float) -> None:
-    """Keep the state until the given event time has passed for good."""
-    state.setTimeoutTimestamp(max(int(at_ms), state.getCurrentWatermarkMs()) + 1)
-
-
 def _flags(rows: int, first: bool) -> list[bool]:
     return [first] + [False] * (rows - 1)
 
 
-def rate_limit_stream(events: DataFrame, key: str = "client", at: str = "ts", tie: str = "event_id",
-                      *, burst: float = 10, per_minute: float = 60, late: str = "1 hour") -> DataFrame:
-    """Adds allowed and retry_after_ms. Late rows are counted when they arrive."""
-    per_ms = per_minute / 60_000
-    idle_ms = max(1, int(burst / per_ms))
+def _stateful(
+    events: DataFrame, key: str, at: str, tie: str, added: str, held: str, idle_ms: int,
+    decide: Callable[[list[int], object], tuple[list[list], tuple]],
+) -> DataFrame:
+    """Fold ``decide`` over each key's timed rows; rows without a time get null decisions."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, allowed boolean, retry_after_ms bigint"
+    schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, {added}"
+    names = [column.split()[0] for column in added.split(", ")]
 
     def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        now = state.get if state.exists else None
         rows = _ordered(parts, at, tie)
-        held = state.get if state.exists else None
-        allowed, wait, new = take_tokens(millis(rows[at]), _flags(len(rows), held is None), held, burst, per_ms)
-        state.update(new)
-        _expire(state, new[1] + idle_ms)
-        yield rows[[key, at, tie]].assign(allowed=allowed, retry_after_ms=wait)
+        timed, untimed = rows[rows[at].notna()], rows[rows[at].isna()]
+        if len(untimed):
+            yield untimed[[key, at, tie]].assign(**{c: None for c in names})
+        if len(timed):
+            columns, now = decide(micros(timed[at]), now)
+            yield timed[[key, at, tie]].assign(**dict(zip(names, columns, strict=True)))
+        if now is not None:
+            state.update(now)
+        state.setTimeoutDuration(max(1, idle_ms))
+
+    return events.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def rate_limit_stream(events: DataFrame, key: str = "client", at: str = "ts", tie: str = "event_id",
+                      *, burst: float = 10, per_minute: float = 60, idle: int = 86_400_000) -> DataFrame:
+    """Adds allowed and retry_after_ms; ``idle`` is in milliseconds."""
+    rate = Rate.of(burst, per_minute)
+
+    def decide(times: list[int], held: object) -> tuple[list[list], tuple]:
+        allowed, wait, new = take_tokens(times, _flags(len(times), held is None), held, rate)
+        return [allowed, wait], new
 
-    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(
-        step, schema, "tokens double, last_ms double", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    forget = max(idle, rate.refill_micros() // 1000 + 1)
+    return _stateful(events, key, at, tie, "allowed boolean, retry_after_ms bigint", "units long, last long", forget, decide)
 
 
 def suppress_duplicates_stream(events: DataFrame, key: str, at: str = "ts", tie: str = "event_id",
-                               *, quiet_seconds: float, late: str = "1 hour") -> DataFrame:
+                               *, quiet_seconds: float, idle: int = 86_400_000) -> DataFrame:
     """Adds accepted: false while an accepted event of the key is still fresh."""
-    quiet_ms = quiet_seconds * 1000
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, accepted boolean"
+    quiet = quiet_span(quiet_seconds)
 
-    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _ordered(parts, at, tie)
-        last = state.get[0] if state.exists else None
-        accepted, last = accept_after(millis(rows[at]), _flags(len(rows), last is None), last, quiet_ms)
-        state.update((last,))
-        _expire(state, last + quiet_ms)
-        yield rows[[key, at, tie]].assign(accepted=accepted)
-
-    return events.withWatermark(at, late).groupBy(key).applyInPandasWithState(
-        step, schema, "last_ms double", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def decide(times: list[int], held: object) -> tuple[list[list], tuple]:
+        accepted, last = accept_after(times, _flags(len(times), held is None), held[0] if held else None, quiet)
+        return [accepted], (last,)
+
+    return _stateful(events, key, at, tie, "accepted boolean", "last long", max(idle, quiet // 1000 + 1), decide)

@@ -1,8 +1,10 @@
 """Skew-safe running totals and scans against plain loops."""
 
+import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,23 +63,58 @@ def test_previous_value_across_blocks(frame, events):
             before = number
 
 
+def limit_by_loop(rows, burst, per_minute):
+    """Whole-number decisions of one client: (allowed, wait in ms) by event."""
+    rate = Fraction(per_minute).limit_denominator(10**6) / 60_000_000  # tokens a microsecond
+    tokens, last, out = Fraction(burst), None, {}
+    for number, at in rows:
+        if at is None:
+            out[number] = (None, None)
+            continue
+        if last is not None and at > last:
+            tokens = min(Fraction(burst), tokens + (at - last) // timedelta(microseconds=1) * rate)
+        last = at
+        allowed = tokens >= 1
+        out[number] = (allowed, 0 if allowed else math.ceil((1 - tokens) / rate / 1000))
+        tokens -= allowed
+    return out
+
+
 @pytest.mark.parametrize("hot_rows", [50, 10**6])
-@pytest.mark.parametrize("burst, per_minute", [(3, 60), (1, 20), (10, 600)])
+@pytest.mark.parametrize("burst, per_minute", [(3, 60), (1, 20), (10, 600), (1, 7)])
 def test_rate_limit_same_as_a_loop(frame, events, burst, per_minute, hot_rows):
     got = {r["event_id"]: (r["allowed"], r["retry_after_ms"]) for r in ar.rate_limit(frame, burst=burst, per_minute=per_minute, hot_rows=hot_rows).collect()}
-    rate = per_minute / 60_000
+    want = {}
     for rows in by_key(events).values():
-        tokens, last = float(burst), None
-        for number, at in rows:
-            ms = at.timestamp() * 1000
-            if last is not None and ms > last:
-                tokens = min(burst, tokens + (ms - last) * rate)
-            last = ms
-            allowed = tokens >= 1 - 1e-9
-            tokens -= allowed
-            assert got[number][0] == allowed
-            assert (got[number][1] > 0) is not allowed
-    assert len(got) == len(events)
+        want |= limit_by_loop(rows, burst, per_minute)
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decisions_do_not_depend_on_size(spark, seed):
+    """Random bursts and rates, pauses at and around the refill time, null keys and null times."""
+    rng = random.Random(seed)
+    burst, per_minute, quiet = rng.choice([1, 2, 5]), rng.choice([7, 13, 60, 0.5]), rng.choice([1.5, 8.571428])
+    refill = ar.Rate.of(burst, per_minute).refill_micros()
+    rows, now = [], datetime(2024, 1, 1)
+    for number in range(600):
+        now += timedelta(microseconds=rng.choice([0, 1, refill - 1, refill, refill + 1, refill // 3, round(quiet * 1e6), round(quiet * 1e6) + 1]))
+        rows.append((number, rng.choice(["hot", "hot", "hot", None, "k"]), None if rng.random() < 0.05 else now))
+    frame = spark.createDataFrame(rows, "event_id long, client string, ts timestamp").repartition(3)
+    limited = [sorted(map(tuple, ar.rate_limit(frame, burst=burst, per_minute=per_minute, hot_rows=n).collect()), key=lambda r: r[2]) for n in (1, 10**6)]
+    single = [sorted(map(tuple, ar.suppress_duplicates(frame, "client", quiet_seconds=quiet, hot_rows=n).collect()), key=lambda r: r[2]) for n in (1, 10**6)]
+    assert limited[0] == limited[1] and single[0] == single[1] and len(limited[0]) == len(single[0]) == 600
+    want = {}
+    for key in ("hot", None, "k"):
+        want |= limit_by_loop([(n, t) for n, k, t in rows if k == key], burst, per_minute)
+    assert {r[2]: r[3:] for r in limited[0]} == want
+    assert all((r[1] is None) == (r[3] is None) for r in single[0])
+
+
+def test_running_sum_keeps_null_keys_and_orders(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", None, 5), (None, 2, 7), (None, 3, 1)], "k string, t long, v long")
+    got = sorted((str(r["k"]), str(r["t"]), r["s"], r["s_first"]) for r in running_sum(df, ["k"], "t", F.col("v"), "s", block=2).collect())
+    assert got == [("None", "2", 7, True), ("None", "3", 8, False), ("a", "1", 6, True), ("a", "None", 5, False)]
 
 
 @pytest.mark.parametrize("hot_rows", [50, 10**6])
@@ -95,7 +132,7 @@ def test_duplicates_same_as_a_loop(frame, events, quiet, hot_rows):
 def test_hot_key_is_cut_into_segments(frame):
     from shelfmark.operators.ordered import segments_by_gap
 
-    cut = segments_by_gap(frame.where("client = 'hot'"), ["client"], "ts", "event_id", 8)
+    cut = segments_by_gap(frame.where("client = 'hot'"), ["client"], "ts", "event_id", 8_000_000)
     assert cut.select("segment").distinct().count() > 20
 
 
