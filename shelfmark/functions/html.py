@@ -1,230 +1,180 @@
-"""HTML to readable text: a small tree over the standard library's tokenizer.
+"""Reading HTML: the top-level items of a page, each with its readable text.
 
-Only what the chunkers need. Recovery rules: a block element ends an open
-paragraph and the inline elements in it, list items and table cells end their
-open siblings, an end tag without an open start tag is ignored, and everything
-still open ends with its parent. Text before or after ``<body>`` content counts
-as body content; ``<head>`` is left out.
+The standard library's tokenizer gives an event stream; open elements are kept
+on a stack and every element's text is made by the rule of its tag when it
+closes, so nesting of any depth is read in one pass. Packing, overlap and
+header paths are Column expressions in ``operators.chunking``.
+
+Recovery: a block element ends an open paragraph, list items and table cells
+end their open siblings, an end tag without a start is ignored, and everything
+open ends with its parent or the page. ``<head>`` is left out.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from html.parser import HTMLParser
+from typing import NamedTuple
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-ENDS_PARAGRAPH = HEADINGS | frozenset(
-    "address article aside blockquote div dl fieldset footer form header hr main nav ol p pre "
-    "section table ul".split()
-)
-# An element on the left ends an open one on the right, up to the given limit.
-ENDS_SIBLING = {
-    "li": ({"li"}, {"ul", "ol"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
-HEAD_ONLY = frozenset(("head",))
 
+class Item(NamedTuple):
+    """A top-level part of a page. ``level`` is that of a heading, else 0; bare text stands in no element."""
+
+    level: int
+    title: str | None
+    text: str
+    kind: str | None  # code or table
+    bare: bool = False
+
+
+class _Open:
+    """An element that has not ended: its text by the rules, its text as written, its table rows."""
+
+    __slots__ = ("cell", "raw", "rows", "shown", "tag", "wrapper")
 
-class Node:
-    __slots__ = ("children", "tag")
+    def __init__(self, tag: str, wrapper: bool) -> None:
+        self.tag, self.wrapper = tag, wrapper
+        self.shown: list[str] = []
+        self.raw: list[str] = []
+        self.rows: list[list[list[str]]] = []
+        self.cell: list[list[str]] = []
 
-    def __init__(self, tag: str) -> None:
-        self.tag = tag
-        self.children: list[Node | str] = []
 
-    def raw_text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.raw_text() for c in self.children)
+def _grid(element: _Open) -> str:
+    """Rows between bars; a rule below the first of several."""
+    lines = ["| " + " | ".join(text for (text,) in row) + " |" for row in element.rows]
+    if len(lines) > 1:
+        lines.insert(1, "| " + " | ".join("---" for _ in element.rows[0]) + " |")
+    return "\n" + "\n".join(lines) + "\n\n" if lines else ""
 
 
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
+def _around(before: str, after: str, *, if_any: bool = False, raw: bool = False) -> Callable[[_Open], str]:
+    def show(element: _Open) -> str:
+        text = "".join(element.raw).strip() if raw else "".join(element.shown)
+        return text if if_any and not text else before + text + after
+
+    return show
+
+
+LEVELS = {f"h{n}": n for n in range(1, 7)}
+RULES: dict[str, Callable[[_Open], str]] = {
+    "table": _grid, "pre": _around("\n```\n", "\n```\n", raw=True), "code": _around("`", "`", raw=True), "li": _around("• ", "\n"),
+    "p": _around("", "\n\n", if_any=True), "div": _around("", "\n\n", if_any=True),
+} | {tag: _around("\n" + "#" * n + " ", "\n\n") for tag, n in LEVELS.items()}
+ALONE = {"br": "\n", "hr": "\n---\n"}
+EMPTY = frozenset(("area", "base", "col", "embed", "img", "input", "link", "meta", "source", "track", "wbr", *ALONE))
+KINDS = {"pre": "code", "code": "code", "table": "table"}
+
+_BLOCKS = (
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "header", "hr", "main", "nav", "ol", "p", "pre",
+    "section", "table", "ul", *LEVELS,
+)
+#: A start tag ends the nearest open element of the first set, looking no further than one of the second.
+ENDS: dict[str, list[tuple[frozenset[str], frozenset[str]]]] = {
+    tag: [(frozenset(("p",)), frozenset(("td", "th", "li", "div", "article", "section", "table")))] for tag in _BLOCKS
+}
+for _tag, _open, _within in (
+    ("li", "li", "ul ol"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"),
+    ("th", "td th", "tr table"), ("option", "option", "select"),
+):
+    ENDS.setdefault(_tag, []).append((frozenset(_open.split()), frozenset(_within.split())))
+
+
+class _Reader(HTMLParser):
+    def __init__(self, descend: tuple[str, ...]) -> None:
         super().__init__(convert_charrefs=True)
-        self.body = Node("body")
-        self.open = [self.body]
-        self.in_head = False
-
-    def _close_through(self, names: set[str] | frozenset[str], limits: set[str]) -> None:
-        for place in range(len(self.open) - 1, 0, -1):
-            tag = self.open[place].tag
-            if tag in names:
-                del self.open[place:]
+        self.descend = descend
+        self.items: list[Item] = []
+        self.open: list[_Open] = []
+        self.pending: list[str] = []
+        self.head = False
+
+    def _put(self, shown: str, raw: str = "", tag: str | None = None) -> None:
+        """Hand text to the element around it, or make it an item of the page."""
+        if self.open and not self.open[-1].wrapper:
+            self.open[-1].shown.append(shown)
+            self.open[-1].raw.append(raw)
+        elif tag in LEVELS:
+            self.items.append(Item(LEVELS[tag], raw.strip(), shown, None))
+        else:
+            self.items.append(Item(0, None, shown, KINDS.get(tag)))
+
+    def _flush(self) -> None:
+        text = "".join(self.pending)
+        self.pending.clear()
+        if text.strip():
+            inside = self.open and not self.open[-1].wrapper
+            if inside:
+                self._put(text.strip(), text)
+            else:
+                self.items.append(Item(0, None, text, None, True))
+        elif text and self.open and not self.open[-1].wrapper:
+            self.open[-1].raw.append(text)
+
+    def _end(self, count: int) -> None:
+        """End the innermost elements until ``count`` are open."""
+        while len(self.open) > count:
+            element = self.open.pop()
+            raw = "".join(element.raw)
+            for slot in element.cell:
+                slot.append(raw.strip())
+            if not element.wrapper:
+                self._put(RULES.get(element.tag, _around("", ""))(element), raw, element.tag)
+
+    def _end_nearest(self, tags: frozenset[str], within: frozenset[str] = frozenset()) -> None:
+        for place in reversed(range(len(self.open))):
+            if self.open[place].tag in tags:
+                self._end(place)
                 return
-            if tag in limits:
+            if self.open[place].tag in within:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HEAD_ONLY:
-            self.in_head = True
-        if tag == "body":
-            self.in_head = False
-        if self.in_head or tag in ("html", "body"):
+        if tag in ("head", "body"):
+            self.head = tag == "head"
+        if self.head or tag in ("html", "body"):
+            return
+        self._flush()
+        for tags, within in ENDS.get(tag, ()):
+            self._end_nearest(tags, within)
+        if tag in ALONE:
+            self._put(ALONE[tag])
+        if tag in EMPTY:
             return
-        if tag in ENDS_PARAGRAPH:
-            self._close_through({"p"}, {"td", "th", "li", "div", "article", "section", "table"})
-        if tag in ENDS_SIBLING:
-            self._close_through(*ENDS_SIBLING[tag])
-        node = Node(tag)
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        element = _Open(tag, tag in self.descend and all(e.wrapper for e in self.open))
+        for table in (e for e in self.open if e.tag == "table"):
+            if tag == "tr":
+                table.rows.append([])
+            elif tag in ("td", "th") and table.rows:
+                element.cell.append([])
+                table.rows[-1].append(element.cell[-1])
+        self.open.append(element)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
-            self.in_head = False
-        elif not self.in_head:
-            self._close_through({tag}, set())
+            self.head = False
+        elif not self.head and any(element.tag == tag for element in self.open):
+            self._flush()
+            self._end_nearest(frozenset((tag,)))
 
     def handle_data(self, data: str) -> None:
-        if self.in_head or not data:
-            return
-        siblings = self.open[-1].children
-        if siblings and isinstance(siblings[-1], str):
-            siblings[-1] += data
-        else:
-            siblings.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.body
-
-
-def _table(node: Node) -> str:
-    rows: list[list[str]] = []
-
-    def walk(current: Node) -> None:
-        for child in current.children:
-            if isinstance(child, str):
-                continue
-            if child.tag == "tr":
-                rows.append([])
-            elif child.tag in ("td", "th") and rows:
-                rows[-1].append(child.raw_text().strip())
-            walk(child)
-
-    walk(node)
-    if not rows:
-        return ""
-    lines = ["| " + " | ".join(cells) + " |" for cells in rows]
-    if len(rows) > 1:
-        lines[1:1] = ["| " + " | ".join(["---"] * len(rows[0])) + " |"]
-    return "\n" + "\n".join(lines) + "\n\n"
-
-
-def render(node: Node | str, parent: str = "body") -> str:
-    """Text of one node; text pieces are trimmed and joined without spaces."""
-    if isinstance(node, str):
-        return node.strip()
-    tag = node.tag
-    if tag == "br":
-        return "\n"
-    if tag == "hr":
-        return "\n---\n"
-    if tag == "table":
-        return _table(node)
-    if tag in ("pre", "code"):
-        code = node.raw_text().strip()
-        return f"\n```\n{code}\n```\n" if "pre" in (tag, parent) else f"`{code}`"
-    inner = "".join(render(child, tag) for child in node.children)
-    if tag == "li":
-        return f"• {inner}\n"
-    if tag in ("p", "div"):
-        return inner and inner + "\n\n"
-    if tag in HEADINGS:
-        return "\n" + "#" * int(tag[1]) + f" {inner}\n\n"
-    return inner
-
-
-def to_text(html: str) -> str:
-    return "".join(render(child) for child in parse(html).children)
-
-
-KIND_OF_TAG = {"pre": "code", "code": "code", "table": "table"}
-
-
-def sections(html: str, descend: tuple[str, ...] = ()) -> list[tuple[list[str], str, str]]:
-    """(header path, content, kind) of each part between top-level headings.
-
-    The path is popped by its depth, not by heading level. ``descend`` names
-    wrapper elements whose children count as top level; off by default.
-    """
-    top: list[Node | str] = []
-
-    def lift(nodes: list[Node | str]) -> None:
-        for node in nodes:
-            if isinstance(node, Node) and node.tag in descend:
-                lift(node.children)
-            else:
-                top.append(node)
-
-    lift(parse(html).children)
-    found: list[tuple[list[str], str, str]] = []
-    path: list[str] = []
-    pieces: list[str] = []
-    kind = "text"
-
-    def close() -> None:
-        content = "".join(pieces)
-        if content.strip():
-            found.append((list(path), content, kind))
-
-    for node in top:
-        if isinstance(node, str):
-            if node.strip():
-                pieces.append(node)
-        elif node.tag in HEADINGS:
-            close()
-            path = [*path[: int(node.tag[1]) - 1], node.raw_text().strip()]
-            pieces, kind = [], "text"
-        else:
-            seen = KIND_OF_TAG.get(node.tag)
-            if seen and kind != seen:
-                kind = seen if kind == "text" else "mixed"
-            pieces.append(render(node))
-    close()
-    return found
-
-
-_PARAGRAPHS = re.compile(r"\n\n+")
-_SENTENCE = re.compile(r"[^.!?]*[.!?]\s*")
-_WORD = re.compile(r"\S*\s+")
-
-
-def tail(content: str, overlap_tokens: int) -> str:
-    size = 4 * overlap_tokens
-    if len(content) <= size:
-        return content
-    end = content[len(content) - size :]
-    found = _SENTENCE.match(end) or _WORD.match(end)
-    return end[found.end() :] if found else end
-
-
-def pack_paragraphs(content: str, most: int, overlap: int, count) -> list[str]:
-    """Fill pieces with whole paragraphs; a paragraph is never broken."""
-    if count(content) <= most:
-        return [content]
-    pieces: list[str] = []
-    current, used = "", 0
-    for paragraph in _PARAGRAPHS.split(content):
-        cost = count(paragraph)
-        if current and used + cost > most:
-            pieces.append(current.strip())
-            current = tail(current, overlap) + paragraph + "\n\n"
-            used = count(current)
-        else:
-            current += paragraph + "\n\n"
-            used += cost
-    if current.strip():
-        pieces.append(current.strip())
-    return pieces
+        if not self.head:
+            self.pending.append(data)
+
+
+def items(html: str | None, descend: tuple[str, ...] = ()) -> list[Item]:
+    """Top-level items in page order; ``descend`` names wrappers whose children count as top level."""
+    reader = _Reader(descend)
+    reader.feed(html or "")
+    reader.close()
+    reader._flush()
+    reader._end(0)
+    return reader.items
+
+
+def to_text(html: str | None) -> str:
+    """Readable text of a page."""
+    return "".join(i.text.strip() if i.bare else i.text for i in items(html))
 
 
 def split_recursive(

@@ -15,9 +15,9 @@ WHITE_SPACE = (
 
 # German function words that mark a text as German.
 GERMAN_WORDS = (
-    "der die das und oder nicht ich ist sind wie was wer wo kann könnte bitte für mit ein eine "
-    "auf wird werden muss habe gibt welche wenn"
-).split()
+    "der", "die", "das", "und", "oder", "nicht", "ich", "ist", "sind", "wie", "was", "wer", "wo", "kann", "könnte", "bitte", "für", "mit",
+    "ein", "eine", "auf", "wird", "werden", "muss", "habe", "gibt", "welche", "wenn",
+)
 GERMAN_LETTERS = "äöüßÄÖÜ"
 
 # Separators and limits of the prompt format.

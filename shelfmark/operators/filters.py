@@ -47,13 +47,13 @@ def eligible_attachment(media_type: Column, stated_size: Column, real_size: Colu
 
 # -- tickets ----------------------------------------------------------------
 
+# Event names and the minutes after which a claim is stale.
 LABEL_IN_PROGRESS = "agent-in-progress"
 LABEL_DONE = "agent-done"
 LABEL_FAILED = "agent-failed"
 AGENT_LABELS = (LABEL_IN_PROGRESS, LABEL_DONE, LABEL_FAILED)
 ISSUE_EVENTS = ("jira:issue_created", "jira:issue_updated")
 STALE_MINUTES = 30
-POLL_PAGE = 50
 
 
 def untouched(labels: Column) -> Column:

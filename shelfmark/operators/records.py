@@ -144,18 +144,28 @@ def _questions(parsed: Column, most: int | None) -> Column:
 
 
 # Rich-text nodes that end a line.
-LINE_NODES = frozenset("paragraph heading listItem codeBlock blockquote tableRow".split())
-
-
-def _node_text(node: dict | None) -> str:
-    if not node:
-        return ""
-    kind = node.get("type")
-    if kind == "hardBreak":
-        return "\n"
-    own = (node.get("text") or "") if kind == "text" else ""
-    inner = "".join(map(_node_text, node.get("content") or ()))
-    return own + inner + ("\n" if kind in LINE_NODES else "")
+LINE_NODES = ("paragraph", "heading", "listItem", "codeBlock", "blockquote", "tableRow")
+
+
+def tree_text(tree: dict) -> str:
+    """Text of a document tree, in reading order; any depth."""
+    out: list[str] = []
+    todo: list[object] = [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif isinstance(node, dict):
+            kind = node.get("type")
+            if kind == "hardBreak":
+                out.append("\n")
+                continue
+            if kind == "text":
+                out.append(node.get("text") or "")
+            if kind in LINE_NODES:
+                todo.append("\n")
+            todo.extend(reversed([child for child in node.get("content") or () if isinstance(child, dict)]))
+    return "".join(out)
 
 
 def rich_text(document: Column) -> Column:
@@ -174,7 +184,7 @@ def rich_text(document: Column) -> Column:
             except ValueError:
                 return value
             if isinstance(tree, dict):
-                return _node_text(tree)
+                return tree_text(tree)
             return tree if isinstance(tree, str) else ""
 
         return values.map(one)

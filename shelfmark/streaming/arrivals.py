@@ -1,9 +1,9 @@
 """Stateful twins of the batch operators in ``operators.arrivals``.
 
-State is two whole numbers per key. It is forgotten after ``idle`` of processing
-time without an event of the key, which bounds the stored keys by the active
-ones; ``idle`` is at least the pause that resets the state. No watermark is
-set, so no event is dropped: a late one is counted when it arrives, at the
+State is two whole numbers per key. It is forgotten once no event of the key has
+arrived for ``idle``, which bounds the stored keys by the active ones; ``idle``
+is at least the pause that resets the state. The watermark is on the time of
+arrival, so no event is dropped: a late one is counted when it arrives, at the
 latest time seen so far.
 """
 
@@ -13,10 +13,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark.operators.arrivals import Rate, accept_after, micros, quiet_span, take_tokens
 
+ARRIVED = "__arrived"
+
 
 def _ordered(parts: Iterator[pd.DataFrame], at: str, tie: str) -> pd.DataFrame:
     """Rows of one key in one micro-batch; ``maxFilesPerTrigger`` bounds them."""
@@ -50,9 +53,11 @@ def _stateful(
             yield timed[[key, at, tie]].assign(**dict(zip(names, columns, strict=True)))
         if now is not None:
             state.update(now)
-        state.setTimeoutDuration(max(1, idle_ms))
+            arrived = int(rows[ARRIVED].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + max(1, idle_ms))
 
-    return events.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    arriving = events.withColumn(ARRIVED, F.current_timestamp()).withWatermark(ARRIVED, "1 minute")
+    return arriving.groupBy(key).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_stream(events: DataFrame, key: str = "client", at: str = "ts", tie: str = "event_id",

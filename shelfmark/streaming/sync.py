@@ -7,7 +7,6 @@ up what landed since the last one, so no look-back window is needed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.chunking import caption_chunks
@@ -52,10 +51,3 @@ def sync_stream(pages: DataFrame, table: PageTable, profile: Profile, checkpoint
         .trigger(availableNow=True)
         .start()
     )
-
-
-def page_events(events: DataFrame) -> DataFrame:
-    """Ticket event lines to (event, ticket_key) rows; see ``filters.issue_events``."""
-    from shelfmark.operators.filters import issue_events
-
-    return issue_events(events.withColumn("payload", F.col("value")), "payload")

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,21 +10,30 @@ from shelfmark.operators import retrieval as rt
 from shelfmark.operators import triage as tr
 
 
-@pytest.mark.parametrize(
-    "path, hits, retrievals, clarifications, context, confidence, expected",
-    [
-        ("use_cache", 0, 0, 0, False, 0.9, "need_context"),
-        ("use_cache", 0, 1, 0, False, 0.9, "ask_reporter"),
-        ("use_cache", 1, 0, 0, False, 0.9, "use_cache"),
-        ("need_context", 0, 1, 0, True, 0.9, "answer"),
-        ("need_context", 0, 1, 2, False, 0.9, "answer"),
-        ("answer", 0, 0, 0, False, 0.3, "escalate"),
-        ("answer", 0, 0, 0, False, 0.4, "answer"),
-    ],
-)
-def test_overrides(spark, path, hits, retrievals, clarifications, context, confidence, expected):
-    columns = [F.lit(v) for v in (path, confidence, hits, retrievals, clarifications, context)]
-    assert spark.range(1).select(tr.overrides(*columns).alias("p")).first()["p"] == expected
+def stated_override(path, hits, retrievals, clarifications, context, confidence):
+    """The rules in words: unsure goes to people; an empty cache means looking things up; looking up happens
+    once, and then there is either something to answer with, or nothing left to ask."""
+    if confidence < 0.4:
+        return "escalate"
+    looking_up = path == "need_context" or (path == "use_cache" and hits == 0)
+    if not looking_up:
+        return path
+    if retrievals == 0:
+        return "need_context"
+    return "answer" if context or hits or clarifications >= 2 else "ask_reporter"
+
+
+def test_overrides_on_the_full_grid(spark):
+    grid = itertools.product(
+        ("use_cache", "need_context", "answer", "ask_reporter", "escalate"), (0, 1, 4), (0, 1, 2), (0, 1, 2, 3), (False, True), (0.0, 0.39, 0.4, 1.0)
+    )
+    rows = list(grid)
+    names = ["path", "hits", "retrievals", "clarifications", "context", "confidence"]
+    frame = spark.createDataFrame(rows, "path string, hits int, retrievals int, clarifications int, context boolean, confidence double")
+    c = {name: F.col(name) for name in names}
+    chosen = tr.overrides(c["path"], c["confidence"], c["hits"], c["retrievals"], c["clarifications"], c["context"])
+    for r in frame.withColumn("chosen", chosen).collect():
+        assert r["chosen"] == stated_override(*[r[n] for n in names]), r
 
 
 def labels_kept(spark, labels, include=None, exclude=fl.EXCLUDED_LABELS):
