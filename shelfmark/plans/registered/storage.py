@@ -13,7 +13,6 @@ from shelfmark.operators.spread import explode_once
 from shelfmark.plans import ingest
 from shelfmark.plans.registered import query, table
 from shelfmark.sources import pages as pg
-from shelfmark.sources.files import scan_files
 
 NOW = "2024-06-01 00:00:00"
 
@@ -506,12 +505,3 @@ def caption_chunks(spark: SparkSession, folder: str) -> DataFrame:
     images = attachments(spark, folder).withColumn("page_id", F.col("page_id").cast("string"))
     rows = captions_of(wiki_pages(spark, folder), images)
     return rows.select("chunk_id", "page_id", "attachment_id", "content_type", "content")
-
-
-@query("local_files_scan")
-def local_files_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The data folder itself as a folder of local files, contents unread."""
-    files = scan_files(spark, folder, (".parquet",))
-    return files.select(
-        tx.local_page_id(F.col("relative_path")).alias("page_id"), "relative_path", "file_name", "extension", "n_bytes"
-    )

@@ -11,6 +11,7 @@ from shelfmark.operators import golden as gd
 from shelfmark.operators.spread import explode_once, spread
 from shelfmark.plans.registered import query, table
 from shelfmark.plans.registered.answers import GERMAN_SQL, TRIM
+from shelfmark.sources.files import file_pages
 
 WINDOW, OVERLAP = 120, 20
 STEP = WINDOW - OVERLAP
@@ -259,6 +260,30 @@ def text_to_html(spark: SparkSession, folder: str) -> DataFrame:
     return digest(documents(spark, folder).select("doc_id", tx.text_to_html(spaced).alias("html")), "doc_id", "html")
 
 
+@query(
+    "local_file_pages",
+    f"""WITH files AS (SELECT doc_id, text, source || '/' || doc_id || CASE lang WHEN 'fr' THEN '.html' ELSE '.txt' END AS path FROM documents),
+blocks AS (
+  SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+'), lambda b: trim(b, {TRIM})), lambda b: b <> '') AS b FROM files),
+made AS (
+  SELECT *, CASE WHEN path LIKE '%.html' THEN text
+            ELSE array_to_string(list_transform(b, lambda x: '<p>' || {ESCAPED.format('x')} || '</p>'), chr(10)) END AS html FROM blocks)
+SELECT 'local_' || left(md5(path), 12) AS page_id, doc_id::VARCHAR AS title, 'local' AS space_key, path AS url, 1 AS version,
+       '2024-06-01T00:00:00Z' AS last_modified, md5(html) AS digest FROM made""",
+)
+def local_file_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a local text or HTML file, converted to a page."""
+    extension = F.when(F.col("lang") == "fr", ".html").otherwise(".txt")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), extension)
+    files = documents(spark, folder).select(
+        path.alias("file_path"), path.alias("relative_path"), F.col("doc_id").cast("string").alias("file_name"), extension.alias("extension"),
+        F.lit("2024-06-01 00:00:00").cast("timestamp").alias("modified_at"), F.encode("text", "UTF-8").alias("content"),
+    )
+    return file_pages(files).select(
+        "page_id", "title", "space_key", "url", "version", "last_modified", F.md5("html").alias("digest"),
+    )
+
+
 @query(
     "local_file_ids",
     """SELECT doc_id, 'local_' || left(md5(source || '/' || lang || '/' || doc_id || '.md'), 12) AS page_id,

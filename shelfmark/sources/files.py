@@ -50,7 +50,7 @@ def scan_files(spark: SparkSession, folder: str, extensions: Sequence[str] = TEX
         root = full_path(spark, folder)
     else:
         files, root = spark.createDataFrame([], shape), folder
-    relative = F.substring("path", len(root) + 2, 1 << 20)
+    relative = F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
     return files.select(
         F.col("path").alias("file_path"),
         relative.alias("relative_path"),
