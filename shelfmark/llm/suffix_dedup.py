@@ -124,7 +124,8 @@ def _intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 RUNS = f"{KEY[0]} long, {KEY[1]} long, first long, last long"
-FOUND = f"{RUNS}, shard long, mark1 long, mark2 long, known boolean"
+FOUND = f"{RUNS}, range int, strings binary"
+STRING = np.dtype([("mark1", "u8"), ("mark2", "u8"), ("id", "i8"), ("h", "i8"), ("at", "i8"), ("known", "?")])
 
 
 def _anchor_rows(base: DataFrame, length: int, gram: int) -> DataFrame:
@@ -170,10 +171,12 @@ def _pieces(wanted: DataFrame, length: int) -> DataFrame:
 def _shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """Repeats within shards; and, of crowded anchors, what other shards must see.
 
-    Rows with a null ``shard`` are runs of starts that repeat. The others are
-    single strings by their 128-bit mark, ``known`` if they repeat in their shard.
+    Rows with a null ``range`` are runs of starts that repeat. The others are
+    sorted lists of single strings by their 128-bit mark, one list for each
+    range of marks, ``known`` if they repeat in their shard.
     """
-    names = [*KEY, "first", "last", "shard", "mark1", "mark2", "known"]
+    count = parts(pieces.sparkSession)
+    names = [*KEY, "first", "last", "range", "strings"]
 
     def search(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -189,8 +192,9 @@ def _shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         low, high = _intervals(at)
         row = np.searchsorted(begin, low, "right") - 1
         base = whole.column(2).to_numpy() - begin
-        empty = np.zeros(0, np.int64)
-        out = [(row, low + base[row], high + base[row], None, empty, empty, empty)]
+        own, none = pa.array(row), pa.nulls(len(row), pa.int32())
+        ends = [pa.array(low + base[row]), pa.array(high + base[row])]
+        tables = [pa.Table.from_arrays([whole.column(0).take(own), whole.column(1).take(own), *ends, none, pa.nulls(len(row), pa.binary())], names=names)]
         crowded = np.flatnonzero(whole.column(6).to_numpy(zero_copy_only=False))
         if len(crowded):
             repeats = np.zeros(len(seq), np.int64)
@@ -205,16 +209,16 @@ def _shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             of, place, member = of[use], place[use], member[use]
             symbols = np.minimum(seq, 256)[: begin[-1] + sizes[-1] + 1].astype(np.int64)
             symbols = np.maximum(symbols - 1, 0).astype(np.uint8)
-            marks = [Rolling(symbols, kind).ranges(place, place + length).view(np.int64) for kind in (0, 1)]
-            out.append((of, place + base[of], place + base[of], whole.column(5).to_numpy()[of], *marks, member > 0))
-        tables = []
-        for rows, first, last, shard, mark1, mark2, known in out:
-            own = pa.array(rows)
-            none = pa.nulls(len(rows), pa.int64())
-            columns = [first, last] if shard is None else [first, last, shard, mark1, mark2]
-            columns = [pa.array(c, pa.int64()) for c in columns] + [none] * (5 - len(columns))
-            flag = pa.nulls(len(rows), pa.bool_()) if shard is None else pa.array(known, pa.bool_())
-            tables.append(pa.Table.from_arrays([whole.column(0).take(own), whole.column(1).take(own), *columns, flag], names=names))
+            strings = np.zeros(len(of), STRING)
+            for kind in (0, 1):
+                strings[f"mark{kind + 1}"] = Rolling(symbols, kind).ranges(place, place + length)
+            strings["id"], strings["h"] = whole.column(0).to_numpy()[of], whole.column(1).to_numpy()[of]
+            strings["at"], strings["known"] = place + base[of], member > 0
+            strings = strings[np.lexsort((strings["mark2"], strings["mark1"]))]
+            cuts = np.searchsorted(strings["mark1"], np.array([(i << 64) // count for i in range(1, count)], np.uint64))
+            lists = [(i, part.tobytes()) for i, part in enumerate(np.split(strings, cuts)) if len(part)]
+            blank = pa.nulls(len(lists), pa.int64())
+            tables.append(pa.Table.from_arrays([blank] * 4 + [pa.array([i for i, _ in lists], pa.int32()), pa.array([x for _, x in lists], pa.binary())], names=names))
         return pa.concat_tables(tables).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,34 +243,38 @@ def _shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         if held:
             yield from search(held).to_batches()
 
-    count = parts(pieces.sparkSession)
     return pieces.repartition(count, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(run, FOUND)
 
 
-def _merged(strings: DataFrame) -> DataFrame:
-    """Runs of the strings that another shard has too; each shard sends a string once."""
+def _merged(lists: DataFrame) -> DataFrame:
+    """Runs of the strings that another shard has too; each shard lists a string once."""
+    names = [*KEY, "first", "last"]
+
+    def merge(held: list[bytes]) -> pa.RecordBatch:
+        shards = [np.frombuffer(x, STRING) for x in held]
+        own = [np.rec.fromarrays([s["mark1"], s["mark2"]]) for s in shards]
+        found = []
+        every = np.sort(np.concatenate(own))
+        for strings, marks in zip(shards, own, strict=True):
+            # Binary search of each shard's strings among those of all shards.
+            shared = np.searchsorted(every, marks, "right") - np.searchsorted(every, marks, "left") > 1
+            found.append(strings[shared & ~strings["known"]])
+        hit = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hit[c])) for c in ("id", "h", "at", "at")], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judge(rows: pa.Table) -> pa.Table:
-            mark1, mark2 = rows.column("mark1").to_numpy(), rows.column("mark2").to_numpy()
-            # Sorted by mark1, then mark2: find each mark's range by binary search within the range of its first half.
-            joint = np.rec.fromarrays([mark1, mark2])
-            left, right = np.searchsorted(joint, joint, "left"), np.searchsorted(joint, joint, "right")
-            hit = (right - left > 1) & ~rows.column("known").to_numpy()
-            return rows.filter(pa.array(hit)).select([*KEY, "first", "last"])
-
-        tail: pa.Table | None = None
+        held, last = [], None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if tail is None else pa.concat_tables([tail, rows]).combine_chunks()
-            marks = rows.column("mark1").to_numpy()
-            cut = int(np.searchsorted(marks, marks[-1], "left"))
-            tail = rows.slice(cut)
-            yield from judge(rows.slice(0, cut)).to_batches()
-        if tail is not None:
-            yield from judge(tail).to_batches()
-
-    dealt = strings.repartition(parts(strings.sparkSession), "mark1").sortWithinPartitions("mark1", "mark2")
+            for at, strings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and at != last:
+                    yield merge(held)
+                    held = []
+                held.append(strings)
+                last = at
+        if held:
+            yield merge(held)
+
+    dealt = lists.repartition(parts(lists.sparkSession), "range").sortWithinPartitions("range")
     return dealt.mapInArrow(run, RUNS)
 
 
@@ -292,8 +300,8 @@ def repeated_runs(base: DataFrame, length: int = LENGTH, gram: int = ANCHOR, cro
     fields = F.struct("first", "last", "anchor", salt.alias("salt"), (F.col("shards") > 1).alias("crowded"))
     wanted = base.join(dealt.groupBy(*KEY).agg(F.collect_list(fields).alias("runs")), KEY).select(*KEY, "__sm_text", "runs")
     found = stored(_shards(_pieces(wanted, length), length, shard_bytes))
-    across = _merged(found.where("shard IS NOT NULL").select(*run, "mark1", "mark2", "known"))
-    return alike.unionByName(same).unionByName(found.where("shard IS NULL").select(*run)).unionByName(across)
+    across = _merged(found.where("range IS NOT NULL").select("range", "strings"))
+    return alike.unionByName(same).unionByName(found.where("range IS NULL").select(*run)).unionByName(across)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = ANCHOR, **sizes: int) -> DataFrame:
