@@ -283,7 +283,7 @@ def repeated_runs(base: DataFrame, length: int = LENGTH, gram: int = ANCHOR, cro
 
     ``base`` holds the key and ``__sm_text``.
     """
-    rows = _anchor_rows(base, length, gram)
+    rows = stored(_anchor_rows(base, length, gram))
     per_anchor = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"))
     again = stored(per_anchor.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
     places = stored(rows.join(again, "anchor"))

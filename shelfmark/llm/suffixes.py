@@ -15,11 +15,11 @@ def suffix_array(seq: np.ndarray, places: np.ndarray, key: np.ndarray, known: in
     ``key`` orders them by their first ``known`` symbols. Each round doubles the
     sorted length by pairing a suffix's rank with that of the suffix ``known``
     further on; only suffixes that still share a rank are sorted again.
-    Symbols 0 compare as smallest and equal. Ties after ``depth`` symbols keep
-    the order of ``places``.
+    Symbols 0 compare as smallest and equal; ties after ``depth`` symbols come
+    in any order.
     """
     count = len(places)
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     order, sorted_key = places[by], key[by]
     head = np.empty(count, bool)
     head[:1] = True
@@ -35,7 +35,7 @@ def suffix_array(seq: np.ndarray, places: np.ndarray, key: np.ndarray, known: in
             break
         some, of = order[at], group[at]
         pair = of * np.int64(count + 2) + rank[some + known]
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         some, pair = some[by], pair[by]
         order[at] = some
         new = np.empty(len(at), bool)
