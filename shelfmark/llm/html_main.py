@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import buffers, slices, table
+from shelfmark.llm.common import buffers, drawn, slices, table
 from shelfmark.llm.registry import query
 
 PATH_CELLS, WORD_CELLS, WIDTH, HIDDEN, SHAPE = 1024, 2048, 12, 16, 8
@@ -390,7 +390,7 @@ def fit(pages: DataFrame, html_col: str = "html", *, sample: int = 300, invented
     Blocks of a drawn page are labelled by its article mark; pages without
     one lend their texts only. Both bounds hold at any size of the table.
     """
-    rows = pages.where(F.col(html_col).isNotNull()).select(html_col).orderBy(F.xxhash64(html_col), html_col).limit(sample).collect()
+    rows = drawn(pages.where(F.col(html_col).isNotNull()).select(html_col), sample, [html_col]).collect()
     real = [found for r in rows if (found := blocks(r[0]))]
     texts = [b.text for page in real for b in page if len(b.text) > 20]
     marked = [page for page in real if any(ARTICLE_CELL in b.path for b in page)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import buffers, slices, table
+from shelfmark.llm.common import buffers, drawn, slices, table
 from shelfmark.llm.registry import query
 from shelfmark.llm.words import words
 
@@ -32,10 +32,10 @@ TARGETS = ("quality", "toxic")
 class Settings:
     """Bounds and thresholds; the samples are the only rows the fit sees, scoring covers all."""
 
-    labelled: int = 12_000
-    unlabelled: int = 6_000
+    labelled: int = 8_000
+    unlabelled: int = 4_000
     rounds: int = 3
-    share: float = 0.05  # of the unlabelled rows that a view may label in a round
+    share: float = 0.05  # of the unlabelled rows of either class that a view may label in a round
     sure: float = 0.97
     features: int = 400
     least_z: float = 4.5
@@ -151,19 +151,19 @@ class View:
 
     def fit(self, rows: np.ndarray, dims: np.ndarray, chosen: np.ndarray, y: np.ndarray, settings: Settings) -> View:
         """``chosen`` rows have the labels ``y``; features differ between the classes by ``least_z`` deviations."""
-        label = np.full(max(int(rows.max(initial=0)), int(chosen.max(initial=0))) + 1, -1)
+        label = np.full(max(int(rows.max(initial=0)), int(chosen.max(initial=0))) + 1, -1, np.int8)
         label[chosen] = y
         of = label[rows]
-        top = int(dims.max(initial=0)) + 1
-        yes = np.bincount(dims[of == 1], minlength=top)
-        no = np.bincount(dims[of == 0], minlength=top)
+        names, at = np.unique(dims, return_inverse=True)
+        yes = np.bincount(at[of == 1], minlength=len(names))
+        no = np.bincount(at[of == 0], minlength=len(names))
         n_yes, n_no = (y == 1).sum(), (y == 0).sum()
         share = (yes + no + 1) / (n_yes + n_no + 2)
         spread = np.sqrt(share * (1 - share) * (1 / n_yes + 1 / n_no))
         z = np.abs(yes / n_yes - no / n_no) / np.maximum(spread, 1e-9)
         z[yes + no < 5] = 0
         best = np.argsort(-z, kind="stable")[: settings.features]
-        self.picked = np.sort(best[z[best] >= settings.least_z])
+        self.picked = np.sort(names[best[z[best] >= settings.least_z]]).astype(np.int64)
         weights = _regression(self.matrix(rows, dims, chosen, len(label)), y)
         self.weights, self.base = weights[:-1], float(weights[-1])
         return self
@@ -222,9 +222,12 @@ def co_train(both: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, sett
         given = []
         for view, found in zip(views, both, strict=True):
             p = _sigmoid(view.scores(*found, count)[open_])
-            take = int(settings.share * len(open_))
-            by = np.argsort(-np.abs(p - 0.5), kind="stable")[:take]
-            by = by[np.maximum(p[by], 1 - p[by]) >= settings.sure]
+            by = []
+            for kind in (p > 0.5, p <= 0.5):  # the surest of each class, in proportion
+                own = np.flatnonzero(kind)
+                own = own[np.argsort(-np.abs(p[own] - 0.5), kind="stable")][: int(settings.share * len(own))]
+                by.append(own[np.maximum(p[own], 1 - p[own]) >= settings.sure])
+            by = np.concatenate(by)
             given.append((open_[by], (p[by] > 0.5).astype(np.int64)))
         for i, (rows, y) in enumerate(given):  # each view teaches the other
             old, old_y = pools[1 - i]
@@ -253,9 +256,8 @@ def fit_models(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"),
     )
-    by = F.xxhash64("doc_id")
-    taught = marks.orderBy(by).limit(settings.labelled)
-    others = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct().orderBy(F.xxhash64(F.col("doc_id") + 1)).limit(settings.unlabelled)
+    taught = drawn(marks, settings.labelled, ["doc_id"])
+    others = drawn(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.lit(1).alias("other")), settings.unlabelled, ["doc_id", "other"])
     others = others.join(F.broadcast(taught), "doc_id", "left_anti")
     blank = F.lit(-1).alias
     picked = taught.unionByName(others.select("doc_id", blank("quality"), blank("toxic")))
@@ -281,7 +283,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
     for name in ("content", "meta"):
         dims = [np.frombuffer(r[name], np.int32) for r in found]
         rows = np.repeat(np.arange(len(dims)), [len(d) for d in dims])
-        both.append((rows, np.concatenate([*dims, np.zeros(0, np.int32)]).astype(np.int64)))
+        both.append((rows.astype(np.int32), np.concatenate([*dims, np.zeros(0, np.int32)])))
     return {name: co_train(both, np.array([r[name] for r in found], np.int64), settings) for name in TARGETS}
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmark.llm.common import stored, table
+from shelfmark.llm.common import drawn, stored, table
 from shelfmark.llm.registry import query
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
@@ -116,17 +116,16 @@ def fit(labelled: DataFrame, dictionary: Sequence[str], *, most: int = 10_000, t
 
     Findings with a null label teach nothing.
     """
-    rows = labelled.where("label IS NOT NULL").select("__sm_path", "found", "before", "after", "label").distinct()
-    by = F.xxhash64("found", "before", "after", "__sm_path")
-    halves = [rows.where(F.col("label") == kind).orderBy(by, "found", "before", "after", "__sm_path").limit(most // 2) for kind in (0, 1)]
-    drawn = stored(features(halves[0].unionByName(halves[1]), dictionary).withColumn("__sm_label", F.col("label").cast("double")).coalesce(1))
-    kinds = [r["__sm_label"] for r in drawn.select("__sm_label").distinct().collect()]
+    rows = labelled.where("label IS NOT NULL").select("__sm_path", "found", "before", "after", "label")
+    halves = [drawn(rows.where(F.col("label") == kind), most // 2, ["found", "before", "after", "__sm_path"]) for kind in (0, 1)]
+    taught = stored(features(halves[0].unionByName(halves[1]), dictionary).withColumn("__sm_label", F.col("label").cast("double")).coalesce(1))
+    kinds = [r["__sm_label"] for r in taught.select("__sm_label").distinct().collect()]
     if len(kinds) < 2:
         return SecretModel(None, kinds[0] if kinds else 0.0)
     assemble = VectorAssembler(inputCols=[f"__sm_{f}" for f in FEATURES], outputCol="__sm_features")
     forest = RandomForestClassifier(featuresCol="__sm_features", labelCol="__sm_label", numTrees=trees, maxDepth=depth, seed=11,
                                     predictionCol="__sm_prediction", rawPredictionCol="__sm_raw", probabilityCol="__sm_probability")
-    return SecretModel(Pipeline(stages=[assemble, forest]).fit(drawn), 0.0)
+    return SecretModel(Pipeline(stages=[assemble, forest]).fit(taught), 0.0)
 
 
 def scan(found: DataFrame, model: SecretModel, dictionary: Sequence[str], columns: Sequence[str] = ("doc_id",)) -> DataFrame:

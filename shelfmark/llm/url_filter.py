@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import stored, table
+from shelfmark.llm.common import drawn, stored, table
 from shelfmark.llm.registry import query
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,14 +105,14 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "bad", *, mo
     drawn rows, so they have at most as many rows.
     """
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(url_col, F.col(label_col).cast("double").alias("__sm_label"))
-    drawn = stored(features(rows.distinct().orderBy(F.xxhash64(url_col), "__sm_label").limit(most), url_col).coalesce(1))
-    counts = {r["__sm_label"]: r["count"] for r in drawn.groupBy("__sm_label").count().collect()}
+    taught = stored(features(drawn(rows, most, [url_col, "__sm_label"]), url_col).coalesce(1))
+    counts = {r["__sm_label"]: r["count"] for r in taught.groupBy("__sm_label").count().collect()}
     if len(counts) < 2:
         return UrlModel(None, None, "block" if counts.get(1.0) else "allow")
     share = counts.get(1.0, 0) / sum(counts.values())
-    sums = drawn.groupBy("__sm_suffix").agg(F.sum("__sm_label").alias("b"), F.count("*").alias("n"))
+    sums = taught.groupBy("__sm_suffix").agg(F.sum("__sm_label").alias("b"), F.count("*").alias("n"))
     suffixes = stored(sums.select("__sm_suffix", ((F.col("b") + 5 * share) / (F.col("n") + 5)).alias("__sm_suffix_share"), F.log2(F.col("n") + 1.0).alias("__sm_suffix_rows")))
-    joined = drawn.join(F.broadcast(suffixes), "__sm_suffix")
+    joined = taught.join(F.broadcast(suffixes), "__sm_suffix")
     assemble = VectorAssembler(inputCols=[f"__sm_{f}" for f in FEATURES], outputCol="__sm_features")
     boosted = GBTClassifier(featuresCol="__sm_features", labelCol="__sm_label", maxIter=trees, maxDepth=depth, seed=7,
                             predictionCol="__sm_prediction")
