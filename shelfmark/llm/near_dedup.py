@@ -7,12 +7,14 @@ hashed space of fixed size. Improved consistent weighted sampling draws
 weighted Jaccard similarity; bands of samples put likely pairs into buckets,
 and every link is verified by the exact weighted Jaccard similarity.
 
-Copies are one vertex. Within a bucket nobody is compared with everybody:
-members meet the bucket's first leaders, who are few; those who are still in
-another class meet the next leaders, four times as many in each round, until
-every member that could be linked to one of another class has been compared.
-Weighted Jaccard distance is a metric, so members whose distances to the first
-leader differ by more than the threshold allows need no comparison.
+Copies are one vertex. Within a bucket not everybody is compared with
+everybody: all members meet one leader, the one whose buckets are the largest,
+as the original of many edited copies is. Members unlike their leader meet
+again under two bands at once, and another leader. Then two members of one
+leader in different classes are compared if they can be similar, given what
+each has in common with it: if they share something that it lacks, as the least
+hashes of what each has besides it show, or if what both share with it is
+enough for them.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfmark.llm.common import KEY, buffers, keyed, parts, row_key, slices, stored, table
 from shelfmark.llm.registry import query
@@ -33,7 +34,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 2
 SAMPLES = BANDS * ROWS
-AGREE = 7  # of 20 samples; a pair at 0.8 has fewer with a chance of 2e-6
+AGREE = 8  # of 20 samples; a pair at 0.8 has fewer with a chance of 2e-5, less than that of missing all bands
+UNLIKE = 12
+KEPT = 32
 SPACE_BITS = 18
 RANGES = 64
 SLICE = 512 << 10
@@ -168,16 +171,21 @@ def _sketches(base: DataFrame, idf) -> DataFrame:
     return base.mapInArrow(run, shape)
 
 
-def _buckets(vertices: DataFrame) -> DataFrame:
-    """(bucket, vertex, samples) for buckets of two or more vertices."""
+def _bands() -> Column:
     size = 4 * ROWS
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("samples", 1 + i * size, size)) for i in range(BANDS)])
-    every = vertices.select("vertex", "samples", F.explode(bands).alias("bucket"))
-    crowded = stored(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    return stored(every.join(crowded, "bucket", "left_semi"))
+    return F.array(*[F.xxhash64(F.lit(i), F.substring("samples", 1 + i * size, size)) for i in range(BANDS)])
 
 
-def _agreeing(a: str, b: str):
+def _buckets(every: DataFrame) -> DataFrame:
+    """(bucket, vertex, samples, turn) of buckets of two or more vertices; ``turn`` orders possible leaders."""
+    crowded = stored(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = stored(every.join(crowded, "bucket"))
+    reach = rows.groupBy("vertex").agg(F.sum("n").alias("n"))
+    turn = F.struct((-F.col("n")).alias("n"), F.xxhash64("vertex").alias("h")).alias("turn")
+    return stored(rows.drop("n").join(reach.select("vertex", turn), "vertex"))
+
+
+def _agreeing(a: str, b: str) -> Column:
     """Samples that two documents share."""
     same = [(F.substring(a, 1 + 4 * i, 4) == F.substring(b, 1 + 4 * i, 4)).cast("int") for i in range(SAMPLES)]
     total = same[0]
@@ -186,8 +194,14 @@ def _agreeing(a: str, b: str):
     return total
 
 
+MEASURED = "a binary, b binary, distance double, common double, wa double, wb double, only_a array<long>, only_b array<long>"
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """(a, b, distance) of the pairs, by the exact weighted Jaccard similarity of their texts."""
+    """The pairs with the exact weighted Jaccard distance of their texts, common weight, weights, and marks of what one has alone.
+
+    Marks are the KEPT least hashes; all there are, if fewer.
+    """
     joined = pairs.join(texts.withColumnsRenamed({"vertex": "a", "__sm_text": "ta"}), "a")
     joined = joined.join(texts.withColumnsRenamed({"vertex": "b", "__sm_text": "tb"}), "b").select("a", "b", "ta", "tb")
 
@@ -196,39 +210,46 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         return found, weight.astype(np.float64), np.searchsorted(row, np.arange(len(column) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = pa.list_(pa.int64())
         for batch in batches:
             sizes = buffers(batch.column(2))[1] + buffers(batch.column(3))[1]
             for start, stop in slices(sizes, 4 * SLICE):
                 part = batch.slice(start, stop - start)
                 (fa, wa, ca), (fb, wb, cb) = sets(part.column(2)), sets(part.column(3))
-                apart = np.zeros(part.num_rows)
+                found, alone = np.zeros((4, part.num_rows)), ([], [])
                 for i in range(part.num_rows):
                     x, y = fa[ca[i] : ca[i + 1]], fb[cb[i] : cb[i + 1]]
                     _, at, of = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                     common = np.minimum(wa[ca[i] + at], wb[cb[i] + of]).sum()
-                    apart[i] = 1 - common / (wa[ca[i] : ca[i + 1]].sum() + wb[cb[i] : cb[i + 1]].sum() - common)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(apart)], names=["a", "b", "distance"])
+                    first, second = wa[ca[i] : ca[i + 1]].sum(), wb[cb[i] : cb[i + 1]].sum()
+                    found[:, i] = 1 - common / (first + second - common), common, first, second
+                    for own, shared, out in ((x, at, alone[0]), (y, of, alone[1])):
+                        out.append(np.delete(own, shared)[:KEPT].view(np.int64))  # shingles are in order of their hashes
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, marks) for m in alone]],
+                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b"],
+                )
 
-    return joined.mapInArrow(run, "a binary, b binary, distance double")
+    return joined.mapInArrow(run, MEASURED)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(vertex, class): the least vertex that it is linked to over any path, for every vertex with a link.
 
-    Every round takes the least class among the neighbours and then the class
-    of that class; rounds end when nothing changes. Tables are stored between.
+    Every round takes the least of a vertex's class, its neighbours' classes
+    and the class of its class; rounds end when nothing changes. Tables are
+    stored between.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    classes = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("class")).withColumnRenamed("a", "vertex"))
+    classes = stored(both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("vertex"), F.least("a", "n").alias("class")))
     while True:
         near = both.join(classes.withColumnRenamed("vertex", "b"), "b").groupBy("a").agg(F.min("class").alias("near"))
-        step = classes.join(near.withColumnRenamed("a", "vertex"), "vertex").select("vertex", F.col("class").alias("old"), F.least("class", "near").alias("class"))
-        step = stored(step)
-        up = step.select(F.col("vertex").alias("class"), F.col("class").alias("up"))
-        jumped = stored(step.join(up, "class").select("vertex", "old", F.least("class", "up").alias("class")))
-        if not jumped.where(F.col("class") != F.col("old")).limit(1).count():
-            return jumped.select("vertex", "class")
-        classes = jumped.select("vertex", "class")
+        up = classes.select(F.col("vertex").alias("class"), F.col("class").alias("up"))
+        step = classes.join(near.withColumnRenamed("a", "vertex"), "vertex").join(up, "class", "left")
+        step = stored(step.select("vertex", F.col("class").alias("old"), F.least("class", "near", F.coalesce("up", "class")).alias("class")))
+        classes = step.select("vertex", "class")
+        if step.where("class != old").isEmpty():
+            return classes
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -247,9 +268,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("__sm_doc"))
     # The key says what the text hash says; the first row of a vertex lends its text.
     vertices = stored(sketches.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min(F.struct(*KEY)).alias("k"), F.min("samples").alias("samples")))
-    buckets = _buckets(vertices.select("vertex", "samples"))
-    links = _links(buckets, vertices, base, idf, 1 - similarity)
-    classes = components(links)
+    classes = _classes(vertices, base, idf, similarity)
     rows = sketches.select(*KEY, "vertex").dropDuplicates(KEY)
     rows = named.join(rows, KEY).join(classes, "vertex", "left")
     alone = F.concat(F.lit("row"), F.col(KEY[0]).cast("string"), F.lit(":"), F.col(KEY[1]).cast("string")).cast("binary")
@@ -261,53 +280,65 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _links(buckets: DataFrame, vertices: DataFrame, base: DataFrame, idf, reach: float) -> DataFrame:
-    """(a, b): verified links that connect all that can be connected within buckets."""
-    turn = Window.partitionBy("bucket").orderBy("order", "vertex")
-    order = F.xxhash64("bucket", "vertex").alias("order")
-    members = buckets.select("bucket", "vertex", "samples", order)
-    first = members.groupBy("bucket").agg(F.min(F.struct("order", "vertex")).alias("f")).select("bucket", F.col("f.vertex").alias("leader"))
-    leaders = members.join(first, "bucket").where(F.col("vertex") == F.col("leader")).select("bucket", "leader", F.col("samples").alias("ls"))
-    leaders = stored(leaders)
-    met = members.join(leaders, "bucket").where("vertex != leader")
-    texts = None
-    links = None
-    tested = None
-    size = 1
-    distances = None
-    while True:
-        pair = [F.least("vertex", "leader").alias("a"), F.greatest("vertex", "leader").alias("b")]
-        pairs = met.where(_agreeing("samples", "ls") >= AGREE).select(*pair).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
-            texts = stored(base.join(vertices.join(wanted, "vertex").select("vertex", "k.*"), KEY).select("vertex", "__sm_text").dropDuplicates(["vertex"]))
-            found = stored(_verified(pairs, texts, idf))
-            tested = found if tested is None else tested.unionByName(found)
-        elif tested is None:
-            tested = spark_empty(buckets.sparkSession)
-        links = tested.where(F.col("distance") <= reach + 1e-9).select("a", "b")
-        classes = components(links) if links.limit(1).count() else links.select(F.col("a").alias("vertex"), F.col("b").alias("class"))
-        if distances is None:
-            both = tested.select("a", "b", "distance").union(tested.select("b", "a", "distance"))
-            far = both.withColumnsRenamed({"a": "vertex", "b": "leader"})
-            distances = leaders.select("bucket", "leader").join(members.select("bucket", "vertex"), "bucket").join(far, ["vertex", "leader"], "left")
-            distances = stored(distances.select("bucket", "vertex", F.when(F.col("vertex") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("d")))
-        state = members.join(distances, ["bucket", "vertex"]).join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
-        mixed_ = stored(state.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where(f"lo != hi AND n > {size}").select("bucket"))
-        if not mixed_.limit(1).count():
-            return links
-        open_ = stored(state.join(mixed_, "bucket", "left_semi"))
-        # The next leaders: after those of earlier rounds, in the bucket's order. The filter on the row number bounds the sort's output.
-        next_size = size * 4
-        ranked = open_.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= next_size).where(F.col("turn") > size)
-        heads = stored(ranked.select("bucket", F.col("vertex").alias("leader"), F.col("samples").alias("ls"), F.col("class").alias("lc"), F.col("d").alias("ld")))
-        met = open_.join(heads, "bucket").where("vertex != leader AND class != lc").where(F.abs(F.col("d") - F.col("ld")) <= reach + 1e-9)
-        members, size = open_.select("bucket", "vertex", "samples", "order"), next_size
-
-
-def spark_empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a binary, b binary, distance double")
+def _led(buckets: DataFrame) -> DataFrame:
+    """The members of buckets with their leader and the samples they share with it."""
+    first = buckets.groupBy("bucket").agg(F.min(F.struct("turn", "vertex", "samples")).alias("f"))
+    first = stored(first.select("bucket", F.col("f.vertex").alias("leader"), F.col("f.samples").alias("leads")))
+    met = buckets.join(first, "bucket").where("vertex != leader")
+    return met.select("bucket", "vertex", "samples", "leader", _agreeing("samples", "leads").alias("agree"))
+
+
+def _ordered_pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> DataFrame:
+    """(vertex, class) for every vertex with a link."""
+    reach = 1 - similarity + 1e-9
+    buckets = _buckets(vertices.select("vertex", "samples", F.explode(_bands()).alias("bucket")))
+    crowd = vertices.select("vertex", "k.*").join(buckets.select("vertex").distinct(), "vertex")
+    texts = stored(base.join(crowd, KEY).select("vertex", "__sm_text").dropDuplicates(["vertex"]))
+    met = stored(_led(buckets))
+    # Those unlike their leader: once more, in buckets of two bands. Of two that are similar, one being too unlike
+    # the leader to be tested, the other is not much more like it; so the bound here is higher than AGREE.
+    unlike = met.where(F.col("agree") < UNLIKE).select("vertex", "samples", "bucket")
+    again = unlike.select("vertex", "samples", F.explode(F.transform(_bands(), lambda band: F.when(band != F.col("bucket"), F.xxhash64(F.least(band, "bucket"), F.greatest(band, "bucket"))))).alias("bucket"))
+    met_again = _led(_buckets(again.where("bucket IS NOT NULL").distinct()))
+    pairs = stored(met.select("vertex", "leader", "agree").union(met_again.select("vertex", "leader", "agree")).where(F.col("agree") >= AGREE).select("vertex", "leader").distinct())
+    tested = stored(_verified(pairs.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf))
+    links = tested.where(F.col("distance") <= reach).select("a", "b")
+    classes = components(links)
+
+    # Members of one leader, by their class; those outside the leader's class look for others.
+    both = tested.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), "common", F.col("wa").alias("weight"), F.col("only_a").alias("marks"))
+    both = both.union(tested.select("b", "a", "common", "wb", "only_b")).join(pairs, ["vertex", "leader"], "left_semi")
+    state = both.join(classes, "vertex", "left").join(classes.withColumnsRenamed({"vertex": "leader", "class": "main"}), "leader", "left")
+    state = state.withColumns({"class": F.coalesce("class", "vertex"), "main": F.coalesce("main", "leader")})
+    waiting = stored(state.where("class != main").select("leader").distinct())
+    state = stored(state.join(waiting, "leader", "left_semi").withColumn("waits", F.col("class") != F.col("main")))
+
+    marked = state.select("leader", "vertex", "class", "waits", F.explode("marks").alias("mark"))
+    shared = marked.groupBy("leader", "mark").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("waits").alias("w")).where("lo != hi AND w")
+    marked = stored(marked.join(stored(shared.select("leader", "mark")), ["leader", "mark"], "left_semi"))
+    other = {"vertex": "other", "class": "other_class", "common": "other_common", "weight": "other_weight"}
+    hits = marked.where("waits").join(marked.drop("waits").withColumnsRenamed(other), ["leader", "mark"]).where("class != other_class")
+    more = hits.select(*_ordered_pair("vertex", "other")).distinct()
+
+    # What both share with the leader may be enough: only for weights in a narrow range, dealt by steps of a tenth.
+    step = lambda w: F.floor(F.log(w) * 10).cast("int")
+    most = F.least(F.col("weight") / similarity, F.col("common") * (1 + similarity) / similarity - F.col("weight"))
+    wide = state.where("waits").select("leader", "vertex", "class", "common", "weight", most.alias("most")).where(F.col("most") >= F.col("weight") * similarity)
+    wide = wide.withColumn("step", F.explode(F.sequence(step(F.col("weight") * similarity), step(F.col("most")))))
+    rest = state.select("leader", "vertex", "class", "common", "weight").withColumnsRenamed(other).withColumn("step", step(F.col("other_weight")))
+    least = F.least("common", "other_common")
+    enough = wide.join(rest, ["leader", "step"]).where("class != other_class").where(least >= similarity * (F.col("weight") + F.col("other_weight") - least) - 1e-9)
+    more = stored(more.union(enough.select(*_ordered_pair("vertex", "other"))).distinct().join(tested, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return classes
+    of = vertices.select("vertex", "samples")
+    more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
+    late = stored(_verified(more.where(_agreeing("sa", "sb") >= AGREE).select("a", "b"), texts, idf).where(F.col("distance") <= reach).select("a", "b"))
+    return classes if late.isEmpty() else components(links.union(late))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
