@@ -19,14 +19,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import slices, table
+from shelfmark.llm.common import buffers, slices, table
 from shelfmark.llm.registry import query
 
 # Fixed value: the word pattern of byte-level BPE, with white space spelled out.
 SPACE = r"\p{White_Space}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
-CACHED_WORDS = 300_000
-SLICE = 4 << 20
+CACHED_WORDS = 100_000
+SLICE = 2 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -216,8 +216,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
         tokenizer = _mine(shared)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("__sm_text"))
-            sizes = np.array([0 if x is None else len(x) for x in column.to_pylist()], np.int64)
-            for start, stop in slices(np.concatenate([[0], np.cumsum(sizes)]), SLICE):
+            _, offsets = buffers(column)
+            for start, stop in slices(offsets, SLICE):
                 part = batch.slice(start, stop - start)
                 packed = [tokenizer.encode(x or "") for x in column.slice(start, stop - start).to_pylist()]
                 cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)

@@ -24,7 +24,7 @@ from shelfmark.llm.words import words
 
 WORD_BITS = 22
 CLASSES = 64
-SLICE = 3 << 20
+SLICE = 1 << 20
 TARGETS = ("quality", "toxic")
 
 
