@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as tx
 from shelfmark.operators import retrieval as rt
 from shelfmark.operators.embedding import wrong_width
-from shelfmark.operators.spread import spread
 from shelfmark.operators.topk import Limits, topk
 from shelfmark.plans.registered import query, table
 
@@ -213,10 +212,10 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     """Vector and word ranks fused; the text of a chunk is the document of the same number."""
     chunks, asked = corpus(spark, folder), cases(spark, folder)
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    texts = spread(texts.join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
+    texts = texts.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     texts = texts.select("chunk_id", word_terms("text").alias("terms"))
     dense = topk(chunks, asked.select("query_id", "vector"), 20)
-    lexical = topk(texts, asked.select("query_id", word_terms("query").alias("terms")), 20, field="terms")
+    lexical = rt.lexical_hits(texts, asked.select("query_id", word_terms("query").alias("terms")), 20)
     hits = rt.fuse(dense, lexical, K)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
