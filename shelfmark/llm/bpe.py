@@ -26,6 +26,7 @@ from shelfmark.llm.registry import query
 SPACE = r"\p{White_Space}"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
 CACHED_WORDS = 100_000
+KNOWN_PAIRS = 300_000
 SLICE = 2 << 20
 
 
@@ -104,6 +105,8 @@ class Tokenizer:
         key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) > KNOWN_PAIRS:
+                self.compatible.clear()
             known = self.compatible[key] = self._judge(left, right)
         return known
 
@@ -235,7 +238,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None, tex
     schema, names = source.withColumn(text_col, F.lit("")).schema, [*source.columns, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _mine(shared)
+        tokenizer: Tokenizer = shared.value[1]  # only its offset table is needed
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
