@@ -12,9 +12,11 @@ everybody: all members meet one leader, the one whose buckets are the largest,
 as the original of many edited copies is. Members unlike their leader meet
 again under two bands at once, and another leader. Then two members of one
 leader in different classes are compared if they can be similar, given what
-each has in common with it: if they share something that it lacks, as the least
-hashes of what each has besides it show, or if what both share with it is
-enough for them.
+each has in common with it: if they share a shingle that both have more of than
+it, or if what both share with it is enough for them. What is left are members
+too unlike the leader of a bucket to be tested against it. They meet the other
+members of the bucket in rounds, four times as many leaders in each, until
+everybody has led; classes are merged between rounds.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ BANDS, ROWS = 10, 2
 SAMPLES = BANDS * ROWS
 AGREE = 8  # of 20 samples; a pair at 0.8 has fewer with a chance of 2e-5, less than that of missing all bands
 UNLIKE = 12
-KEPT = 32
 SPACE_BITS = 18
 RANGES = 64
 SLICE = 512 << 10
@@ -194,13 +195,14 @@ def _agreeing(a: str, b: str) -> Column:
     return total
 
 
-MEASURED = "a binary, b binary, distance double, common double, wa double, wb double, only_a array<long>, only_b array<long>"
+MEASURED = "a binary, b binary, distance double, common double, wa double, wb double"
+MARKED = MEASURED + ", only_a array<long>, only_b array<long>"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs with the exact weighted Jaccard distance of their texts, common weight, weights, and marks of what one has alone.
+def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) -> DataFrame:
+    """The pairs with the exact weighted Jaccard distance of their texts, common weight and weights.
 
-    Marks are the KEPT least hashes; all there are, if fewer.
+    If ``marked``, also with the hashes of all shingles that one has more of than the other.
     """
     joined = pairs.join(texts.withColumnsRenamed({"vertex": "a", "__sm_text": "ta"}), "a")
     joined = joined.join(texts.withColumnsRenamed({"vertex": "b", "__sm_text": "tb"}), "b").select("a", "b", "ta", "tb")
@@ -216,21 +218,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             for start, stop in slices(sizes, 4 * SLICE):
                 part = batch.slice(start, stop - start)
                 (fa, wa, ca), (fb, wb, cb) = sets(part.column(2)), sets(part.column(3))
-                found, alone = np.zeros((4, part.num_rows)), ([], [])
+                found, more = np.zeros((4, part.num_rows)), ([], [])
                 for i in range(part.num_rows):
                     x, y = fa[ca[i] : ca[i + 1]], fb[cb[i] : cb[i + 1]]
                     _, at, of = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                     common = np.minimum(wa[ca[i] + at], wb[cb[i] + of]).sum()
                     first, second = wa[ca[i] : ca[i + 1]].sum(), wb[cb[i] : cb[i + 1]].sum()
                     found[:, i] = 1 - common / (first + second - common), common, first, second
-                    for own, shared, out in ((x, at, alone[0]), (y, of, alone[1])):
-                        out.append(np.delete(own, shared)[:KEPT].view(np.int64))  # shingles are in order of their hashes
+                    if marked:
+                        p, q = wa[ca[i] + at], wb[cb[i] + of]
+                        more[0].append(np.delete(x, at[p <= q]).view(np.int64))
+                        more[1].append(np.delete(y, of[q <= p]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, marks) for m in alone]],
-                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b"],
+                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, marks) for m in more if marked]],
+                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b"][: 8 if marked else 6],
                 )
 
-    return joined.mapInArrow(run, MEASURED)
+    return joined.mapInArrow(run, MARKED if marked else MEASURED)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,6 +256,17 @@ def components(links: DataFrame) -> DataFrame:
             return classes
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after further links, by the components of the classes that these join."""
+    ends = links.select(F.col("a").alias("vertex")).union(links.select("b")).distinct()
+    every = stored(classes.join(ends, "vertex", "full").select("vertex", F.coalesce("class", "vertex").alias("class")))
+    at = lambda end: every.select(F.col("vertex").alias(end), F.col("class").alias(f"class_{end}"))
+    joined = links.join(at("a"), "a").join(at("b"), "b").where("class_a != class_b")
+    step = components(joined.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    step = step.select(F.col("vertex").alias("class"), F.col("class").alias("up"))
+    return stored(every.join(step, "class", "left").select("vertex", F.coalesce("up", "class").alias("class")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, id, class_id, class_size, kept) for every row.
 
@@ -310,14 +325,17 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     classes = components(links)
 
     # Members of one leader, by their class; those outside the leader's class look for others.
-    both = tested.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), "common", F.col("wa").alias("weight"), F.col("only_a").alias("marks"))
-    both = both.union(tested.select("b", "a", "common", "wb", "only_b")).join(pairs, ["vertex", "leader"], "left_semi")
+    both = tested.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), "common", F.col("wa").alias("weight"))
+    both = both.union(tested.select("b", "a", "common", "wb")).join(pairs, ["vertex", "leader"], "left_semi")
     state = both.join(classes, "vertex", "left").join(classes.withColumnsRenamed({"vertex": "leader", "class": "main"}), "leader", "left")
     state = state.withColumns({"class": F.coalesce("class", "vertex"), "main": F.coalesce("main", "leader")})
     waiting = stored(state.where("class != main").select("leader").distinct())
     state = stored(state.join(waiting, "leader", "left_semi").withColumn("waits", F.col("class") != F.col("main")))
 
-    marked = state.select("leader", "vertex", "class", "waits", F.explode("marks").alias("mark"))
+    # What a member has more of than its leader, of all members of leaders for whom somebody waits.
+    measured = stored(_verified(state.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf, marked=True).select("a", "b", "only_a", "only_b"))
+    marks = measured.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), F.col("only_a").alias("marks")).union(measured.select("b", "a", "only_b"))
+    marked = state.join(marks, ["vertex", "leader"]).select("leader", "vertex", "class", "waits", F.explode("marks").alias("mark"))
     shared = marked.groupBy("leader", "mark").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("waits").alias("w")).where("lo != hi AND w")
     marked = stored(marked.join(stored(shared.select("leader", "mark")), ["leader", "mark"], "left_semi"))
     other = {"vertex": "other", "class": "other_class", "common": "other_common", "weight": "other_weight"}
@@ -333,12 +351,44 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     least = F.least("common", "other_common")
     enough = wide.join(rest, ["leader", "step"]).where("class != other_class").where(least >= similarity * (F.col("weight") + F.col("other_weight") - least) - 1e-9)
     more = stored(more.union(enough.select(*_ordered_pair("vertex", "other"))).distinct().join(tested, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return classes
-    of = vertices.select("vertex", "samples")
-    more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
-    late = stored(_verified(more.where(_agreeing("sa", "sb") >= AGREE).select("a", "b"), texts, idf).where(F.col("distance") <= reach).select("a", "b"))
-    return classes if late.isEmpty() else components(links.union(late))
+    tested = tested.select("a", "b")
+    if not more.isEmpty():
+        of = vertices.select("vertex", "samples")
+        more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
+        found = stored(_verified(more.where(_agreeing("sa", "sb") >= AGREE).select("a", "b"), texts, idf))
+        late = found.where(F.col("distance") <= reach).select("a", "b")
+        tested = tested.union(found.select("a", "b"))
+        if not late.isEmpty():
+            classes = _merged(classes, late)
+    return _rest(met, classes, tested, texts, idf, reach)
+
+
+def _rest(met: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> DataFrame:
+    """The classes after members too unlike their bucket's leader have met the other members of the bucket.
+
+    Everybody leads once, in the round that a hash says; a pair meets when the
+    first of the two leads, unless it is in one class by then.
+    """
+    open_ = stored(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("agree").alias("least")).where(F.col("n") > 1).where(F.col("least") < AGREE).select("bucket", "n"))
+    turn = (F.xxhash64("vertex", "bucket") / F.lit(2.0**64) + 0.5) * F.col("n")
+    members = stored(met.join(open_, "bucket").select("bucket", "vertex", "samples", (F.col("agree") < AGREE).alias("far"), turn.alias("turn")))
+    largest = open_.agg(F.max("n")).first()[0] or 0
+    start, stop = 0, 4
+    while start < largest:
+        of = members.join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
+        mixed_ = of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("turn").alias("last"))
+        of = stored(of.join(mixed_.where("lo != hi").where(F.col("last") >= start).select("bucket"), "bucket", "left_semi"))
+        heads = of.where((F.col("turn") >= start) & (F.col("turn") < stop)).select(
+            "bucket", F.col("vertex").alias("head"), F.col("samples").alias("leads"), F.col("far").alias("head_far"), F.col("turn").alias("head_turn"), F.col("class").alias("head_class"))
+        first = (F.col("turn") > F.col("head_turn")) | ((F.col("turn") == F.col("head_turn")) & (F.col("vertex") > F.col("head")))
+        pairs = of.join(stored(heads), "bucket").where(first & (F.col("class") != F.col("head_class")) & (F.col("far") | F.col("head_far")))
+        pairs = pairs.where(_agreeing("samples", "leads") >= AGREE).select(*_ordered_pair("vertex", "head")).distinct()
+        found = stored(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf))
+        late = found.where(F.col("distance") <= reach).select("a", "b")
+        if not late.isEmpty():
+            classes = _merged(classes, late)
+        tested, start, stop = tested.union(found.select("a", "b")), stop, stop * 4
+    return classes
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import near_dedup
-from shelfmark.llm.common import buffers
+from shelfmark.llm.common import KEY, buffers
 from shelfmark.llm.near_dedup import deduplicated, near_duplicates
 from shelfmark.llm.words import words
 
@@ -94,6 +95,38 @@ def test_crowded_bucket_takes_rounds(spark):
     assert {r.class_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_pairs_unlike_their_only_leader(spark, far):
+    """Two texts similar only by a shingle that both have more often than the leader; then also with samples unlike the leader's."""
+    base, run = [f"v{i}" for i in range(1000)], ["q"] * 35
+    texts = [" ".join([*base, *["q"] * 5])] + [" ".join([*base[:800], *run, *[f"n{k}{i}" for i in range(80)]]) for k in range(2)]
+    names = spark.range(3).select(F.concat(F.lit("v"), "id").cast("binary").alias("v")).orderBy(F.xxhash64("v")).collect()
+    drawn = [np.arange(near_dedup.SAMPLES, dtype=np.uint32) for _ in texts]
+    if far:  # one bucket in common, and the first sample of every band for the two
+        drawn[0][2:] += 100
+        for k in (1, 2):
+            drawn[k][3::2] += 1000 * k
+    rows = [(bytes(n.v), i, i, t, d.tobytes()) for i, (n, t, d) in enumerate(zip(names, texts, drawn, strict=True))]
+    frame = spark.createDataFrame(rows, "vertex binary, i long, h long, __sm_text string, samples binary")
+    key = [F.col("i").alias(KEY[0]), F.col("h").alias(KEY[1])]
+    idf = spark.sparkContext.broadcast(np.ones(1 << near_dedup.SPACE_BITS, np.float32))
+    got = near_dedup._classes(frame.select("vertex", F.struct(*key).alias("k"), "samples"), frame.select(*key, "__sm_text"), idf, 0.8)
+    classes = {bytes(r.vertex): bytes(r["class"]) for r in got.collect()}
+    least = min(rows[1][0], rows[2][0])
+    assert classes.pop(rows[0][0], rows[0][0]) == rows[0][0] and classes == {rows[1][0]: least, rows[2][0]: least}
+
+
+def test_marks_count_excess(spark):
+    """Shingles that both texts have more often than the leader are marks, all of them."""
+    rows = [(b"a", " ".join(["x"] * 20)), (b"b", " ".join(["x"] * 9)), (b"c", " ".join(f"v{i}" for i in range(90)))]
+    texts = spark.createDataFrame(rows, "vertex binary, __sm_text string")
+    idf = spark.sparkContext.broadcast(np.ones(1 << near_dedup.SPACE_BITS, np.float32))
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"b", b"c")], "a binary, b binary")
+    got = {bytes(r.a): r for r in near_dedup._verified(pairs, texts, idf, marked=True).collect()}
+    assert (len(got[b"a"].only_a), len(got[b"a"].only_b)) == (1, 0)
+    assert (len(got[b"b"].only_a), len(got[b"b"].only_b)) == (1, 86)
+
+
 def test_filter_nulls_repeats_and_clashes(spark):
     text = "a b c d e f g h i j"
     rows = [(1, text, 0), (2, text.upper(), 0), (None, text, 0), (None, None, 0), (3, None, 0), (4, "", 0), (5, "x y", 0), (5, "x y", 0)]
