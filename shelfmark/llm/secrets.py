@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of token characters with a digit in them. The forest
+Candidates are long runs of token characters with a digit in them, and whatever
+stands after an announcing word and ``=`` or ``:``, up to white space or a quote,
+at any length and with or without a digit. The forest
 knows a candidate's length, its character transitions, how much of it common
 words of the corpus cover, the path it was found under and its neighbours. All
 of it is Column expressions and Spark ML.
@@ -25,6 +27,9 @@ CANDIDATE = r"[A-Za-z0-9+/_\-]*[0-9][A-Za-z0-9+/_\-]*"
 LEAST, NEAR = 8, 24
 #: Words that announce a secret; any may be part of a longer name.
 ANNOUNCING = ("token", "password", "passwd", "secret", "apikey", "api_key", "credential", "bearer", "auth", "private")
+#: Where an announced value begins; the first two looks behind are there to pass other places fast.
+ANNOUNCED = r"(?<=[=:\s\"'])(?<=[=:]\s{0,8}[\"']?)(?<=(?i:" + "|".join(ANNOUNCING) + r")[A-Za-z0-9_\-]{0,24}[\"']?\s{0,8}[=:]\s{0,8}[\"']?)"
+FOUND = ANNOUNCED + r"[^\s\"']+|" + CANDIDATE
 #: Formats of labelled findings. The name decides between 1 (a secret) and 0.
 KNOWN_SECRETS = (
     r"(?i)(?:token|secret|api_?key|password|passwd)\s*[=:]\s*[\"']?$",  # what stands before
@@ -55,7 +60,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
     )
     # Pieces between the candidates, and the candidates, in turn.
     split = rows.select(
-        "*", F.split("__sm_text", CANDIDATE).alias("__sm_between"), F.regexp_extract_all("__sm_text", F.lit(CANDIDATE), F.lit(0)).alias("__sm_all"),
+        "*", F.split("__sm_text", FOUND).alias("__sm_between"), F.regexp_extract_all("__sm_text", F.lit(FOUND), F.lit(0)).alias("__sm_all"),
     ).where(F.size("__sm_all") > 0).drop("__sm_text").withColumn("__sm_row", F.monotonically_increasing_id())
     near = F.transform(
         "__sm_all",
@@ -63,12 +68,13 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
             c.alias("found"), F.length(F.get("__sm_between", i)).alias("gap"),
             F.substring(F.get("__sm_between", i), F.greatest(F.length(F.get("__sm_between", i)) - NEAR + 1, F.lit(1)), F.lit(NEAR)).alias("before"),
             F.substring(F.get("__sm_between", i + 1), 1, NEAR).alias("after"),
+            F.concat(F.when(i > 0, F.get("__sm_all", i - 1)).otherwise(F.lit("")), F.get("__sm_between", i)).rlike(ANNOUNCED + "$").alias("named"),
         ),
     )
     flat = split.select(*[c for c in split.columns if c not in ("__sm_between", "__sm_all")], F.posexplode(near).alias("__sm_turn", "c")).select("*", "c.*").drop("c")
     upto = Window.partitionBy("__sm_row").orderBy("__sm_turn").rowsBetween(Window.unboundedPreceding, 0)
     placed = flat.withColumn("at", (F.sum(F.col("gap") + F.length("found")).over(upto) - F.length("found")).cast("long"))
-    kept = placed.where(F.length("found") >= LEAST)
+    kept = placed.where((F.length("found") >= LEAST) | F.col("named"))
     return kept.select(*[F.col(f"__sm_col_{i}").alias(c) for i, c in enumerate(columns)], F.col("__sm_path"), "at", "found", "before", "after")
 
 

@@ -20,6 +20,14 @@ def test_candidates_equal_a_plain_search(spark):
     assert got == sorted(want)
 
 
+def test_announced_values_need_no_digit(spark):
+    texts = ["password = correcthorsebattery", 'db_password="p.a!s@s$w=o" x', "token:eyJhbGciOi.abcdefgh.ijk", "a 12345678 SECRET = hunter, y", "key_00000001_token=abc", "a password of note: tokens"]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r["at"], r.found) for r in candidates(frame).collect())
+    assert got == [(0, 11, "correcthorsebattery"), (1, 13, "p.a!s@s$w=o"), (2, 6, "eyJhbGciOi.abcdefgh.ijk"), (3, 2, "12345678"), (3, 20, "hunter,"),
+                   (4, 0, "key_00000001_token"), (4, 19, "abc")]
+
+
 def test_forest_on_held_out_findings(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     words = frequent_words(docs)
