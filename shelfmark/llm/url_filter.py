@@ -87,36 +87,42 @@ def features(urls: DataFrame, url_col: str = "url") -> DataFrame:
         "host_entropy": F.coalesce(entropy, F.lit(0.0)),
         "parameters": F.size(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != "")), "fragment": F.instr(url, "#") > 0,
     }
-    return rows.withColumns({f"__sm_{k}": v.cast("double") for k, v in found.items()}).withColumn("__sm_suffix", F.element_at(labels, -1))
+    return rows.withColumns({f"__sm_{k}": v.cast("double") for k, v in found.items()}).withColumn("__sm_suffix", _suffix(host))
+
+
+def _suffix(host: Column) -> Column:
+    return F.element_at(F.split(host, r"\."), -1)
 
 
 class UrlModel(NamedTuple):
-    """Trees and suffix statistics; ``only`` is the verdict if the labels were of one kind or none."""
+    """Trees and suffix statistics; ``only`` is the verdict if the labels were of one kind or none, ``share`` the part of bad rows."""
 
     trees: PipelineModel | None
     suffixes: DataFrame | None
     only: str | None
+    share: float = 0.0
 
 
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "bad", *, most: int = 8_000, trees: int = 12, depth: int = 3) -> UrlModel:
     """Boosted trees from at most ``most`` labelled URLs (``bad`` 0 or 1), drawn by a hash of the URL.
 
-    Null URLs and labels teach nothing. The suffix statistics are those of the
-    drawn rows, so they have at most as many rows.
+    Null URLs and labels teach nothing. The suffix statistics are those of all
+    labelled rows, each repetition counted.
     """
     rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(url_col, F.col(label_col).cast("double").alias("__sm_label"))
     taught = stored(features(drawn(rows, most, [url_col, "__sm_label"]), url_col).coalesce(1))
-    counts = {r["__sm_label"]: r["count"] for r in taught.groupBy("__sm_label").count().collect()}
-    if len(counts) < 2:
-        return UrlModel(None, None, "block" if counts.get(1.0) else "allow")
+    counts = {r["__sm_label"]: r["count"] for r in rows.groupBy("__sm_label").count().collect()}
+    kinds = {r["__sm_label"] for r in taught.select("__sm_label").distinct().collect()}
+    if len(kinds) < 2:
+        return UrlModel(None, None, "block" if 1.0 in kinds else "allow")
     share = counts.get(1.0, 0) / sum(counts.values())
-    sums = taught.groupBy("__sm_suffix").agg(F.sum("__sm_label").alias("b"), F.count("*").alias("n"))
+    sums = rows.groupBy(_suffix(host_of(url_col)).alias("__sm_suffix")).agg(F.sum("__sm_label").alias("b"), F.count("*").alias("n"))
     suffixes = stored(sums.select("__sm_suffix", ((F.col("b") + 5 * share) / (F.col("n") + 5)).alias("__sm_suffix_share"), F.log2(F.col("n") + 1.0).alias("__sm_suffix_rows")))
-    joined = taught.join(F.broadcast(suffixes), "__sm_suffix")
+    joined = taught.join(suffixes, "__sm_suffix")
     assemble = VectorAssembler(inputCols=[f"__sm_{f}" for f in FEATURES], outputCol="__sm_features")
     boosted = GBTClassifier(featuresCol="__sm_features", labelCol="__sm_label", maxIter=trees, maxDepth=depth, seed=7,
                             predictionCol="__sm_prediction")
-    return UrlModel(Pipeline(stages=[assemble, boosted]).fit(joined), suffixes, None)
+    return UrlModel(Pipeline(stages=[assemble, boosted]).fit(joined), suffixes, None, share)
 
 
 def judge(urls: DataFrame, model: UrlModel, rules: Sequence[Rule] = RULES, url_col: str = "url", columns: Sequence[str] = ()) -> DataFrame:
@@ -131,8 +137,8 @@ def judge(urls: DataFrame, model: UrlModel, rules: Sequence[Rule] = RULES, url_c
     if model.trees is None:
         guess = F.lit(model.only)
     else:
-        rows = rows.join(F.broadcast(model.suffixes), "__sm_suffix", "left")
-        rows = rows.fillna(0.0, ["__sm_suffix_share", "__sm_suffix_rows"])
+        rows = rows.join(model.suffixes, "__sm_suffix", "left")
+        rows = rows.fillna({"__sm_suffix_share": model.share, "__sm_suffix_rows": 0.0})
         rows = model.trees.transform(rows)
         guess = F.when(F.col("__sm_prediction") == 1.0, "block").otherwise("allow")
     named, verdict = rule_of(F.col("__sm_host"), F.col("__sm_path"), rules)

@@ -43,6 +43,14 @@ def test_trees_judge_unseen_hosts(spark):
     assert right / sum(r["count"] for r in got) > 0.95
 
 
+def test_suffix_statistics_are_those_of_all_rows(spark):
+    rows = [(f"http://h{i}.s{i % 40}/", int(i % 40 < 10)) for i in range(800)]
+    model = fit(spark.createDataFrame(rows, "url string, bad int"), most=30)
+    got = {r["__sm_suffix"]: r["__sm_suffix_share"] for r in model.suffixes.collect()}
+    assert len(got) == 40 and model.share == 1 / 4
+    assert all(abs(v - (20 * (int(k[1:]) < 10) + 5 / 4) / 25) < 1e-9 for k, v in got.items())
+
+
 def test_one_kind_of_label_repeats_and_empty_tables(spark):
     frame = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, None)], "page_id long, url string")
     for kind, verdict in ((0, "allow"), (1, "block")):
