@@ -37,6 +37,7 @@ NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: What is inside them is no text of a page.
 SILENT = frozenset("script style title textarea noscript template iframe select button svg object".split())
+RAW = frozenset("script style title textarea iframe".split())  # of SILENT, those that hold text only
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -102,7 +103,10 @@ def blocks(html: str) -> list[Block]:
         if name in SILENT:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else size
+                if end:
+                    at = end.end()
+                elif name in RAW:  # to the end of the page, as in a browser; of others, just the tag goes
+                    at = size
             if name != "svg":
                 pieces.append(" ")
             continue

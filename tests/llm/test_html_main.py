@@ -29,6 +29,12 @@ def test_blocks(html, want):
     assert [b.text for b in blocks(html)] == want
 
 
+@pytest.mark.parametrize("name", ["button", "select", "svg", "object", "noscript", "template"])
+def test_unclosed_silent_element_keeps_the_page(name):
+    assert [b.text for b in blocks(f"<nav>a</nav><{name}><p>x</p><p>y</p>")] == ["a", "x", "y"]
+    assert [b.text for b in blocks("<p>x</p><script>var t = 1;<p>y</p>")] == ["x"]
+
+
 def test_slopes_agree_with_differences():
     rng = np.random.default_rng(0)
     pages = [blocks(html) for html, _ in invented_pages(["one two three four five six seven"], 4, 1)]
