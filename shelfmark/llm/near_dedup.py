@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joins them. ``class_id`` is the smallest id of the class (a null id comes
     last) and ``kept`` marks its row. A null text is empty; a text without
     words is a class of its own. Texts with equal word sequences are copies.
-    Rows that repeat id and text count in the class and share one decision.
+    Rows that repeat id and text count in the class and share one decision,
+    but of rows without an id that repeat a text one is kept.
     """
     base = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -287,8 +288,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = sketches.select(*KEY, "vertex").dropDuplicates(KEY)
     rows = named.join(rows, KEY).join(classes, "vertex", "left")
     alone = F.concat(F.lit("row"), F.col(KEY[0]).cast("string"), F.lit(":"), F.col(KEY[1]).cast("string")).cast("binary")
-    rows = stored(rows.select(*KEY, "__sm_doc", F.coalesce("class", "vertex", alone).alias("class")))
-    order = F.struct(F.col("__sm_doc").isNull().alias("n"), F.col("__sm_doc").alias("i"), F.col(KEY[1]).alias("h"))
+    rows = stored(rows.select(*KEY, "__sm_doc", F.coalesce("class", "vertex", alone).alias("class"), F.when(F.col("__sm_doc").isNull(), F.monotonically_increasing_id()).otherwise(0).alias("mark")))
+    order = F.struct(F.col("__sm_doc").isNull().alias("n"), F.col("__sm_doc").alias("i"), F.col(KEY[1]).alias("h"), F.col("mark").alias("m"))
     sums = stored(rows.groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("class_size")))
     return rows.join(sums, "class").select(
         *KEY, F.col("__sm_doc"), F.col("first.i").alias("class_id"), "class_size", (order == F.col("first")).alias("kept"),
@@ -395,7 +396,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows whose document stays, with all their columns."""
     kept = near_duplicates(docs).where("kept").select(*KEY).distinct()
     names = docs.columns
-    return docs.select("*", *row_key()).join(kept, KEY, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    stays = lambda rows: rows.select("*", *row_key()).join(kept, KEY, "left_semi")
+    rows = stays(docs.where("doc_id IS NOT NULL")).union(stays(docs.where("doc_id IS NULL")).dropDuplicates(KEY))
+    return rows.select(*[F.col(f"`{c}`") for c in names])
 
 
 @query("op5_near_dedup")

@@ -138,6 +138,13 @@ def test_filter_nulls_repeats_and_clashes(spark):
     assert deduplicated(frame.where("false")).count() == 0
 
 
+def test_one_of_the_copies_without_an_id_stays(spark):
+    rows = [(None, "a b c d e f g")] * 3 + [(None, "...")] * 2 + [(None, None)] * 2 + [(None, "h i j k l m"), (7, "h i j k l m")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in deduplicated(frame).collect()) == [("7", "h i j k l m"), ("None", "..."), ("None", "None"), ("None", "a b c d e f g")]
+    assert near_duplicates(frame).where("kept").count() == 4
+
+
 def test_samples_agree_as_often_as_the_sets(monkeypatch):
     rng = np.random.default_rng(0)
     names = np.sort(rng.integers(0, 1 << 63, 900).astype(np.uint64))
