@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("exact_index", "line_chunks", "bpe", "decontaminate", "quality", "near_dedup", "suffix_dedup", "url_filter", "secrets", "html_main", "quality_rules", "walsh_clusters")
+MODULES = (
+    "exact_index", "line_chunks", "bpe", "decontaminate", "quality", "near_dedup", "suffix_dedup", "url_filter", "secrets", "html_main",
+    "quality_rules", "walsh_clusters", "token_alignment",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
