@@ -215,19 +215,6 @@ def refuse(questions: DataFrame, contexts: DataFrame, *, answers: dict[str, str]
     )
 
 
-def lexical_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k chunks per query by the share of its distinct terms that the chunk has.
-
-    Both sides hold distinct ``terms``. An equi-join on the term finds the
-    shared ones; only (query, chunk) counts are exchanged, combined map-side
-    where Spark broadcasts the queries' terms.
-    """
-    asked = queries.where(F.size("terms") > 0).select("query_id", F.size("terms").alias("__n"), F.explode("terms").alias("__term"))
-    found = chunks.select("chunk_id", F.explode("terms").alias("__term")).join(asked, "__term")
-    counted = found.groupBy("query_id", "chunk_id", "__n").agg(F.count(F.lit(1)).alias("__hits"))
-    return rank_hits(counted.select("query_id", "chunk_id", F.round(F.col("__hits") / F.col("__n"), 9).alias("score")), k)
-
-
 def fuse(first: DataFrame, second: DataFrame, k: int, constant: int = RRF_CONSTANT) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists, best k per query."""
     both = first.select("query_id", "chunk_id", "rank").unionByName(second.select("query_id", "chunk_id", "rank"))

@@ -1,11 +1,15 @@
-"""Row layout helpers: using all cores on small inputs, exploding costly arrays."""
+"""Row layout helpers: using all cores on small inputs, exploding costly arrays, written intermediate tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfmark.session import ensure_checkpoint_dir
 
 SMALL_BYTES = 1 << 30
 
@@ -36,3 +40,20 @@ def explode_once(df: DataFrame, keep: Sequence[str], items: Column, place: str,
     staged = df.select(*keep, items.alias("__items"))
     rows = staged.select(*keep, F.posexplode_outer("__items").alias(place, value))
     return rows.where(F.col(place).isNotNull())
+
+
+def stored(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The frame written as a table in the shared checkpoint folder and read back, so that what uses it repeats nothing before it.
+
+    ``by`` are partition columns; a filter on them skips the other folders. The
+    files go when the session's file system closes.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    fields = [f for f in df.schema.fields if f.name not in by] + [df.schema[name] for name in by]
+    return spark.read.schema(T.StructType(fields)).parquet(path)

@@ -296,6 +296,7 @@ def score_topk(
     skip_self: bool = False,
     carry: Sequence[str] = (),
     limits: Limits = Limits(),
+    held: pa.Table | None = None,
 ) -> DataFrame:
     """Candidates (query_id, chunk_id, score): every query's best k and more.
 
@@ -303,6 +304,7 @@ def score_topk(
     ``queries`` has query_id, the field and optionally ``scopes``. ``carry``
     names small chunk columns to keep on the hits, which saves joining them
     back; leave texts out, as every chunk's value passes through Python.
+    ``held`` are the queries if the caller has them from ``held_queries``.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
@@ -319,7 +321,7 @@ def score_topk(
     )
     arrow_out = to_arrow_schema(out)
 
-    held = _hold(asked, limits)
+    held = _hold(asked, limits) if held is None else held
     if held is not None:
         if held.num_rows == 0:
             return asked.sparkSession.createDataFrame([], out)
@@ -334,6 +336,11 @@ def score_topk(
     return _grid_topk(corpus, asked, k, field, threshold, skip_self, carry, limits, out, arrow_out)
 
 
+def held_queries(queries: DataFrame, limits: Limits = Limits()) -> pa.Table | None:
+    """The queries as every task would hold them, or None if they are beyond the bound."""
+    return _hold(queries, limits)
+
+
 def _hold(asked: DataFrame, limits: Limits) -> pa.Table | None:
     """The queries, if they are few enough for every task to hold them.
 

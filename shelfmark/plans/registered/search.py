@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as tx
 from shelfmark.operators import retrieval as rt
+from shelfmark.operators import lexical as lx
 from shelfmark.operators.embedding import wrong_width
 from shelfmark.operators.topk import Limits, topk
 from shelfmark.plans.registered import query, table
@@ -191,9 +192,7 @@ def word_terms(column: str) -> F.Column:
     return F.array_distinct(tx.words(F.lower(F.col(column))))
 
 
-@query(
-    "hybrid_rrf",
-    f"""WITH {CORPUS_SQL}, {ranked_sql('scored', 'dense', 20)},
+HYBRID_SQL = f"""WITH {CORPUS_SQL}, {ranked_sql('scored', 'dense', 20)},
 chunk_terms AS (
   SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS term
   FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
@@ -206,20 +205,32 @@ covered AS (
 both_lists AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM lexical),
 fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM both_lists GROUP BY query_id, chunk_id),
 {ranked_sql('fused', 'hits', K)}
-SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits""",
-)
-def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    """Vector and word ranks fused; the text of a chunk is the document of the same number."""
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits"""
+
+
+def _hybrid(spark: SparkSession, folder: str, limits: Limits) -> DataFrame:
     chunks, asked = corpus(spark, folder), cases(spark, folder)
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     texts = texts.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     texts = texts.select("chunk_id", word_terms("text").alias("terms"))
     dense = topk(chunks, asked.select("query_id", "vector"), 20)
-    lexical = rt.lexical_hits(texts, asked.select("query_id", word_terms("query").alias("terms")), 20)
+    lexical = lx.lexical_hits(texts, asked.select("query_id", word_terms("query").alias("terms")), 20, limits)
     hits = rt.fuse(dense, lexical, K)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("hybrid_rrf", HYBRID_SQL)
+def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    """Vector and word ranks fused; the text of a chunk is the document of the same number."""
+    return _hybrid(spark, folder, Limits())
+
+
+@query("hybrid_rrf_index", HYBRID_SQL)
+def hybrid_rrf_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with an inverted index on the word side, the way for query sets beyond what a task may hold."""
+    return _hybrid(spark, folder, Limits(query_rows=8))
+
+
 @query(
     "dim_violations",
     f"""WITH {CORPUS_SQL}
