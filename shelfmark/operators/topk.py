@@ -5,9 +5,10 @@ query while its Arrow batches stream by, so it emits at most ``k`` rows per
 query; a window over those few rows gives the final ranks.
 
 The query side is held in memory by every task, so its size is checked first.
-Beyond the bound both sides are cut into hash blocks and every query block
-meets every corpus block once, again keeping only ``k`` rows per query and
-block. Both ways are exact and give the same rows.
+Beyond the bound both sides are cut into blocks of similar vectors, and a query
+block meets a corpus block only if the angles between them allow a score that
+reaches its queries' k-th (see ``cells``). Both ways are exact and give the same
+rows.
 
 Scores are rounded to nine decimals before ranking, so ranks do not depend on
 the order in which a product was summed. Ties are broken by chunk id. Products
@@ -52,7 +53,7 @@ def _numpy(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     if isinstance(column, pa.Array):
         return column
     merged = column.combine_chunks()
@@ -61,7 +62,7 @@ def _one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 def matrix_of(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
     """A list column as a matrix; all lists must have the same width."""
-    lists = _one(column)
+    lists = one_array(column)
     rows = len(lists)
     if rows == 0:
         return np.zeros((0, width or 0))
@@ -167,7 +168,7 @@ class _Scopes:
 
     def parts(self, batch: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.Table | pa.RecordBatch, np.ndarray]]:
         """The batch cut by scope, each with the queries that may see it."""
-        found = pc.fill_null(pc.index_in(_one(batch.column("scope")), value_set=self.names), len(self.names))
+        found = pc.fill_null(pc.index_in(one_array(batch.column("scope")), value_set=self.names), len(self.names))
         codes = found.to_numpy(zero_copy_only=False)
         order = np.argsort(codes, kind="stable")
         codes = codes[order]
@@ -188,7 +189,7 @@ def dense_scorer(queries: pa.Table) -> Scorer:
     step = max(1, _CELLS_PER_STEP // max(1, width))
 
     def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int, queries: np.ndarray) -> Scored:
-        raw = matrix_of(_one(batch.column("vector")).slice(start, rows), width)
+        raw = matrix_of(one_array(batch.column("vector")).slice(start, rows), width)
         single = raw.astype(np.float32)
         norms = np.linalg.norm(single, axis=1, keepdims=True)
         odd = ~np.isfinite(norms[:, 0]) | (norms[:, 0] < 1e-15)
@@ -213,7 +214,7 @@ def dense_scorer(queries: pa.Table) -> Scorer:
 
 def lexical_scorer(queries: pa.Table) -> Scorer:
     """Share of a query's distinct terms that occur in the chunk; none is no hit."""
-    terms = _one(queries.column("terms"))
+    terms = one_array(queries.column("terms"))
     flat = terms.flatten()
     owner = np.repeat(
         np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
@@ -227,7 +228,7 @@ def lexical_scorer(queries: pa.Table) -> Scorer:
     totals = np.bincount(owner, minlength=len(terms)).astype(np.float64)
 
     def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int, queries: np.ndarray) -> Scored:
-        lists = _one(batch.column("terms")).slice(start, rows)
+        lists = one_array(batch.column("terms")).slice(start, rows)
         sizes_here = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         row = np.repeat(np.arange(rows), sizes_here)
         found = pc.index_in(lists.flatten(), value_set=vocabulary)
@@ -256,11 +257,11 @@ class _BlockSearch:
     """Scores corpus batches against one block of queries held in memory."""
 
     def __init__(self, queries: pa.Table, field: str, k: int, threshold: float | None, skip_self: bool,
-                 carry: Sequence[str]) -> None:
+                 carry: Sequence[str], scorer: Callable[[pa.Table], Scorer] | None = None) -> None:
         self.queries = queries
-        self.ids = _one(queries.column("query_id"))
+        self.ids = one_array(queries.column("query_id"))
         self.own = _numpy(self.ids) if skip_self else None
-        self.score = SCORERS[field](queries)
+        self.score = (scorer or SCORERS[field])(queries)
         self.scopes = _Scopes(queries) if "scopes" in queries.column_names else None
         self.everyone = np.arange(len(queries))
         self.threshold, self.carry = threshold, carry
@@ -268,8 +269,8 @@ class _BlockSearch:
 
     def feed(self, batch: pa.Table | pa.RecordBatch) -> None:
         for part, queries in self.scopes.parts(batch) if self.scopes else [(batch, self.everyone)]:
-            ids = _one(part.column("chunk_id"))
-            extra = [_one(part.column(name)) for name in self.carry]
+            ids = one_array(part.column("chunk_id"))
+            extra = [one_array(part.column(name)) for name in self.carry]
             step = max(1, _CELLS_PER_STEP // max(1, len(queries)))
             for start in range(0, part.num_rows, step):
                 rows = min(step, part.num_rows - start)
@@ -297,6 +298,7 @@ def score_topk(
     carry: Sequence[str] = (),
     limits: Limits = Limits(),
     held: pa.Table | None = None,
+    scorer: Callable[[pa.Table], Scorer] | None = None,
 ) -> DataFrame:
     """Candidates (query_id, chunk_id, score): every query's best k and more.
 
@@ -304,7 +306,8 @@ def score_topk(
     ``queries`` has query_id, the field and optionally ``scopes``. ``carry``
     names small chunk columns to keep on the hits, which saves joining them
     back; leave texts out, as every chunk's value passes through Python.
-    ``held`` are the queries if the caller has them from ``held_queries``.
+    ``held`` are the queries if the caller has them from ``held_queries``;
+    ``scorer`` takes the place of the field's own.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
@@ -327,13 +330,29 @@ def score_topk(
             return asked.sparkSession.createDataFrame([], out)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = _BlockSearch(held, field, k, threshold, skip_self, carry)
+            block = _BlockSearch(held, field, k, threshold, skip_self, carry, scorer)
             for batch in batches:
                 block.feed(batch)
             yield from block.best.table(block.ids, arrow_out).to_batches()
 
         return corpus.mapInArrow(search, out)
-    return _grid_topk(corpus, asked, k, field, threshold, skip_self, carry, limits, out, arrow_out)
+
+    def meet(part: pa.Table, block: pa.Table) -> pa.Table:
+        if part.num_rows == 0 or block.num_rows == 0:
+            return arrow_out.empty_table()
+        search = _BlockSearch(block, field, k, threshold, skip_self, carry, scorer)
+        search.feed(part)
+        return search.best.table(search.ids, arrow_out)
+
+    sample = asked.limit(16).toArrow()
+    row_bytes = max(1, 2 * sample.nbytes // max(1, sample.num_rows))
+    block_rows = max(1, min(limits.query_rows, limits.query_bytes // row_bytes))
+    chunk_rows = max(1, min(limits.corpus_block_rows, limits.query_bytes // row_bytes))
+    if field == "vector":
+        from shelfmark.operators.cells import bounded_topk
+
+        return bounded_topk(corpus, asked, k, meet, out, block_rows=block_rows, chunk_rows=chunk_rows, threshold=threshold)
+    return _grid_topk(corpus, asked, meet, out, block_rows, chunk_rows)
 
 
 def held_queries(queries: DataFrame, limits: Limits = Limits()) -> pa.Table | None:
@@ -356,23 +375,10 @@ def _hold(asked: DataFrame, limits: Limits) -> pa.Table | None:
 
 
 def _grid_topk(
-    corpus: DataFrame,
-    asked: DataFrame,
-    k: int,
-    field: str,
-    threshold: float | None,
-    skip_self: bool,
-    carry: Sequence[str],
-    limits: Limits,
-    out: T.StructType,
-    arrow_out: pa.Schema,
+    corpus: DataFrame, asked: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], out: T.StructType, block_rows: int, chunk_rows: int,
 ) -> DataFrame:
-    """Every query block meets every corpus block; both blocks are of bounded size."""
-    sample = asked.limit(16).toArrow()
-    row_bytes = max(1, 2 * sample.nbytes // max(1, sample.num_rows))
-    block_rows = max(1, min(limits.query_rows, limits.query_bytes // row_bytes))
+    """Every query block meets every corpus block; both blocks are of bounded size. For fields without bounds."""
     query_blocks = max(1, math.ceil(asked.count() / block_rows))
-    chunk_rows = max(1, min(limits.corpus_block_rows, limits.query_bytes // row_bytes))
     corpus_blocks = max(1, math.ceil(corpus.count() / chunk_rows))
 
     def block_of(key: str, blocks: int) -> Column:
@@ -383,14 +389,6 @@ def _grid_topk(
 
     left = corpus.withColumn("cb", block_of("chunk_id", corpus_blocks)).withColumn("qb", every(query_blocks))
     right = asked.withColumn("qb", block_of("query_id", query_blocks)).withColumn("cb", every(corpus_blocks))
-
-    def meet(part: pa.Table, block: pa.Table) -> pa.Table:
-        if part.num_rows == 0 or block.num_rows == 0:
-            return arrow_out.empty_table()
-        search = _BlockSearch(block, field, k, threshold, skip_self, carry)
-        search.feed(part)
-        return search.best.table(search.ids, arrow_out)
-
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, out)
 
 
