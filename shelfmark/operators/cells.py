@@ -117,7 +117,7 @@ def with_cell(df: DataFrame, centres: np.ndarray, *, codes: bool = False) -> Dat
 def build_index(chunks: DataFrame, cells: Cells) -> DataFrame:
     """All chunks as a table stored by ``cell``, with codes; any columns beside chunk_id and vector are kept."""
     coded = with_cell(chunks, cells.centres, codes=True).drop("cosine")
-    return stored(coded.repartition("cell"), by=["cell"])
+    return stored(coded.repartitionByRange("cell", F.xxhash64("chunk_id")), by=["cell"])
 
 
 def search_cells(index: DataFrame, cells: Cells, queries: DataFrame, k: int, *, probes: int | None = None, threshold: float | None = None,

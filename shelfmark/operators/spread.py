@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,18 +42,23 @@ def explode_once(df: DataFrame, keep: Sequence[str], items: Column, place: str,
     return rows.where(F.col(place).isNotNull())
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; it goes when the session's file system closes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The frame written as a table in the shared checkpoint folder and read back, so that what uses it repeats nothing before it.
 
-    ``by`` are partition columns; a filter on them skips the other folders. The
-    files go when the session's file system closes.
+    ``by`` are partition columns; a filter on them skips the other folders.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/rows"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     fields = [f for f in df.schema.fields if f.name not in by] + [df.schema[name] for name in by]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
