@@ -250,7 +250,28 @@ def lexical_scorer(queries: pa.Table) -> Scorer:
     return score
 
 
-SCORERS = {"vector": dense_scorer, "terms": lexical_scorer}
+def prefix_scorer(queries: pa.Table) -> Scorer:
+    """Cosine of the first components only: a query's ``probe`` is a struct of vector and width, a chunk's the whole vector.
+
+    One pass over the chunks thus serves the same queries at several widths.
+    """
+    probes = one_array(queries.column("probe"))
+    vectors, widths = matrix_of(probes.field("vector")), probes.field("width").to_numpy()
+    groups = [(w, np.flatnonzero(widths == w), unit_rows(vectors[widths == w][:, :w])) for w in np.unique(widths)]
+
+    def score(batch: pa.Table | pa.RecordBatch, start: int, rows: int, asking: np.ndarray) -> Scored:
+        raw = matrix_of(one_array(batch.column("probe")).slice(start, rows))
+        scores = np.empty((rows, len(widths)))
+        for width, at, wanted in groups:
+            scores[:, at] = unit_rows(raw[:, :width]) @ wanted.T
+        scores = scores[:, asking]
+        scores[np.isnan(scores)] = -np.inf
+        return Scored(scores, 10.0**-SCORE_DECIMALS, lambda row, query: scores[row, query])
+
+    return score
+
+
+SCORERS = {"probe": prefix_scorer, "vector": dense_scorer, "terms": lexical_scorer}
 
 
 class _BlockSearch:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fixed
 from shelfmark.operators import metrics
+from shelfmark.operators import rerank as rr
 from shelfmark.operators import retrieval as rt
-from shelfmark.operators.topk import topk
+from shelfmark.operators.topk import rank_hits, score_topk, topk
 from shelfmark.plans import evaluation as ev
 from shelfmark.plans.registered import query, table
 from shelfmark.plans.registered.search import CORPUS_SQL, cases, corpus, ranked_sql
@@ -17,6 +21,7 @@ KS = metrics.DEFAULT_K
 LIMIT = ev.SEARCH_LIMIT
 HALF = 32
 RERANK_N = 10
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 
 _IDCG = "list_sum([1.0::DOUBLE / log2(i + 1) FOR i IN range(1, least({n}, {k})::BIGINT + 1)])"
 
@@ -235,6 +240,54 @@ def rerank_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return final.select("query_id", "chunk_id", "used_base", F.col("final_rank").cast("long").alias("final_rank"))
 
 
+class WordReranker:
+    """A list-wise model: shares of the query's words; it refuses some queries, skips short texts and makes up an id."""
+
+    def __call__(self, query: str, candidates: Sequence[tuple[object, str]]) -> list[tuple[object, float]]:
+        asked = set(_WORD.findall(query.lower()))
+        if len(asked) % 7 == 0:
+            raise ValueError("query refused")
+        found = [(i, len(asked & set(_WORD.findall(text.lower()))) / len(asked)) for i, text in candidates if len(text) >= 200]
+        return [(-1, 2.0), *sorted(found, key=lambda f: -f[1])]
+
+
+MODEL_SQL = f"""WITH {CORPUS_SQL}, {BASE_HITS_SQL}, {lexical_sql()},
+judged AS (
+  SELECT l.*, len(list_distinct(regexp_extract_all(lower(b.text), '\\S+'))) % 7 = 0 AS used_base,
+         CASE WHEN length(d.text) >= 200 THEN l.score END AS own
+  FROM lexical l JOIN documents d ON d.doc_id = l.chunk_id JOIN benchmark b ON b.item_id = l.query_id)"""
+
+
+def model_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"))
+    return texted_hits(spark, folder).join(known, "chunk_id", "left_semi").select("query_id", "chunk_id", "rank", "query", "content")
+
+
+@query(
+    "rerank_model",
+    f"""{MODEL_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own DESC NULLS LAST, chunk_id) AS place FROM judged)
+SELECT query_id, chunk_id, used_base, CASE WHEN used_base THEN first_rank ELSE place END AS final_rank
+FROM placed WHERE used_base OR (place <= {RERANK_N} AND own >= 0.3)""",
+)
+def rerank_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A model sees each query with all its candidates; what it makes up is dropped, what it refuses keeps its first order."""
+    final = rr.rerank_by_model(model_candidates(spark, folder), WordReranker, top_n=RERANK_N, threshold=0.3)
+    return final.select("query_id", "chunk_id", "used_base", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query(
+    "rerank_outcomes",
+    f"""{MODEL_SQL}
+SELECT query_id, count(*) FILTER (NOT used_base AND own IS NOT NULL) AS scored,
+       count(*) FILTER (NOT used_base AND own IS NULL) AS unscored, count(*) FILTER (used_base) AS failed
+FROM judged GROUP BY query_id""",
+)
+def rerank_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of every candidate that was shown to the model, in lists of eight."""
+    return rr.outcomes(rr.score_lists(model_candidates(spark, folder), WordReranker, list_rows=8))
+
+
 def staged_scores(hits: DataFrame, asked: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Per-query metrics of both stages."""
     config = by[:-1]
@@ -261,15 +314,26 @@ def eval_rerank_lift(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.lift(means), "lift")
 
 
-CONFIGS = {"full": None, "half": HALF}
+CONFIGS = {"full": 64, "half": HALF}
 
 
 def config_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits of every configuration: whole vectors and their first half."""
-    parts = [
-        texted_hits(spark, folder, width).withColumn("config", F.lit(name)) for name, width in CONFIGS.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    """Hits of every configuration, whole vectors and their first half, with texts: one search, and one join with each table."""
+    asked = cases(spark, folder)
+    configs = F.explode(F.array(*[F.struct(F.lit(name).alias("config"), F.lit(width).alias("width")) for name, width in CONFIGS.items()])).alias("c")
+    probes = asked.select("query_id", "vector", configs).select(
+        F.concat_ws("/", "c.config", "query_id").alias("query_id"), F.struct("vector", "c.width").alias("probe")
+    )
+    chunks = corpus(spark, folder).select("chunk_id", "space_key", F.col("vector").alias("probe"))
+    # One hit more than is wanted, as a query may find itself.
+    found = score_topk(chunks, probes, LIMIT + 1, field="probe", threshold=0.0, carry=("space_key",))
+    place = F.split("query_id", "/")
+    named = found.select(place[0].alias("config"), place[1].cast("long").alias("query_id"), "chunk_id", "score", "space_key")
+    hits = rank_hits(named.where("chunk_id != query_id"), LIMIT, ("config", "query_id"))
+    wanted = asked.select("query_id", F.col("space_key").alias("asked_space"), "query")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    judged = hits.join(wanted, "query_id").withColumn("relevant", F.col("space_key") == F.col("asked_space"))
+    return judged.join(texts, "chunk_id", "left")
 
 
 CONFIG_SQL = f"""{SPACE_SQL},
