@@ -1,4 +1,4 @@
-"""Life cycles of tickets over the ``events`` table, in batch and as a replayed stream: a user is a ticket."""
+"""Life cycles of tickets, in batch and as a replayed stream: a conversation is a ticket, its turns are what happened to it."""
 
 from __future__ import annotations
 
@@ -10,29 +10,34 @@ from shelfmark.operators.lifecycle import CLAIMS, QUEUE, Timeout, accepted_arriv
 from shelfmark.plans.registered import query, table
 from shelfmark.streaming.lifecycle import lifecycle_stream, replay
 
-QUEUE_EVENTS = {"view": "arrival", "click": "arrival", "signup": "start", "purchase": "done", "error": "done"}
-CLAIM_EVENTS = {"view": "claim", "signup": "claim", "purchase": "finish", "error": "fail", "click": "clear"}
-STALE = Timeout("in-progress", "reprocess", 10 * 3_600_000_000)
+# The length of a turn's text decides what happened, and moves the time a little.
+QUEUE_EVENTS = ("arrival", "arrival", "start", "done", "start", "done")
+CLAIM_EVENTS = ("claim", "claim", "finish", "fail", "clear", "clarify")
+STALE = Timeout("in-progress", "reprocess", 40 * 60_000_000)
 UNTIL = "2031-01-01 00:00:00"
 SLICES = 3
 
 
-def events(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFrame:
-    kind = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("event_type")]
-    return table(spark, folder, "events").select(F.col("user_id").alias("ticket"), kind.alias("event"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+def events(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
+    size = F.coalesce(F.length("text"), F.lit(0))
+    kind = F.element_at(F.array(*map(F.lit, names)), size % len(names) + 1)
+    seconds = F.col("turn") * 1800 + size * 7 % 3000
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("ticket"), kind.alias("event"), F.timestamp_seconds(seconds).alias("ts"), F.col("turn").alias("event_id")
+    )
 
 
-def walk_sql(automaton: Automaton, names: dict[str, str], timeout: Timeout | None = None) -> str:
+def walk_sql(automaton: Automaton, names: tuple[str, ...], timeout: Timeout | None = None) -> str:
     """Every event with the state before and after it, one event of each ticket per step; ``expired`` where a timeout came first."""
-    kinds = " ".join(f"WHEN '{source}' THEN '{event}'" for source, event in names.items())
     after = " ".join(f"WHEN '{state}/{event}' THEN '{target}'" for (state, event), target in automaton.moves.items())
     moved = lambda state: f"CASE {state} || '/' || p.event {after} ELSE {state} END"
     late = f"w.after = '{timeout.state}' AND p.us - w.us > {timeout.micros}" if timeout else "false"
     reset = automaton.moves[(timeout.state, timeout.event)] if timeout else ""
     before = f"CASE WHEN {late} THEN '{reset}' ELSE w.after END"
     return f"""placed AS (
-  SELECT user_id AS ticket, event_id, epoch_us(ts) AS us, CASE event_type {kinds} END AS event,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  SELECT conv_id AS ticket, turn AS event_id, (turn * 1800 + size * 7 % 3000) * 1000000 AS us, {list(names)}[size % {len(names)} + 1] AS event,
+         row_number() OVER (PARTITION BY conv_id ORDER BY us, turn) AS n
+  FROM (SELECT *, coalesce(length(text), 0) AS size FROM conversations)),
 walk AS (
   SELECT ticket, n, us, event_id, event, '{automaton.states[0]}' AS before, {moved(f"'{automaton.states[0]}'")} AS after,
          false AS expired, us AS last FROM placed p WHERE n = 1
