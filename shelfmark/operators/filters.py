@@ -135,11 +135,10 @@ def allowed_tools(requests: DataFrame, grants: DataFrame, tools: Sequence[str],
     if not restricted:
         return requests.withColumn("allowed_tools", every)
     own = grants.select("role", F.col("tools").alias("__own"))
-    fallback = grants.where(F.col("role") == DEFAULT_ROLE).agg(F.first("tools").alias("__fallback"))
-    # ``fallback`` is the single row of a global aggregate.
-    joined = requests.join(own, "role", "left").join(F.broadcast(fallback), how="left")
-    chosen = F.coalesce("__own", "__fallback", F.array().cast("array<string>"))
-    return joined.withColumn("allowed_tools", F.array_intersect(every, chosen)).drop("__own", "__fallback")
+    spare = grants.where(F.col("role") == DEFAULT_ROLE).select("tools").take(1)  # one role's list, so a literal
+    fallback = _strings(spare[0].tools or ()) if spare else F.array().cast("array<string>")
+    joined = requests.join(own, "role", "left")
+    return joined.withColumn("allowed_tools", F.array_intersect(every, F.coalesce("__own", fallback))).drop("__own")
 
 
 # -- profiles ----------------------------------------------------------------

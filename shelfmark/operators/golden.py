@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import text as tx
+from shelfmark.operators.ordered import running_sum
 
 SAMPLE_CHUNKS = 50
 SAMPLE_SEED = 42
@@ -144,15 +145,17 @@ def first_sentence_questions(sample: DataFrame, text: str = "content") -> DataFr
 def number_queries(asked: DataFrame) -> DataFrame:
     """Dense ids q_001, q_002, ... in sample order after failures are left out.
 
-    Runs over the sample's questions only.
+    Questions are counted in blocks of places, so that a large sample is not
+    numbered by one task.
     """
-    rows = asked.where(F.col("questions").isNotNull()).select(
-        "place", F.col("chunk_id").alias("source_chunk_id"), "page_id", "title", "space_key",
+    usable = asked.where(F.size("questions") > 0).withColumn("__all", F.lit(0))
+    upto = running_sum(usable, ["__all"], "place", F.size("questions"), "__upto")
+    rows = upto.select(
+        "place", F.col("chunk_id").alias("source_chunk_id"), "page_id", "title", "space_key", (F.col("__upto") - F.size("questions")).alias("__before"),
         F.posexplode("questions").alias("nth", "q"),
     )
-    order = Window.orderBy("place", "nth")
     return rows.select(
-        F.format_string("q_%03d", F.row_number().over(order)).alias("query_id"),
+        F.format_string("q_%03d", (F.col("__before") + F.col("nth") + 1).cast("long")).alias("query_id"),
         F.col("q.question").alias("query"),
         F.col("q.rationale").alias("rationale"),
         "source_chunk_id", "page_id", "title", "space_key",
@@ -226,6 +229,8 @@ def check_golden_lines(lines: DataFrame, line: str = "line", number: str = "line
     )
     checked = shaped.withColumn("problem", problem).drop("__broken")
     first = checked.where(F.col("problem").isNull()).groupBy("query_id").agg(F.min(number).alias("__first"))
-    joined = checked.join(first, "query_id", "left")
+    # Lines with a problem look for nothing; a key of their own keeps them from meeting in one.
+    own = F.when(F.col("problem").isNull(), F.concat(F.lit("="), "query_id")).otherwise(F.col(number).cast("string")).alias("__key")
+    joined = checked.select("*", own).join(first.select(F.concat(F.lit("="), "query_id").alias("__key"), "__first"), "__key", "left").drop("__key")
     repeated = F.col("problem").isNull() & (F.col(number) > F.col("__first"))
     return joined.withColumn("problem", F.when(repeated, F.lit("duplicate queryId")).otherwise(F.col("problem"))).drop("__first")

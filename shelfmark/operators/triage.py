@@ -219,10 +219,12 @@ def context_block(context: Column) -> Column:
     return _block("retrieved_context", F.coalesce(context, F.lit("")), "(none retrieved)")
 
 
-def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, agent: str) -> DataFrame:
+def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, agent: str, cached: DataFrame | None = None) -> DataFrame:
     """A model's input as ordered rows (ticket_key, section, place, text).
 
-    Section 0 is the ticket, 1 its comments, 2 the retrieved context. Rows stay
+    Section 0 is the ticket, 1 its comments, the last the retrieved context. With
+    ``cached`` (ticket_key, rank, hit_key, score, strong, question, resolution)
+    section 2 are the similar tickets of the cache. Rows stay
     separate, so a ticket with very many comments is no problem; the text is
     joined where the model is called.
     """
@@ -238,7 +240,12 @@ def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, ag
     silent = keys.join(comments, "ticket_key", "left_anti").select(
         "ticket_key", F.lit(1).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("(none)").alias("text")
     )
+    if cached is not None:
+        line = cache_hit_line(F.col("hit_key"), F.col("score"), F.col("strong"), F.col("question"), F.col("resolution"))
+        similar = cached.join(keys, "ticket_key", "left_semi").select("ticket_key", F.lit(2).alias("section"), F.col("rank").cast("long").alias("place"), line.alias("text"))
+        none = keys.join(cached, "ticket_key", "left_anti").select("ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("(none)").alias("text"))
+        said = said.unionByName(similar).unionByName(none)
     found = keys.join(context.select("ticket_key", "context"), "ticket_key", "left").select(
-        "ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), context_block(F.col("context")).alias("text")
+        "ticket_key", F.lit(2 if cached is None else 3).alias("section"), F.lit(0).cast("long").alias("place"), context_block(F.col("context")).alias("text")
     )
     return head.unionByName(said).unionByName(silent).unionByName(found)

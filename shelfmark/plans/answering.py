@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,21 @@ def questions_of(turns: DataFrame) -> DataFrame:
 
 
 def sub_query_hits(
-    questions: DataFrame, corpus: DataFrame, *, k: int, threshold: float | None, width: int, limits: Limits = Limits()
+    questions: DataFrame, corpus: DataFrame, *, k: int, threshold: float | None, width: int = 0, limits: Limits = Limits(),
+    embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked hits of every sub-query (question_id, sub_idx, sub_query, chunk_id, score, rank).
 
     ``corpus`` has chunk_id and vector. Sub-queries are numbered so that one
-    search serves all of them.
+    search serves all of them. ``embed`` gets (query_id, sub_query) and returns
+    (query_id, vector), as the model that made the corpus does for queries; the
+    default is the word hash of ``width``.
     """
     parts = rt.expand(questions).withColumn(
         "query_id", F.concat_ws("/", F.col("question_id").cast("string"), F.col("sub_idx").cast("string"))
     )
-    vectors = hashed_words(parts.select("query_id", "sub_query"), "sub_query", width=width, keep_text=False)
+    asked = parts.select("query_id", "sub_query")
+    vectors = embed(asked) if embed else hashed_words(asked, "sub_query", width=width, keep_text=False)
     hits = rt.search_many(corpus, vectors, k=k, threshold=threshold, limits=limits)
     place = F.split("query_id", "/", 2)
     question_type = questions.schema["question_id"].dataType

@@ -176,10 +176,7 @@ def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    "context_budget",
-    f"""WITH {CONTEXT_SQL},
-pieces AS (
+TRIMMED_SQL = f"""pieces AS (
   SELECT question_id, context, i AS place, len(p) AS n_pieces, p[i] AS piece
   FROM (SELECT question_id, context, string_split(context, {SEP_SQL}) AS p FROM contexts), range(1, len(p) + 1) AS r(i)),
 summed AS (
@@ -192,7 +189,12 @@ kept AS (
 trimmed AS (
   SELECT question_id, CASE WHEN length(context) <= {4 * CONTEXT_TOKENS} THEN context
     WHEN n_kept = 0 THEN left(context, {4 * CONTEXT_TOKENS}) || chr(10) || '...[truncated]'
-    ELSE front || chr(10) || '...[truncated]' END AS context FROM kept)
+    ELSE front || chr(10) || '...[truncated]' END AS context FROM kept)"""
+
+
+@query(
+    "context_budget",
+    f"""WITH {CONTEXT_SQL}, {TRIMMED_SQL}
 SELECT question_id, length(context)::BIGINT AS n_chars, md5(context) AS digest FROM trimmed""",
 )
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,6 +241,34 @@ def refusal_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return ev.refusal_accuracy(cases, answers).withColumn("accuracy", F.round("accuracy", 6))
 
 
+KEPT_HISTORY_TOKENS = 300
+# A chat's turns as sent to a model, the newest first until the budget is spent; the first always stays.
+PROMPTS_SQL = f"""model AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system' AND conv_id IN (SELECT question_id FROM contexts)
+  UNION ALL
+  SELECT conv_id, max(turn) + 1, 'user', max_by(text, turn) FILTER (role = 'user') FROM conversations
+  WHERE role <> 'system' AND conv_id IN (SELECT question_id FROM contexts) GROUP BY conv_id HAVING max_by(role, turn) <> 'user'),
+spent AS (
+  SELECT *, sum(ceil(length(text) / 4.0)) OVER w AS used, row_number() OVER w AS place FROM model
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))"""
+
+
+@query(
+    "prompt_texts",
+    f"""WITH {CONTEXT_SQL}, {TRIMMED_SQL}, {PROMPTS_SQL}
+SELECT question_id AS conv_id, -1::BIGINT AS turn, 'system' AS role, md5('{an.SYSTEM_TEXT}' || chr(10) || chr(10) || 'Context:' || chr(10) || context) AS digest
+FROM trimmed
+UNION ALL
+SELECT conv_id, turn, role, md5(text) FROM spent WHERE used <= {KEPT_HISTORY_TOKENS} OR place = 1""",
+)
+def prompt_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message as it is sent, with the budgets of context and history at work."""
+    ready = an.prompts(
+        table(spark, folder, "conversations"), contexts(spark, folder), context_tokens=CONTEXT_TOKENS, history_tokens=KEPT_HISTORY_TOKENS
+    )
+    return ready.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
 @query(
     "prompt_messages",
     f"""WITH {CONTEXT_SQL}

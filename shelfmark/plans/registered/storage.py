@@ -335,6 +335,23 @@ def profile_resolve(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "profile_missing",
+    """SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN 'chunks_' || c_name END AS table_name,
+  CASE WHEN c_acctbal > 0 THEN NULL ELSE 'profile not found and no fallback configured' END AS error
+FROM orders JOIN customer ON c_custkey = o_custkey""",
+)
+def profile_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without a usable fallback: unknown profiles are errors."""
+    people = table(spark, folder, "customer")
+    registry = people.where("c_acctbal > 0").select(
+        F.col("c_name").alias("profile_name"), F.concat(F.lit("chunks_"), "c_name").alias("table_name"), F.lit("p").alias("embedding_provider"),
+        F.lit("m").alias("embedding_model"), F.lit(64).alias("embedding_dimensions"),
+    )
+    names = table(spark, folder, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_name").alias("name"))
+    return fl.resolve_profiles(names, registry, {"table_name": "chunks", "embedding_provider": "offline"}).select("o_orderkey", "table_name", "error")
+
+
 def ticket_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as cached tickets."""
     return table(spark, folder, "customer").select(

@@ -64,18 +64,41 @@ def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {PAGE_TEXT_SQL},
 cut AS (
   SELECT page_id, regexp_extract(text, '(?s)\\A(.*?)\\n# ([^\\n]*)\\n\\n(.*)\\z', ['before', 'title', 'after']) AS p FROM plain)
-SELECT page_id, 0::BIGINT AS place, '' AS path, length(trim(p.before, {TRIM}))::BIGINT AS n_chars FROM cut WHERE trim(p.before, {TRIM}) <> ''
-UNION ALL SELECT page_id, 1, p.title, length(trim(p.after, {TRIM})) FROM cut""",
+SELECT page_id, 0::BIGINT AS place, '' AS path, length(trim(p.before, {TRIM}))::BIGINT AS n_chars, md5(trim(p.before, {TRIM})) AS digest
+FROM cut WHERE trim(p.before, {TRIM}) <> ''
+UNION ALL SELECT page_id, 1, p.title, length(trim(p.after, {TRIM})), md5(trim(p.after, {TRIM})) FROM cut""",
 )
 def html_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Parts between headings, with the article wrapper opened."""
     parts = ch.html_sections(pages(spark, folder).select("page_id", "html"), {"descend": ("article",)})
     return parts.select(
         "page_id", F.col("chunk_index").alias("place"), F.array_join("header_path", " > ").alias("path"),
-        F.length(tx.strip(F.col("content"))).cast("long").alias("n_chars"),
+        F.length(tx.strip(F.col("content"))).cast("long").alias("n_chars"), F.md5(tx.strip(F.col("content"))).alias("digest"),
     )
 
 
+NESTED_TABLE = "'| id | n |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || n_chars || ' |'"
+
+
+@query(
+    "html_nested",
+    f"""SELECT doc_id::VARCHAR AS page_id, source AS path, 'text' AS kind, md5(trim(text, {TRIM})) AS digest FROM documents WHERE trim(text, {TRIM}) <> ''
+UNION ALL SELECT doc_id::VARCHAR, source || ' > ' || lang, 'table', md5({NESTED_TABLE}) FROM documents
+UNION ALL SELECT doc_id::VARCHAR, source || ' > ' || lang || ' > deep', 'code', md5('```' || chr(10) || 'x = 1' || chr(10) || '```') FROM documents
+UNION ALL SELECT doc_id::VARCHAR, source || ' > second', 'text', md5('• ' || lang || chr(10) || '• last') FROM documents""",
+)
+def html_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts below nested headings, with a table, a code block and a list: paths, kinds and the text itself."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(
+        F.lit("<h1>"), "source", F.lit("</h1><p>"), escaped, F.lit("</p><h2>"), "lang", F.lit("</h2><table><tr><th>id<th>n</tr><tr><td>"),
+        F.col("doc_id").cast("string"), F.lit("<td>"), F.col("n_chars").cast("string"), F.lit("</table><h3>deep</h3><pre>x = 1</pre><h2>second</h2><ul><li>"),
+        "lang", F.lit("<li>last</ul>"),
+    )
+    parts = ch.html_sections(documents(spark, folder).select(F.col("doc_id").cast("string").alias("page_id"), page.alias("html")))
+    return parts.select("page_id", F.array_join("header_path", " > ").alias("path"), F.col("content_type").alias("kind"), F.md5(tx.strip(F.col("content"))).alias("digest"))
+
+
 def _words_sql(text: str) -> str:
     return f"len(regexp_extract_all({text}, '\\S+'))"
 

@@ -15,7 +15,7 @@ from shelfmark.operators import triage as tr
 from shelfmark.operators.embedding import hashed_words
 from shelfmark.operators.spread import spread
 from shelfmark.plans.registered import query, table
-from shelfmark.plans.registered.answers import TRIM, WIDTH, vector_sql
+from shelfmark.plans.registered.answers import GERMAN_SQL, TRIM, WIDTH, vector_sql
 from shelfmark.plans.registered.search import ranked_sql
 from shelfmark.sources import tickets as src
 
@@ -158,6 +158,24 @@ def rule_match(spark: SparkSession, folder: str) -> DataFrame:
     return with_rule(tickets(spark, folder)).select("ticket_key", "rule_id")
 
 
+REPLIES = {"de": "Bitte Zielsystem, Rolle, Genehmigung und Zeitraum angeben.", "en": "Please state the target system, role, approver and duration."}
+
+
+@query(
+    "rule_replies",
+    f"""WITH {TICKETS_SQL}, ruled AS (SELECT *, {RULE_SQL} AS rule_id, summary || chr(10) || coalesce(description, '') AS said FROM tickets)
+SELECT ticket_key, rule_id, CASE WHEN {GERMAN_SQL.format('said')} THEN '{REPLIES["de"]}' ELSE '{REPLIES["en"]}' END AS reply,
+       'waiting-for-reporter' AS transition, true AS to_reporter
+FROM ruled WHERE rule_id IS NOT NULL""",
+)
+def rule_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """What a matching rule does with its ticket: the reply in the ticket's language, the transition, and whom it goes to."""
+    ruled = with_rule(tickets(spark, folder)).where(F.col("rule_id").isNotNull())
+    return ruled.select(
+        "ticket_key", "rule_id", F.col("rule_reply").alias("reply"), F.col("rule_transition").alias("transition"), F.col("rule_to_reporter").alias("to_reporter")
+    )
+
+
 def comments(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as comments on the ticket of the same number."""
     asked_back = F.when(F.length("text") > 300, F.concat("text", F.lit(f"\n{MARKER}"))).otherwise(F.col("text"))
@@ -361,6 +379,29 @@ def prompt_inputs(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select("ticket_key", F.col("section").cast("long").alias("section"), "place", F.md5("text").alias("digest"))
 
 
+@query(
+    "prompt_similar",
+    f"""WITH {TICKETS_SQL}, hits AS (
+  SELECT t.ticket_key, step AS rank, 'T-' || c.c_custkey AS hit_key, 0.8 + c.c_nationkey / 100.0 AS score, c.c_name AS question, c.c_mktsegment AS resolution
+  FROM tickets t CROSS JOIN range(1, 3) AS s(step) JOIN customer c ON c.c_custkey = t.o_custkey + step WHERE c.c_acctbal > 0)
+SELECT ticket_key, rank::BIGINT AS place, '[' || hit_key || ' — similarity ' || printf('%.2f', score) || CASE WHEN score >= 0.92 THEN ', strong match' ELSE '' END
+  || ']' || chr(10) || 'Question: ' || question || chr(10) || 'Resolution: ' || resolution AS text FROM hits
+UNION ALL SELECT ticket_key, 0, '(none)' FROM tickets WHERE ticket_key NOT IN (SELECT ticket_key FROM hits)""",
+)
+def prompt_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The similar tickets that a model reads before it decides."""
+    open_tickets = tickets(spark, folder)
+    asked = table(spark, folder, "orders").select(F.concat(F.lit(f"{PROJECT}-"), F.col("o_orderkey")).alias("ticket_key"), "o_custkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    known = table(spark, folder, "customer").where("c_acctbal > 0").select(
+        "c_custkey", F.concat(F.lit("T-"), F.col("c_custkey")).alias("hit_key"), (F.lit(0.8) + F.col("c_nationkey") / 100).alias("score"),
+        F.col("c_name").alias("question"), F.col("c_mktsegment").alias("resolution"),
+    )
+    hits = asked.withColumn("c_custkey", F.col("o_custkey") + F.col("rank")).join(known, "c_custkey").withColumn("strong", F.col("score") >= 0.92)
+    nothing = spark.createDataFrame([], "ticket_key string, place long, author string, author_name string, body string")
+    parts = tr.prompt_parts(open_tickets, nothing, spark.createDataFrame([], "ticket_key string, context string"), AGENT, hits)
+    return parts.where("section = 2").select("ticket_key", "place", "text")
+
+
 @query(
     "language_gate",
     """WITH tags AS (
