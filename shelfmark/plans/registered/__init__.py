@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_MODULES = ("search", "evaluation", "answers", "storage", "texts", "chats", "tickets", "records", "lifecycles")
+_MODULES = ("search", "evaluation", "answers", "storage", "texts", "chats", "tickets", "records", "lifecycles", "syncing")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators.automaton import Automaton
 from shelfmark.operators.lifecycle import CLAIMS, QUEUE, Timeout, accepted_arrivals, run_lifecycle
 from shelfmark.plans.registered import query, table
-from shelfmark.streaming.lifecycle import lifecycle_stream, replay
+from shelfmark.streaming.lifecycle import lifecycle_stream, replay, time_slice
 
 # The length of a turn's text decides what happened, and moves the time a little.
 QUEUE_EVENTS = ("arrival", "arrival", "start", "done", "start", "done")
@@ -77,7 +77,7 @@ def queue_arrivals(spark: SparkSession, folder: str) -> DataFrame:
 def queue_arrivals_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same decisions by a stream that keeps each ticket's state between its runs."""
     rows = events(spark, folder, QUEUE_EVENTS)
-    return _queue(replay(rows, "ts", SLICES, lambda s: lifecycle_stream(s, QUEUE, "ticket", "event", "ts", "event_id")))
+    return _queue(replay(rows, time_slice(rows, "ts", SLICES), SLICES, lambda s: lifecycle_stream(s, QUEUE, "ticket", "event", "ts", "event_id")))
 
 
 def _claims(moved: DataFrame) -> DataFrame:
@@ -100,5 +100,5 @@ def claim_moves_stream(spark: SparkSession, folder: str) -> DataFrame:
     def build(source: DataFrame) -> DataFrame:
         return lifecycle_stream(source.withWatermark("ts", "0 seconds"), CLAIMS, "ticket", "event", "ts", "event_id", timeout=STALE)
 
-    landed = replay(rows, "ts", SLICES, build, last=tick)
+    landed = replay(rows, time_slice(rows, "ts", SLICES), SLICES, build, last=tick)
     return _claims(landed.where(F.col("event") != "tick"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -112,16 +112,20 @@ def lifecycle_stream(events: DataFrame, automaton: Automaton, key: str, event: s
     return moved.select(back, at, tie, event, "before", "after", "valid")
 
 
-def replay(rows: DataFrame, at: str, slices: int, build: Callable[[DataFrame], DataFrame], last: DataFrame | None = None) -> DataFrame:
-    """Land the rows in slices of time, run the stream once after each, and read what it wrote; ``last`` lands with the last slice.
+def time_slice(rows: DataFrame, at: str, slices: int) -> Column:
+    """The number of each row's slice, of equal spans of time."""
+    ends = rows.agg(F.min(F.unix_micros(at)).alias("least"), F.max(F.unix_micros(at)).alias("most")).first()
+    step = max(1, -(-((ends.most or 0) - (ends.least or 0) + 1) // slices))
+    return F.floor((F.unix_micros(at) - F.lit(ends.least or 0)) / step)
+
+
+def replay(rows: DataFrame, place: Column, slices: int, build: Callable[[DataFrame], DataFrame], last: DataFrame | None = None) -> DataFrame:
+    """Land the rows slice by slice (``place`` is 0 and up), run the stream after each, and read what it wrote; ``last`` lands with the last.
 
     For checks and for filling a new table from a log: the same stream as live,
     with the state kept from run to run.
     """
     spark, folder = rows.sparkSession, scratch_folder(rows.sparkSession)
-    ends = rows.agg(F.min(F.unix_micros(at)).alias("least"), F.max(F.unix_micros(at)).alias("most")).first()
-    step = max(1, -(-((ends.most or 0) - (ends.least or 0) + 1) // slices))
-    place = F.floor((F.unix_micros(at) - F.lit(ends.least or 0)) / step)
     restore = with_rocksdb(spark)
     try:
         for i in range(slices):
