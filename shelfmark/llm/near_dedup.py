@@ -10,8 +10,9 @@ and every link is verified by the exact weighted Jaccard similarity.
 Copies are one vertex. Within a bucket not everybody is compared with
 everybody: all members meet one leader, the one whose buckets are the largest,
 as the original of many edited copies is. Members unlike their leader meet
-again under two bands at once, and another leader. Then two members of one
-leader in different classes are compared if they can be similar, given what
+again under two bands at once, and another leader. Members outside their
+leader's class then meet a few members of that class, one after the other, until
+one links them to it. Then two members of one leader in different classes are compared if they can be similar, given what
 each has in common with it: if they share a shingle that both have more of than
 it, or if what both share with it is enough for them. What is left are members
 too unlike the leader of a bucket to be tested against it. They meet the other
@@ -38,6 +39,8 @@ BANDS, ROWS = 10, 2
 SAMPLES = BANDS * ROWS
 AGREE = 8  # of 20 samples; a pair at 0.8 has fewer with a chance of 2e-5, less than that of missing all bands
 UNLIKE = 12
+LEADERS = 6
+FEW = 200_000  # vertices of 16 bytes
 SPACE_BITS = 18
 RANGES = 64
 SLICE = 512 << 10
@@ -204,6 +207,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) ->
 
     If ``marked``, also with the hashes of all shingles that one has more of than the other.
     """
+    pairs = stored(pairs.select("a", "b"))
+    ends = stored(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct())
+    if ends.count() <= FEW:  # few enough to be sent to the texts; more of them are worth a shuffle of all texts
+        texts = texts.join(F.broadcast(ends), "vertex", "left_semi")
     joined = pairs.join(texts.withColumnsRenamed({"vertex": "a", "__sm_text": "ta"}), "a")
     joined = joined.join(texts.withColumnsRenamed({"vertex": "b", "__sm_text": "tb"}), "b").select("a", "b", "ta", "tb")
 
@@ -324,6 +331,7 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     tested = stored(_verified(pairs.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf))
     links = tested.where(F.col("distance") <= reach).select("a", "b")
     classes = components(links)
+    classes, tested_more = _more_leaders(met, classes, tested.select("a", "b"), texts, idf, reach)
 
     # Members of one leader, by their class; those outside the leader's class look for others.
     both = tested.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), "common", F.col("wa").alias("weight"))
@@ -351,8 +359,8 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     rest = state.select("leader", "vertex", "class", "common", "weight").withColumnsRenamed(other).withColumn("step", step(F.col("other_weight")))
     least = F.least("common", "other_common")
     enough = wide.join(rest, ["leader", "step"]).where("class != other_class").where(least >= similarity * (F.col("weight") + F.col("other_weight") - least) - 1e-9)
-    more = stored(more.union(enough.select(*_ordered_pair("vertex", "other"))).distinct().join(tested, ["a", "b"], "left_anti"))
-    tested = tested.select("a", "b")
+    more = stored(more.union(enough.select(*_ordered_pair("vertex", "other"))).distinct().join(tested_more, ["a", "b"], "left_anti"))
+    tested = tested_more
     if not more.isEmpty():
         of = vertices.select("vertex", "samples")
         more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
@@ -364,6 +372,31 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     return _rest(met, classes, tested, texts, idf, reach)
 
 
+def _more_leaders(met: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs tested) after members outside their leader's class have met further members of that class, one a round.
+
+    In a group of edited copies most pairs are similar, so a member that is just too unlike the leader is linked to
+    the class by one of the next few; only what is left needs the search for whom it could be similar to. A round's
+    leader has the least hash, so buckets of one group mostly share it and a pair is tested once.
+    """
+    for turn in range(LEADERS):
+        heads = classes.withColumnsRenamed({"vertex": "leader", "class": "main"})
+        of = met.join(classes, "vertex", "left").join(heads, "leader", "left").withColumns({"class": F.coalesce("class", "vertex"), "main": F.coalesce("main", "leader")})
+        waiting = stored(of.where("class != main").select("bucket", "vertex", "samples"))
+        if waiting.isEmpty():
+            break
+        first = F.min(F.struct(F.xxhash64("vertex", F.lit(turn)).alias("h"), F.col("vertex").alias("head"), F.col("samples").alias("leads"))).alias("f")
+        crowded = waiting.select("bucket").distinct()
+        heads = stored(of.where("class = main").join(crowded, "bucket", "left_semi").groupBy("bucket").agg(first).select("bucket", "f.head", "f.leads"))
+        pairs = waiting.join(heads, "bucket").where(_agreeing("samples", "leads") >= AGREE).select(*_ordered_pair("vertex", "head")).distinct()
+        found = stored(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf))
+        tested = tested.union(found.select("a", "b"))
+        late = found.where(F.col("distance") <= reach).select("a", "b")
+        if not late.isEmpty():
+            classes = _merged(classes, late)
+    return classes, tested
+
+
 def _rest(met: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> DataFrame:
     """The classes after members too unlike their bucket's leader have met the other members of the bucket.
 
