@@ -67,10 +67,24 @@ def _cells(name: str, attributes: str) -> tuple[int, ...]:
     return tuple(sorted({zlib.crc32(f.encode()) % PATH_CELLS for f in found}))
 
 
+def _element_ends(html: str, name: str) -> dict[int, int]:
+    """Where each element of this name ends, by the place after its start tag; nested ones are counted, in one pass."""
+    found, open_ = {}, []
+    for tag in re.compile(rf"<(/?){name}(?![a-zA-Z0-9])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.I).finditer(html):
+        if not tag[1]:
+            if not (name == "svg" and tag[2].endswith("/")):
+                open_.append(tag.end())
+        elif open_:
+            found[open_.pop()] = tag.end()
+    return found
+
+
 def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order; text between block tags, references decoded, white space folded."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    # Open elements, each with the path cells of itself and all around it.
+    stack: list[tuple[str, frozenset[int]]] = []
+    ends: dict[str, dict[int, int]] = {}
     pieces: list[str] = []
     linked = links = 0
     known: dict[tuple[str, str], tuple[int, ...]] = {}
@@ -80,7 +94,7 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                path = tuple({c for _, cells in stack for c in cells}) or (0,)
+                path = tuple(sorted(stack[-1][1])) if stack else (0,)
                 found.append(Block(text, path, min(1.0, linked / len(text)), len(stack)))
             pieces.clear()
         linked = 0
@@ -101,12 +115,15 @@ def blocks(html: str) -> list[Block]:
             continue
         closing, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
         if name in SILENT:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I).search(html, at)
-                if end:
-                    at = end.end()
-                elif name in RAW:  # to the end of the page, as in a browser; of others, just the tag goes
-                    at = size
+            # Only foreign elements are closed by a slash; elsewhere HTML ignores it.
+            if not closing and not (name == "svg" and attributes.endswith("/")):
+                if name in RAW:  # to the first end tag, or the end of the page, as in a browser
+                    end = re.compile(rf"</{name}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I).search(html, at)
+                    at = end.end() if end else size
+                else:  # to its own end tag; without one just the tag goes
+                    if name not in ends:
+                        ends[name] = _element_ends(html, name)
+                    at = ends[name].get(at, at)
             if name != "svg":
                 pieces.append(" ")
             continue
@@ -137,7 +154,8 @@ def blocks(html: str) -> list[Block]:
         key = name, attributes
         if key not in known:
             known[key] = _cells(name, attributes)
-        stack.append((name, known[key]))
+        around = stack[-1][1] if stack else frozenset()
+        stack.append((name, around if around.issuperset(known[key]) else around.union(known[key])))
     close_block()
     return found
 

@@ -1,6 +1,7 @@
 """Blocks on hand-made markup; the network's slopes numerically; main texts on pages it has not seen."""
 
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -35,6 +36,29 @@ def test_unclosed_silent_element_keeps_the_page(name):
     assert [b.text for b in blocks("<p>x</p><script>var t = 1;<p>y</p>")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<p>a</p><script src="a.js"/>var x=1;</script><p>y</p>', ["a", "y"]), ("<iframe src=http://a.com/>no</iframe><p>y</p>", ["y"]),
+        ("<template><template>a</template>b</template><p>y</p>", ["y"]), ("<svg/><p>y</p>", ["y"]), ("<svg><svg/>t</svg><p>y</p>", ["y"]),
+        ("<button>a<button>b</button>c<p>y</p>", ["a c", "y"]), ("<object data='a>b'><object></object>x</object><p>y</p>", ["y"]),
+    ],
+)
+def test_silent_elements_nest_and_ignore_the_slash(html, want):
+    assert [b.text for b in blocks(html)] == want
+
+
+def test_time_grows_with_the_page():
+    def seconds(html):
+        start = time.perf_counter()
+        found = len(blocks(html))
+        return time.perf_counter() - start, found
+
+    for make in (lambda n: "<button>x" * n, lambda n: "<div class=a>x" * n, lambda n: "<template>" * n + "</template>" * (n // 2)):
+        small, large = seconds(make(2_000))[0], seconds(make(16_000))[0]
+        assert large < 40 * max(small, 0.005)
+
+
 def test_slopes_agree_with_differences():
     rng = np.random.default_rng(0)
     pages = [blocks(html) for html, _ in invented_pages(["one two three four five six seven"], 4, 1)]
