@@ -39,3 +39,17 @@ def test_report_files(spark, tmp_path):
     assert "| 1 | 1.0000 | 1.0000 | 1.0000 |" in text and "- MRR: 1.0000" in text
     assert spark.read.json(str(tmp_path / "report" / "aggregated")).count() == 8
     assert spark.read.json(str(tmp_path / "report" / "per_query")).count() == 1
+
+
+def test_queries_may_have_their_own_embedder(spark):
+    from shelfmark.plans.answering import sub_query_hits
+
+    questions = spark.createDataFrame([(1, "alpha and more beta"), (2, "gamma")], "question_id long, message string")
+    corpus = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0])], "chunk_id long, vector array<double>")
+
+    def embed(asked):
+        hot = F.when(F.col("sub_query").contains("alpha"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+        return asked.select("query_id", hot.alias("vector"))
+
+    hits = sub_query_hits(questions, corpus, k=1, threshold=0.5, embed=embed).collect()
+    assert {(r.question_id, r.sub_query, r.chunk_id) for r in hits} == {(1, "alpha and more beta", 10), (1, "alpha", 10), (1, "more beta", 11), (2, "gamma", 11)}

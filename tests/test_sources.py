@@ -308,3 +308,20 @@ def test_paged_source(spark, tmp_path):
     assert found.count() == 130 and found.select("page_id").distinct().count() == 130
     assert {r["space_key"] for r in found.collect()} == {"IT"}
     assert load("EMPTY").count() == 0
+
+
+def test_questions_are_numbered_in_blocks(spark):
+    q = lambda n: [{"question": f"q{i}", "rationale": "r"} for i in range(n)]
+    rows = [(place, f"c{place}", "p", "t", "s", q(place % 3) if place % 5 else None) for place in range(9000)]
+    shape = "place int, chunk_id string, page_id string, title string, space_key string, questions array<struct<question: string, rationale: string>>"
+    numbered = gd.number_queries(spark.createDataFrame(rows, shape).repartition(5))
+    got = sorted((int(r.query_id[2:]), int(r.source_chunk_id[1:]), r.query) for r in numbered.collect())
+    want = [(place, f"q{i}") for place, _, _, _, _, qs in rows for i in range(len(qs or []))]
+    assert [(p, t) for _, p, t in got] == want and [n for n, _, _ in got] == list(range(1, len(want) + 1))
+
+
+def test_broken_golden_lines_do_not_meet(spark):
+    lines = ["{", "[]", '{"queryId": "a", "query": "x", "relevantChunkIds": ["1"]}'] * 3
+    frame = spark.createDataFrame(list(enumerate(lines)), "line_number long, line string")
+    problems = [r.problem for r in gd.check_golden_lines(frame).orderBy("line_number").collect()]
+    assert problems == ["malformed JSON", "missing queryId", None, "malformed JSON", "missing queryId", "duplicate queryId", "malformed JSON", "missing queryId", "duplicate queryId"]

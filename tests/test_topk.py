@@ -131,3 +131,16 @@ def test_carried_columns_belong_to_their_hits(corpus, asked):
     for limits in (Limits(), few):
         hits = topk(corpus.repartition(5), asked, 6, carry=("scope",), limits=limits).collect()
         assert len(hits) == 40 * 6 and all(h["scope"] == f"S{h['chunk_id'] % 3}" for h in hits)
+
+
+def test_prefix_widths_in_one_pass(spark, corpus, asked):
+    """The same queries at two widths, against a search for each."""
+    probes = asked.select("query_id", F.explode(F.array(F.lit(3), F.lit(DIM))).alias("width"), "vector").select(
+        F.concat_ws("/", "width", "query_id").alias("query_id"), F.struct("vector", "width").alias("probe")
+    )
+    chunks = corpus.select("chunk_id", F.col("vector").alias("probe"))
+    found = topk(chunks, probes, 6, field="probe", threshold=0.1)
+    for width in (3, DIM):
+        cut = lambda df, key: df.select(key, F.slice("vector", 1, width).alias("vector"))
+        want = {(f"{width}/{r.query_id}", r.chunk_id, r.score, r["rank"]) for r in topk(cut(corpus, "chunk_id"), cut(asked, "query_id"), 6, threshold=0.1).collect()}
+        assert {tuple(r) for r in found.where(F.col("query_id").startswith(f"{width}/")).collect()} == want
