@@ -14,6 +14,7 @@ EXCLUDED_LABELS = ("ignore", "draft", "archived")
 # Image kinds that can be captioned.
 IMAGE_TYPES = ("image/jpeg", "image/png", "image/gif", "image/webp")
 MAX_ATTACHMENT_BYTES = 5_000_000
+# Names that stand for "nothing chosen".
 DEFAULT_PROFILE = "default"
 DEFAULT_ROLE = "default"
 DEFAULT_CHUNKER = "html_section"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -34,6 +35,7 @@ def access_request_rule(issue_type: Column, summary: Column, description: Column
                         reply_de: str = "Bitte Zielsystem, Rolle, Genehmigung und Zeitraum angeben.",
                         reply_en: str = "Please state the target system, role, approver and duration.") -> Rule:
     """Requests for access always need the same details first."""
+    # The words that make a request one for access.
     words = "zugriff|berechtigung|access|permission"
     applies = issue_type.rlike("(?i)service request") & summary.rlike(f"(?i){whole_word(words)}")
     german = is_probably_german(F.concat(F.coalesce(summary, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit(""))))
@@ -177,46 +179,58 @@ def claim_status(events: DataFrame, key: str = "ticket_key", kind: str = "event"
 
 # -- model input --------------------------------------------------------------
 
+# The texts around a model's input, by part.
+TICKET_LINES = ("key", "type", "status", "reporter", "summary")
+EMPTY = {"description": "(empty)", "reporter": "unknown", "comments": "(none)", "similar_resolved_tickets": "(none)", "retrieved_context": "(none retrieved)"}
+SPEAKERS = {"agent": "agent (you)", "other": "reporter/user"}
+BETWEEN = "\n---\n"
+COMMENT = "[{speaker} — {name}]\n{body}"
+CACHE_HIT = "[{key} — similarity {score}{strong}]\nQuestion: {question}\nResolution: {resolution}"
+STRONG = ", strong match"
 
-def ticket_block(key: Column, kind: Column, status: Column, reporter: Column, summary: Column, description: Column) -> Column:
-    return F.concat_ws(
-        "\n", F.lit("<ticket>"), F.concat(F.lit("key: "), key), F.concat(F.lit("type: "), kind),
-        F.concat(F.lit("status: "), status),
-        F.concat(F.lit("reporter: "), F.coalesce(reporter, F.lit("unknown"))),
-        F.concat(F.lit("summary: "), summary), F.lit("description:"),
-        F.when(F.length(description) > 0, description).otherwise(F.lit("(empty)")), F.lit("</ticket>"),
-    )
+
+def _filled(template: str, **values: Column) -> Column:
+    """The template with its ``{names}`` replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[part] if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])
 
 
-def _block(name: str, body: Column, empty: str) -> Column:
-    shown = F.when(F.length(body) > 0, body).otherwise(F.lit(empty))
+def _block(name: str, body: Column) -> Column:
+    shown = F.when(F.length(body) > 0, body).otherwise(F.lit(EMPTY[name]))
     return F.concat(F.lit(f"<{name}>\n"), shown, F.lit(f"\n</{name}>"))
 
 
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.coalesce(lines, F.array().cast("array<string>")), BETWEEN)
+
+
+def ticket_block(key: Column, kind: Column, status: Column, reporter: Column, summary: Column, description: Column) -> Column:
+    known = F.coalesce(reporter, F.lit(EMPTY["reporter"]))
+    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in zip(TICKET_LINES, (key, kind, status, known, summary), strict=True)]
+    text = F.when(F.length(description) > 0, description).otherwise(F.lit(EMPTY["description"]))
+    return F.concat_ws("\n", F.lit("<ticket>"), *lines, F.lit("description:"), text, F.lit("</ticket>"))
+
+
 def comment_line(author: Column, name: Column, body: Column, agent: str) -> Column:
-    role = F.when(author == agent, "agent (you)").otherwise("reporter/user")
-    return F.concat(F.lit("["), role, F.lit(" — "), name, F.lit("]\n"), body)
+    speaker = F.when(author == agent, SPEAKERS["agent"]).otherwise(SPEAKERS["other"])
+    return _filled(COMMENT, speaker=speaker, name=name, body=body)
 
 
 def comments_block(lines: Column) -> Column:
-    return _block("comments", F.array_join(F.coalesce(lines, F.array().cast("array<string>")), "\n---\n"), "(none)")
+    return _block("comments", _joined(lines))
 
 
 def cache_hit_line(key: Column, score: Column, strong: Column, question: Column, resolution: Column) -> Column:
-    mark = F.when(strong, F.lit(", strong match")).otherwise(F.lit(""))
-    return F.concat(
-        F.lit("["), key, F.lit(" — similarity "), fixed(score, 2), mark, F.lit("]\nQuestion: "),
-        question, F.lit("\nResolution: "), resolution,
-    )
+    mark = F.when(strong, F.lit(STRONG)).otherwise(F.lit(""))
+    return _filled(CACHE_HIT, key=key, score=fixed(score, 2), strong=mark, question=question, resolution=resolution)
 
 
 def cache_hits_block(lines: Column) -> Column:
-    body = F.array_join(F.coalesce(lines, F.array().cast("array<string>")), "\n---\n")
-    return _block("similar_resolved_tickets", body, "(none)")
+    return _block("similar_resolved_tickets", _joined(lines))
 
 
 def context_block(context: Column) -> Column:
-    return _block("retrieved_context", F.coalesce(context, F.lit("")), "(none retrieved)")
+    return _block("retrieved_context", F.coalesce(context, F.lit("")))
 
 
 def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, agent: str, cached: DataFrame | None = None) -> DataFrame:
@@ -238,12 +252,12 @@ def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, ag
         comment_line(F.col("author"), F.col("author_name"), F.col("body"), agent).alias("text"),
     )
     silent = keys.join(comments, "ticket_key", "left_anti").select(
-        "ticket_key", F.lit(1).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("(none)").alias("text")
+        "ticket_key", F.lit(1).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(EMPTY["comments"]).alias("text")
     )
     if cached is not None:
         line = cache_hit_line(F.col("hit_key"), F.col("score"), F.col("strong"), F.col("question"), F.col("resolution"))
         similar = cached.join(keys, "ticket_key", "left_semi").select("ticket_key", F.lit(2).alias("section"), F.col("rank").cast("long").alias("place"), line.alias("text"))
-        none = keys.join(cached, "ticket_key", "left_anti").select("ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("(none)").alias("text"))
+        none = keys.join(cached, "ticket_key", "left_anti").select("ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(EMPTY["comments"]).alias("text"))
         said = said.unionByName(similar).unionByName(none)
     found = keys.join(context.select("ticket_key", "context"), "ticket_key", "left").select(
         "ticket_key", F.lit(2 if cached is None else 3).alias("section"), F.lit(0).cast("long").alias("place"), context_block(F.col("context")).alias("text")

@@ -150,3 +150,18 @@ def test_usage_and_providers(spark):
     assert rc.finish_reasons(df).first()["finish_reasons"] == ["stop", "length"]
     models = spark.createDataFrame([("claude-1",), ("gpt-4",), ("o3",), ("gemini-x",), ("llama",), (None,)], "m string")
     assert [r[0] for r in models.select(rc.provider_of(F.col("m"))).collect()] == ["anthropic", "openai", "openai", "gemini", None, None]
+
+
+def test_blocks_of_a_models_input(spark):
+    df = spark.createDataFrame([("T-1", 0.925, True, "q?", "done"), ("T-2", 0.8, False, "r?", "no")], "k string, s double, strong boolean, q string, r string")
+    line = tr.cache_hit_line(F.col("k"), F.col("s"), F.col("strong"), F.col("q"), F.col("r"))
+    lines = [r[0] for r in df.orderBy("k").select(line).collect()]
+    assert lines[1] == "[T-2 — similarity 0.80]\nQuestion: r?\nResolution: no" and ", strong match]" in lines[0]
+    none = F.lit(None).cast("array<string>")
+    row = spark.range(1).select(
+        tr.cache_hits_block(F.array(F.lit("a"), F.lit("b"))).alias("hits"), tr.cache_hits_block(none).alias("no_hits"), tr.comments_block(none).alias("silent"),
+        tr.comment_line(F.lit("me"), F.lit("Bot"), F.lit("hi"), "me").alias("own"), tr.comment_line(F.lit("x"), F.lit("Ann"), F.lit("ho"), "me").alias("other"),
+    ).first()
+    assert row.hits == "<similar_resolved_tickets>\na\n---\nb\n</similar_resolved_tickets>"
+    assert row.no_hits == "<similar_resolved_tickets>\n(none)\n</similar_resolved_tickets>" and row.silent == "<comments>\n(none)\n</comments>"
+    assert row.own == "[agent (you) — Bot]\nhi" and row.other == "[reporter/user — Ann]\nho"
