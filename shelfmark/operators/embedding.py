@@ -49,7 +49,8 @@ def embed(
     return df.mapInPandas(run, schema)
 
 
-_WORD_CACHE = 1 << 20
+_WORD_CACHE = 1 << 17
+_SLICE_BYTES = 4 << 20
 
 
 def hash_bucket(word: str, width: int) -> int:
@@ -57,6 +58,18 @@ def hash_bucket(word: str, width: int) -> int:
     return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:4], 16) % width
 
 
+def slices_of(batch: pa.RecordBatch, text: str, most: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows with at most ``most`` bytes of text each, or of a single row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def hashed_words(
     df: DataFrame, text: str, *, width: int = 64, name: str = "vector", keep_text: bool = True
 ) -> DataFrame:
@@ -65,8 +78,9 @@ def hashed_words(
     Select the columns you need beforehand: what passes through Python cannot
     be pruned. ``keep_text=False`` leaves the text itself out of the result.
 
-    Each Arrow batch is lowered, cut and counted by vectorised calls; only the
-    distinct words of a batch are hashed one by one, and those once per task.
+    Arrow batches are lowered, cut and counted by vectorised calls, a few MiB of
+    text at a time, as the words take many times the room of their text; only the
+    distinct words of a slice are hashed one by one, and most of them once per task.
     """
     kept = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.FloatType()))])
@@ -74,26 +88,30 @@ def hashed_words(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
-            lists = pc.ascii_split_whitespace(pc.utf8_lower(column))
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-            encoded = lists.flatten().dictionary_encode()
-            if len(known) > _WORD_CACHE:
-                known.clear()
-            buckets = []
-            for word in encoded.dictionary.to_pylist():
-                bucket = known.get(word)
-                if bucket is None:
-                    bucket = known[word] = hash_bucket(word, width) if word else -1
-                buckets.append(bucket)
-            bucket = np.array(buckets, dtype=np.int64)[encoded.indices.to_numpy()]
-            row, bucket = row[bucket >= 0], bucket[bucket >= 0]
-            counts = np.bincount(row * width + bucket, minlength=batch.num_rows * width).astype(np.float32)
-            empty = np.bincount(row, minlength=batch.num_rows) == 0
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
-            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts), mask=pa.array(empty))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, vectors], names=[*kept, name])
+            for part in slices_of(batch, text):
+                yield counted(part, known)
+
+    def counted(batch: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
+        column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(column))
+        row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), pc.list_value_length(lists).to_numpy())
+        encoded = lists.flatten().dictionary_encode()
+        if len(known) > _WORD_CACHE:
+            known.clear()
+        buckets = []
+        for word in encoded.dictionary.to_pylist():
+            bucket = known.get(word)
+            if bucket is None:
+                bucket = known[word] = hash_bucket(word, width) if word else -1
+            buckets.append(bucket)
+        bucket = np.array(buckets, dtype=np.int64)[encoded.indices.to_numpy()]
+        row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+        counts = np.bincount(row * np.int64(width) + bucket, minlength=batch.num_rows * width).astype(np.float32)
+        empty = np.bincount(row, minlength=batch.num_rows) == 0
+        offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
+        vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts), mask=pa.array(empty))
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+        return pa.RecordBatch.from_arrays([*columns, vectors], names=[*kept, name])
 
     return spread(df).mapInArrow(run, schema)
 

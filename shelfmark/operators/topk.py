@@ -7,8 +7,10 @@ query; a window over those few rows gives the final ranks.
 The query side is held in memory by every task, so its size is checked first.
 Beyond the bound both sides are cut into blocks of similar vectors, and a query
 block meets a corpus block only if the angles between them allow a score that
-reaches its queries' k-th (see ``cells``). Both ways are exact and give the same
-rows.
+reaches its queries' k-th (see ``cells``); where that spares too little, and for
+queries with scopes, every block of queries meets every block of the corpus (of
+its scope), in blocks so large that each side is sent a few times only. All ways
+are exact and give the same rows.
 
 Scores are rounded to nine decimals before ranking, so ranks do not depend on
 the order in which a product was summed. Ties are broken by chunk id. Products
@@ -30,13 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfmark.operators.spread import SMALL_BYTES, input_bytes
+from shelfmark.operators.spread import SMALL_BYTES, input_bytes, stored
 
 SCORE_DECIMALS = 9
 MAX_QUERY_ROWS = 8192
 MAX_QUERY_BYTES = 128 << 20
 CORPUS_BLOCK_ROWS = 100_000
-_CELLS_PER_STEP = 4 << 20
+#: Blocks of a grid hold up to this many times the queries that are scored at once.
+GRID_TILES = 16
+#: Groups of a grid per core, so that uneven tasks do not keep one core busy at the end.
+GRID_GROUPS = 8
+SMALL_GROUPS = 100_000
+_CELLS_PER_STEP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -56,6 +63,8 @@ def _numpy(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     if isinstance(column, pa.Array):
         return column
+    if column.num_chunks == 1:
+        return column.chunk(0)
     merged = column.combine_chunks()
     return merged if isinstance(merged, pa.Array) else pa.concat_arrays(merged.chunks)
 
@@ -97,6 +106,13 @@ class Scored:
 Scorer = Callable[[pa.Table | pa.RecordBatch, int, int, np.ndarray], Scored]
 
 
+def _at_least(scores: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Flat places of the finite scores that reach their column's bound, compared in the scores' own precision."""
+    low = bound.astype(scores.dtype)
+    low = np.where(low > bound, np.nextafter(low, scores.dtype.type(-np.inf)), low)
+    return np.flatnonzero(scores >= np.maximum(low, np.finfo(scores.dtype).min))
+
+
 class BestRows:
     """The best k (score, id) per query seen so far."""
 
@@ -107,34 +123,48 @@ class BestRows:
         self.ids: np.ndarray | None = None
         self.extra: list[pa.Array] = []
         self.floor = np.full(queries, -np.inf)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]] = []
+        self.n_waiting = 0
 
     def offer(
         self, part: Scored, queries: np.ndarray, ids: pa.Array, extra: list[pa.Array], threshold: float | None
     ) -> None:
         """Take in the rows of one part that may still be among the best of ``queries``."""
         scores = part.rough
-        rows = scores.shape[0]
+        rows, width = scores.shape
         bound = self.floor[queries] - part.error
-        if rows > self.k:
-            kth = np.partition(scores, rows - self.k, axis=0)[rows - self.k]
-            bound = np.maximum(bound, kth - 2 * part.error)
         if threshold is not None:
             bound = np.maximum(bound, threshold - part.error)
-        row, query = np.nonzero((scores >= bound) & (scores > -np.inf))
+        near = _at_least(scores, bound)
+        if rows > self.k and len(near) > 2 * self.k * width:  # the part's own k-th score is a bound as well
+            kth = np.partition(scores, rows - self.k, axis=0)[rows - self.k]
+            near = _at_least(scores, np.maximum(bound, kth - 2 * part.error))
+        if len(near) == 0:
+            return
+        row, query = np.divmod(near, width)
         score = np.round(part.exact(row, query), SCORE_DECIMALS)
         query = queries[query]
+        reaching = score >= self.floor[query]
         if threshold is not None:
-            passing = score >= threshold
-            row, query, score = row[passing], query[passing], score[passing]
+            reaching &= score >= threshold
+        row, query, score = row[reaching], query[reaching], score[reaching]
         if len(row) == 0:
             return
-        found = _numpy(ids.take(pa.array(row)))
-        carried = [column.take(pa.array(row)) for column in extra]
+        places = pa.array(row)
+        self.waiting.append((query, score, _numpy(ids.take(places)), [column.take(places) for column in extra]))
+        self.n_waiting += len(row)
+        if 4 * self.n_waiting >= len(self.query):  # a few new rows can wait: the bounds are lower then, but hold
+            self.merge()
+
+    def merge(self) -> None:
+        """Put the waiting rows among the best, and raise the bounds."""
+        if not self.waiting:
+            return
         if self.ids is not None:
-            carried = [pa.concat_arrays(pair) for pair in zip(self.extra, carried)]
-            query = np.concatenate([self.query, query])
-            score = np.concatenate([self.score, score])
-            found = np.concatenate([self.ids, found])
+            self.waiting.insert(0, (self.query, self.score, self.ids, self.extra))
+        query, score, found = (np.concatenate(column) for column in list(zip(*self.waiting))[:3])
+        carried = [pa.concat_arrays(column) for column in zip(*[w[3] for w in self.waiting])]
+        self.waiting, self.n_waiting = [], 0
         order = np.lexsort((found, -score, query))
         query, score, found = query[order], score[order], found[order]
         starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
@@ -147,6 +177,7 @@ class BestRows:
         self.floor[query[starts[full]]] = score[starts[full] + self.k - 1]
 
     def table(self, query_ids: pa.Array, schema: pa.Schema) -> pa.Table:
+        self.merge()
         if self.ids is None:
             return schema.empty_table()
         columns = [query_ids.take(pa.array(self.query)), pa.array(self.ids), pa.array(self.score), *self.extra]
@@ -183,6 +214,7 @@ def dense_scorer(queries: pa.Table) -> Scorer:
     """Cosine similarity; zero vectors never count."""
     wanted = unit_rows(matrix_of(queries.column("vector")))
     rough_wanted = wanted.astype(np.float32)
+    aimless = np.isnan(rough_wanted).any(axis=1)
     width = wanted.shape[1]
     # Largest error of a single-precision product of two unit rows, with room.
     error = (width + 8) * 1.2e-7 + 10.0**-SCORE_DECIMALS
@@ -196,9 +228,14 @@ def dense_scorer(queries: pa.Table) -> Scorer:
         if odd.any():  # too long or too short for single precision
             single = unit_rows(raw).astype(np.float32)
             norms = np.ones((rows, 1), dtype=np.float32)
-        block = rough_wanted if len(queries) == len(rough_wanted) else rough_wanted[queries]
-        rough = (single / norms) @ block.T
-        rough[np.isnan(rough)] = -np.inf
+        everyone = len(queries) == len(rough_wanted)
+        units = single / norms
+        rough = units @ (rough_wanted if everyone else rough_wanted[queries]).T
+        without = np.isnan(units).any(axis=1)
+        if without.any():
+            rough[without] = -np.inf
+        if aimless.any():
+            rough[:, aimless if everyone else aimless[queries]] = -np.inf
 
         def exact(row: np.ndarray, query: np.ndarray) -> np.ndarray:
             out = np.empty(len(row))
@@ -290,6 +327,7 @@ class _BlockSearch:
 
     def feed(self, batch: pa.Table | pa.RecordBatch) -> None:
         for part, queries in self.scopes.parts(batch) if self.scopes else [(batch, self.everyone)]:
+            part = part.combine_chunks() if isinstance(part, pa.Table) else part
             ids = one_array(part.column("chunk_id"))
             extra = [one_array(part.column(name)) for name in self.carry]
             step = max(1, _CELLS_PER_STEP // max(1, len(queries)))
@@ -359,21 +397,28 @@ def score_topk(
         return corpus.mapInArrow(search, out)
 
     def meet(part: pa.Table, block: pa.Table) -> pa.Table:
-        if part.num_rows == 0 or block.num_rows == 0:
-            return arrow_out.empty_table()
-        search = _BlockSearch(block, field, k, threshold, skip_self, carry, scorer)
-        search.feed(part)
-        return search.best.table(search.ids, arrow_out)
+        """The block's queries are scored some at a time, so that their products stay small however large the block."""
+        found = [arrow_out.empty_table()]
+        for start in range(0, block.num_rows if part.num_rows else 0, limits.query_rows):
+            search = _BlockSearch(block.slice(start, limits.query_rows), field, k, threshold, skip_self, carry, scorer)
+            search.feed(part)
+            found.append(search.best.table(search.ids, arrow_out))
+        return pa.concat_tables(found)
 
     sample = asked.limit(16).toArrow()
     row_bytes = max(1, 2 * sample.nbytes // max(1, sample.num_rows))
     block_rows = max(1, min(limits.query_rows, limits.query_bytes // row_bytes))
     chunk_rows = max(1, min(limits.corpus_block_rows, limits.query_bytes // row_bytes))
-    if field == "vector":
-        from shelfmark.operators.cells import bounded_topk
+    if field != "vector":
+        return _grid_topk(corpus, asked, meet, out, block_rows, chunk_rows)
+    # Both sides are read several times from here on, and the caller may read the result more than once.
+    corpus, asked = stored(corpus), stored(asked)
+    grid_rows = max(1, min(GRID_TILES * limits.query_rows, limits.query_bytes // row_bytes))
+    if scoped:
+        return stored(_scoped_topk(corpus, asked, meet, out, carry, grid_rows))
+    from shelfmark.operators.cells import bounded_topk
 
-        return bounded_topk(corpus, asked, k, meet, out, block_rows=block_rows, chunk_rows=chunk_rows, threshold=threshold)
-    return _grid_topk(corpus, asked, meet, out, block_rows, chunk_rows)
+    return stored(bounded_topk(corpus, asked, k, meet, out, block_rows=block_rows, chunk_rows=chunk_rows, grid_rows=grid_rows, threshold=threshold))
 
 
 def held_queries(queries: DataFrame, limits: Limits = Limits()) -> pa.Table | None:
@@ -413,6 +458,54 @@ def _grid_topk(
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, out)
 
 
+def grid_rows_for(pairs: int, cores: int, most: int) -> int:
+    """Rows of a block: as large as the bound allows, but with enough pairs of blocks for all cores."""
+    return max(1, min(most, math.isqrt(max(1, pairs) // (GRID_GROUPS * cores))))
+
+
+def grid_of_groups(
+    corpus: DataFrame, asked: DataFrame, group: str, meet: Callable[[pa.Table, pa.Table], pa.Table], out: T.StructType, most: int,
+) -> DataFrame:
+    """Every query meets every chunk of its ``group``, in blocks of at most about ``most`` rows; groups of any size.
+
+    The blocks are as large as that, so each row is sent once for every block
+    of the other side, and no more.
+    """
+    spark = corpus.sparkSession
+    n = lambda df, name: df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+    sizes = stored(n(corpus, "__c").join(n(asked, "__q"), group))
+    many, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("__c") * F.col("__q")), F.lit(0))).first()
+    rows = grid_rows_for(total, spark.sparkContext.defaultParallelism, most)
+    blocks = lambda name: F.ceil(F.col(name) / rows).cast("int").alias(f"{name}b")
+    cut = sizes.select(group, blocks("__c"), blocks("__q"))
+    cut = F.broadcast(cut) if many <= SMALL_GROUPS else cut  # a join by so few groups would be uneven
+    groups = cut.agg(F.coalesce(F.sum(F.col("__cb") * F.col("__qb")), F.lit(0))).first()[0]
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias("cb" if own == "__cb" else "qb")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("cb" if other == "__cb" else "qb")
+        return df.join(cut, group).select(*df.columns, block, every)
+
+    keys = [group, "qb", "cb"]
+    parts = max(1, min(2 * groups, 8192))
+    left = dealt(corpus, "chunk_id", "__cb", "__qb").repartition(parts, *keys)
+    right = dealt(asked, "query_id", "__qb", "__cb").repartition(parts, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out)
+
+
+def _scoped_topk(
+    corpus: DataFrame, asked: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], out: T.StructType, carry: Sequence[str], most: int,
+) -> DataFrame:
+    """Queries meet the chunks of their scopes only; those without scopes meet all chunks."""
+    bare = [c for c in corpus.columns if c != "scope" or c in carry]
+    shared = asked.where(F.col("scopes").isNotNull()).withColumn("__scope", F.explode(F.array_distinct("scopes"))).drop("scopes")
+    scored = grid_of_groups(corpus.select(*bare, F.col("scope").alias("__scope")), shared, "__scope", meet, out, most)
+    free = asked.where(F.col("scopes").isNull()).drop("scopes").withColumn("__scope", F.lit(0))
+    if free.isEmpty():
+        return scored
+    return scored.unionByName(grid_of_groups(corpus.select(*bare, F.lit(0).alias("__scope")), free, "__scope", meet, out, most))
+
+
 def rank_hits(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Final ranks 1..k per query, best score first, ties by chunk id."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("chunk_id"))

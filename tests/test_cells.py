@@ -101,3 +101,16 @@ def test_copies_stay_below_the_number_of_query_blocks(spark, chunks, queries):
     joined = plan.queries.select("query_id", "qb").join(topk(chunks, queries, 4).drop("rank"), "query_id")
     copies = plan.copies(plan.first_pairs()) + plan.copies(plan.later_pairs(joined))
     assert first.count() == 0 and copies < plan.blocks / 2
+
+
+def test_vectors_without_groups_meet_in_a_plain_grid(spark, monkeypatch):
+    """Where the angles spare next to nothing, small cells would send every query to every cell."""
+    random_ = np.random.default_rng(5)
+    plain = frame(spark, random_.normal(size=(900, WIDTH)), "chunk_id")
+    asked = frame(spark, random_.normal(size=(90, WIDTH)), "query_id")
+    plan = cl.BlockPairs(plain, asked, 4, block_rows=16, chunk_rows=100, threshold=None)
+    assert plan.cost(np.isfinite(plan.bounds)) > plan.grid_cost(256)
+    grids, run = [], cl.grid_of_groups
+    monkeypatch.setattr(cl, "grid_of_groups", lambda *a: grids.append(a) or run(*a))
+    few = Limits(query_rows=16, corpus_block_rows=100)
+    assert rows_of(topk(plain, asked, 4, limits=few)) == rows_of(topk(plain, asked, 4)) and len(grids) == 1

@@ -1,4 +1,5 @@
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shelfmark.functions import html as markup
@@ -180,3 +181,14 @@ def test_rich_text(spark):
     assert one(spark, tree, rich_text) == "a\nb\n\nc"
     assert one(spark, '"  plain "', rich_text) == "plain"
     assert one(spark, None, rich_text) == ""
+
+
+def test_hashed_words_take_texts_a_few_bytes_at_a_time():
+    from shelfmark.operators.embedding import slices_of
+
+    texts = ["a b", None, "", "x" * 50, "ää ö", "b"] * 20
+    batch = pa.RecordBatch.from_pydict({"i": range(len(texts)), "t": texts})
+    parts = list(slices_of(batch, "t", 16))
+    assert [i for part in parts for i in part.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(len((t or "").encode()) for t in part.column(1).to_pylist()) <= 16 or part.num_rows == 1 for part in parts)
+    assert len(list(slices_of(batch, "t"))) == 1 and list(slices_of(batch.slice(0, 0), "t")) == []

@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import retrieval as rt
-from shelfmark.operators.topk import Limits, score_topk, topk
+from shelfmark.operators.topk import Limits, grid_of_groups, grid_rows_for, score_topk, topk
 
 DIM = 8
 
@@ -144,3 +145,37 @@ def test_prefix_widths_in_one_pass(spark, corpus, asked):
         cut = lambda df, key: df.select(key, F.slice("vector", 1, width).alias("vector"))
         want = {(f"{width}/{r.query_id}", r.chunk_id, r.score, r["rank"]) for r in topk(cut(corpus, "chunk_id"), cut(asked, "query_id"), 6, threshold=0.1).collect()}
         assert {tuple(r) for r in found.where(F.col("query_id").startswith(f"{width}/")).collect()} == want
+
+
+def test_a_grid_brings_together_the_pairs_of_a_group_and_no_others(spark):
+    from pyspark.sql import types as T
+
+    chunks = spark.range(300).select(F.col("id").alias("chunk_id"), (F.col("id") % 3).alias("g"))
+    asked = spark.range(50).select(F.col("id").alias("query_id"), (F.col("id") % 4).alias("g"))
+    out = T.StructType.fromDDL("chunk_id long, query_id long")
+
+    def meet(part, block):
+        import pyarrow as pa
+
+        assert part.num_rows <= 40 and block.num_rows <= 40
+        pairs = [(c, q) for c in part.column("chunk_id").to_pylist() for q in block.column("query_id").to_pylist()]
+        return pa.table({"chunk_id": [c for c, _ in pairs], "query_id": [q for _, q in pairs]}, schema=pa.schema({"chunk_id": pa.int64(), "query_id": pa.int64()}))
+
+    found = grid_of_groups(chunks, asked, "g", meet, out, 20)
+    assert sorted(map(tuple, found.collect())) == sorted((c, q) for c in range(300) for q in range(50) if c % 3 == q % 4)
+    assert grid_rows_for(10**12, 10, 1000) == 1000 and grid_rows_for(10**6, 10, 1000) == 111
+
+
+def test_copies_of_the_best_row_in_any_order(spark):
+    """Rows wait before they are put among the best; the least ids win among equals however late they come."""
+    from shelfmark.operators.topk import BestRows, Scored
+
+    ids = np.random.default_rng(2).permutation(500)
+    scores = np.round(np.random.default_rng(3).random((500, 6)), 1)
+    best = BestRows(6, 3)
+    for start in range(0, 500, 20):
+        part = scores[start : start + 20]
+        best.offer(Scored(part.copy(), 1e-9, lambda r, q, p=part: p[r, q]), np.arange(6), pa.array(ids[start : start + 20]), [], 0.2)
+    table = best.table(pa.array(range(6)), pa.schema({"query_id": pa.int64(), "chunk_id": pa.int64(), "score": pa.float64()}))
+    want = {(q, int(i), float(s)) for q in range(6) for s, i in sorted(zip(-scores[:, q], ids))[:3] for s in [-s]}
+    assert {tuple(r.values()) for r in table.to_pylist()} == want
