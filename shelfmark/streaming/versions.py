@@ -4,29 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from shelfmark.operators.versions import FACTS
 
 
 class _Newest(StatefulProcessor):
-    """Per kind and id, the time and mark of the newest fact; a newer one passes and takes its place."""
+    """Per kind and id, the time and mark of the newest fact; a newer one passes and takes its place.
+
+    Most keys have few rows, so rows are handled as they are, without a frame
+    for each key, and the state is asked once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "at long, mark long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:  # one row is kept, so a crowded key needs no memory
-            top = part.sort_values(["at", "mark"]).tail(1)
-            here = (int(top["at"].iloc[0]), int(top["mark"].iloc[0]))
-            if best is None or here > best[0]:
-                best = here, top
-        if best is not None and (not self.held.exists() or best[0] > tuple(self.held.get())):
-            self.held.update(best[0])
-            yield best[1]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        top = max(rows, key=lambda r: (r.at, r.mark), default=None)  # one row is kept, so a crowded key needs no memory
+        if top is None:
+            return
+        held = self.held.get()
+        if held is None or (top.at, top.mark) > tuple(held):
+            self.held.update((top.at, top.mark))
+            yield top
 
     def close(self) -> None:
         pass
@@ -38,4 +39,4 @@ def newest_stream(facts: DataFrame) -> DataFrame:
     Appended to a log they give the same ``live_pages`` as all facts do, in any
     order and after any retry. ``facts`` comes from ``operators.versions.facts``.
     """
-    return facts.groupBy("kind", "id").transformWithStateInPandas(_Newest(), FACTS, "Append", "None")
+    return facts.groupBy("kind", "id").transformWithState(_Newest(), FACTS, "Append", "None")

@@ -81,3 +81,28 @@ def test_what_is_no_fact(spark):
     log = facts(spark.createDataFrame(rows, SHAPE))
     assert [tuple(r)[:3] for r in live_pages(log).collect()] == [("z", None, 5)]
     assert live_pages(log.limit(0)).count() == 0
+
+
+def test_the_state_is_asked_once_and_rows_need_no_frame():
+    from pyspark.sql import Row
+
+    from shelfmark.streaming.versions import _Newest
+
+    class Held:
+        value, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    newest_ = _Newest()
+    newest_.held = held = Held()
+    some = lambda *pairs: iter([Row(kind="version", id="a", at=at, mark=mark) for at, mark in pairs])
+    assert [(r.at, r.mark) for r in newest_.handleInputRows(("version", "a"), some((1, 9), (2, 3), (2, 1)), None)] == [(2, 3)]
+    assert list(newest_.handleInputRows(("version", "a"), some((2, 3), (1, 10)), None)) == []
+    assert [(r.at, r.mark) for r in newest_.handleInputRows(("version", "a"), some((2, 4)), None)] == [(2, 4)]
+    assert held.calls == ["get", "update", "get", "get", "update"]
