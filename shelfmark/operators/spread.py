@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from shelfmark.session import ensure_checkpoint_dir
 
 SMALL_BYTES = 1 << 30
+#: Stored bytes of input whose rows one task of a join of narrow rows gets; they take many times that in memory.
+JOIN_BYTES, MOST_PARTS = 2 << 20, 8192
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -31,6 +33,16 @@ def spread(df: DataFrame, most_bytes: int = SMALL_BYTES) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def join_parts(*frames: DataFrame) -> int:
+    """Partitions for a join of narrow rows, by the size of what the largest frame reads; runs nothing.
+
+    Narrow rows are packed so well in a shuffle that partitions joined by their
+    shuffled size get millions of rows, which one task would sort.
+    """
+    least = frames[0].sparkSession.sparkContext.defaultParallelism
+    return max(least, min(MOST_PARTS, max(map(input_bytes, frames)) // JOIN_BYTES))
+
+
 def explode_once(df: DataFrame, keep: Sequence[str], items: Column, place: str, value: str) -> DataFrame:
     """Rows (keep..., place, value) of an array that is costly to compute.
 

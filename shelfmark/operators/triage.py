@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fixed, is_probably_german, whole_word
+from shelfmark.operators.spread import join_parts
 
 # Limits of the decision rules.
 CONFIDENCE_FLOOR = 0.4
@@ -256,8 +257,11 @@ def prompt_parts(tickets: DataFrame, comments: DataFrame, context: DataFrame, ag
     )
     if cached is not None:
         line = cache_hit_line(F.col("hit_key"), F.col("score"), F.col("strong"), F.col("question"), F.col("resolution"))
-        similar = cached.join(keys, "ticket_key", "left_semi").select("ticket_key", F.lit(2).alias("section"), F.col("rank").cast("long").alias("place"), line.alias("text"))
-        none = keys.join(cached, "ticket_key", "left_anti").select("ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(EMPTY["comments"]).alias("text"))
+        # A ticket has a few hits, so no key is hot; the number of tasks follows the input.
+        parts = join_parts(keys, cached)
+        own, hits = keys.repartition(parts, "ticket_key"), cached.repartition(parts, "ticket_key")
+        similar = hits.join(own, "ticket_key", "left_semi").select("ticket_key", F.lit(2).alias("section"), F.col("rank").cast("long").alias("place"), line.alias("text"))
+        none = own.join(hits.select("ticket_key"), "ticket_key", "left_anti").select("ticket_key", F.lit(2).alias("section"), F.lit(0).cast("long").alias("place"), F.lit(EMPTY["comments"]).alias("text"))
         said = said.unionByName(similar).unionByName(none)
     found = keys.join(context.select("ticket_key", "context"), "ticket_key", "left").select(
         "ticket_key", F.lit(2 if cached is None else 3).alias("section"), F.lit(0).cast("long").alias("place"), context_block(F.col("context")).alias("text")

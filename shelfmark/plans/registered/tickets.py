@@ -34,8 +34,8 @@ def chosen(column: str, values: dict[str, Column | str | None]) -> Column:
 
 
 def raw_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as the JSON a ticket system would land."""
-    joined = table(spark, folder, "orders").join(
+    """Orders as the JSON a ticket system would land; they are dealt out before, as dealing sorts what it deals."""
+    joined = spread(table(spark, folder, "orders")).join(
         table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
@@ -78,7 +78,7 @@ def raw_tickets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tickets(spark: SparkSession, folder: str) -> DataFrame:
-    normal = src.normalize_tickets(src.parse_tickets(spread(raw_tickets(spark, folder)), "json"))
+    normal = src.normalize_tickets(src.parse_tickets(raw_tickets(spark, folder), "json"))
     return normal.withColumn("project_key", F.split_part("ticket_key", F.lit("-"), F.lit(1)))
 
 
