@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer as Library
 
+from shelfmark.llm import bpe
 from shelfmark.llm.bpe import Tokenizer, decode, default_path, encode, token_digests
 from shelfmark.llm.common import table
 
@@ -60,3 +61,13 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert got == [(0, (64, 275), "a b"), (1, (), ""), (1, (), ""), (2, (64, 275), "a b"), (2, (64, 275), "a b")]
     assert decode(encode(frame.where("false"))).count() == 0
     assert decode(spark.createDataFrame([(None,)], "ids array<int>")).first().decoded == ""
+
+
+def test_words_of_the_older_generation_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    tokenizer = bpe.Tokenizer(bpe.default_path()).prepare()
+    asked, plain = [], tokenizer.word_ids
+    tokenizer.word_ids = lambda word: asked.append(word) or plain(word)
+    first = [tokenizer.encode(t) for t in ("one two three four", "one five", "six one")]
+    assert asked.count("one") == 1 and asked.count(" one") == 1 and len(tokenizer.cache) <= 3 + 2
+    assert first == [b"".join(map(plain, words)) for words in (["one", " two", " three", " four"], ["one", " five"], ["six", " one"])]
