@@ -185,15 +185,15 @@ class BestRows:
 
 
 class _Scopes:
-    """Which queries may see which scope; a query without scopes sees all."""
+    """Which queries may see which scope; a query without scopes sees all, a null among them opens nothing."""
 
     def __init__(self, queries: pa.Table) -> None:
         allowed = queries.column("scopes").to_pylist()
-        self.names = pa.array(sorted({s for a in allowed if a is not None for s in a}), pa.string())
+        self.names = pa.array(sorted({s for a in allowed if a is not None for s in a if s is not None}), pa.string())
         code = {name: place for place, name in enumerate(self.names.to_pylist())}
         asking: list[list[int]] = [[] for _ in range(len(code) + 1)]
         for query, scopes in enumerate(allowed):
-            for place in range(len(asking)) if scopes is None else {code[s] for s in scopes}:
+            for place in range(len(asking)) if scopes is None else {code[s] for s in scopes if s is not None}:
                 asking[place].append(query)
         self.asking = [np.array(queries_here, dtype=np.int64) for queries_here in asking]
 

@@ -179,3 +179,11 @@ def test_copies_of_the_best_row_in_any_order(spark):
     table = best.table(pa.array(range(6)), pa.schema({"query_id": pa.int64(), "chunk_id": pa.int64(), "score": pa.float64()}))
     want = {(q, int(i), float(s)) for q in range(6) for s, i in sorted(zip(-scores[:, q], ids))[:3] for s in [-s]}
     assert {tuple(r.values()) for r in table.to_pylist()} == want
+
+
+def test_a_null_among_the_scopes_opens_nothing(corpus, asked, vectors):
+    some = corpus.withColumn("scope", F.when(F.col("chunk_id") % 3 != 2, F.col("scope")))
+    scoped = asked.withColumn("scopes", F.array(F.lit("S0"), F.lit(None).cast("string")))
+    want = brute(vectors, 4, allowed=lambda q: {0})
+    assert found(topk(some, scoped, 4)) == want
+    assert found(topk(some, scoped, 4, limits=Limits(query_rows=6, corpus_block_rows=90))) == want
