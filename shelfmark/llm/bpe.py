@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import buffers, slices, table
+from shelfmark.llm.common import buffers, slices, small_batches, table
 from shelfmark.llm.registry import query
 
 # Fixed value: the word pattern of byte-level BPE, with white space spelled out.
@@ -39,6 +39,19 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Bytes:
+    """The bytes of every id, one after the other, and where each starts: all that decoding needs."""
+
+    def __init__(self, blob: np.ndarray, offsets: np.ndarray):
+        self.blob, self.offsets = blob, offsets
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        starts = self.offsets[ids]
+        sizes = self.offsets[ids + 1] - starts
+        shift = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return self.blob[shift + np.arange(len(shift))].tobytes()
+
+
 class Tokenizer:
     """Tables of one byte-level BPE file; small and of fixed size, so they travel with the tasks."""
 
@@ -76,8 +89,7 @@ class Tokenizer:
             texts[number] = raw[token]
         for content, number in self.special.items():
             texts[number] = content.encode()
-        self.blob = np.frombuffer(b"".join(texts), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        self.bytes_of = Bytes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
         self.ready = False
 
     def prepare(self) -> Tokenizer:
@@ -182,10 +194,7 @@ class Tokenizer:
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        starts = self.offsets[ids]
-        sizes = self.offsets[ids + 1] - starts
-        shift = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-        return self.blob[shift + np.arange(len(shift))].tobytes()
+        return self.bytes_of.decode(ids)
 
 
 def default_path() -> str:
@@ -219,6 +228,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
     size of the vocabulary and are broadcast.
     """
     shared = _shared(docs.sparkSession, path)
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text_col, ids_col)]
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("__sm_text"))
     schema = source.drop("__sm_text").withColumn(ids_col, F.array().cast("array<int>")).schema
@@ -240,13 +250,15 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
 
 def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
     """All columns, and ``decoded``: the text of the ids. Null ids give an empty text; broken UTF-8 is replaced."""
-    shared = _shared(tokens.sparkSession, path)
+    spark = tokens.sparkSession
+    shared = spark.sparkContext.broadcast(Tokenizer(path or default_path()).bytes_of)
+    small_batches(spark)
     rest = [c for c in tokens.columns if c != text_col]
     source = tokens.select(*[F.col(f"`{c}`") for c in rest if c != ids_col], ids_col)
     schema, names = source.withColumn(text_col, F.lit("")).schema, [*source.columns, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer: Tokenizer = shared.value[1]  # only its offset table is needed
+        table_of_bytes: Bytes = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -254,7 +266,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None, tex
                 texts = []
                 for row in range(len(lists)):
                     ids = lists[row].values if lists[row].is_valid else None
-                    found = b"" if ids is None else tokenizer.decode(ids.to_numpy(zero_copy_only=False).astype(np.int64))
+                    found = b"" if ids is None else table_of_bytes.decode(ids.to_numpy(zero_copy_only=False).astype(np.int64))
                     texts.append(found.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 

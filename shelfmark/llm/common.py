@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfmark.session import ensure_checkpoint_dir
 
 KEY = ["__sm_id", "__sm_h"]
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -80,6 +81,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most about ``most`` bytes from here on, unless the session has a lower bound already.
+
+    The session's bound is 64 MiB by default, which a task holds several times over: as it fills, as it is sent, and in
+    Python. Rows, their order and their values stay the same.
+    """
+    found = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF))
+    if found <= 0 or found > most:
+        spark.conf.set(BATCH_CONF, str(most))
+
+
 def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each; a longer row is a range of its own."""
     start, rows = 0, len(offsets) - 1

@@ -4,12 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer as Library
 
 from shelfmark.llm import bpe
 from shelfmark.llm.bpe import Tokenizer, decode, default_path, encode, token_digests
-from shelfmark.llm.common import table
+from shelfmark.llm.common import BATCH_BYTES, BATCH_CONF, table
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,24 @@ def test_words_of_the_older_generation_are_not_encoded_again(monkeypatch):
     first = [tokenizer.encode(t) for t in ("one two three four", "one five", "six one")]
     assert asked.count("one") == 1 and asked.count(" one") == 1 and len(tokenizer.cache) <= 3 + 2
     assert first == [b"".join(map(plain, words)) for words in (["one", " two", " three", " four"], ["one", " five"], ["six", " one"])]
+
+
+def test_batches_of_long_texts_are_bounded_and_the_decoder_needs_only_bytes(spark):
+    """24 MB of text in one partition come as batches of a few MiB, and give the same digests as one by one."""
+    before = spark.conf.get(BATCH_CONF)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' '), 1300) AS text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        got = token_digests(docs)
+        largest = docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+        assert largest <= 2 * BATCH_BYTES
+        rows = got.groupBy("n_tokens", "ids_sha256", "decoded_sha256").count().collect()
+        texts = {hashlib.sha256((f"word{i} " * 1300).encode()).hexdigest() for i in range(7)}
+        assert {r.decoded_sha256 for r in rows} == texts and sum(r["count"] for r in rows) == 3000
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+    assert not hasattr(Tokenizer(default_path()).bytes_of, "pairs")
