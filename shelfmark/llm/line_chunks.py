@@ -16,6 +16,7 @@ from shelfmark.llm.common import KEY, keyed, row_key, stored, table
 from shelfmark.llm.registry import query
 
 DIVISOR = 4
+FEW = 200_000  # marks of 8 bytes
 
 
 def _chunks(lines: Column, divisor: int) -> Column:
@@ -63,12 +64,13 @@ def line_dedup(
     cut = _chunks(F.split("__sm_text", "\n"), divisor)
     joined_chunks = F.transform(cut, lambda c: F.struct(F.size(c).alias("n"), F.array_join(c, "\n").alias("t")))
     multi = (F.col("c.n") > 1) & (F.length(F.trim(F.translate("c.t", "\n\r\t", ""))) > 0)
-    exploded = base.select(*KEY, F.posexplode(joined_chunks).alias("i", "c")).where(multi)
-    marks = exploded.select(*KEY, "i", F.xxhash64("c.t").alias("mark"))
-    again = stored(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
-    places = marks.join(again, "mark", "left_semi").groupBy(*KEY).agg(F.collect_set("i").alias("at"))
-    found = base.join(places, KEY).select(*KEY, "at", F.posexplode(joined_chunks).alias("i", "c"))
-    found = stored(found.where(F.array_contains("at", F.col("i"))).select(*KEY, "i", F.col("c.t").alias("t")))
+    # The outer form keeps Spark from filtering on the size of the array, which would compute it twice; no array is empty.
+    chunks = base.select(*KEY, F.posexplode_outer(joined_chunks).alias("i", "c")).where(multi)
+    chunks = chunks.select(*KEY, "i", F.col("c.t").alias("t"), F.xxhash64("c.t").alias("mark"))
+    again = stored(chunks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    if again.count() <= FEW:  # few enough to be sent to the chunks; more of them are worth a shuffle of these
+        again = F.broadcast(again)
+    found = stored(chunks.join(again, "mark", "left_semi").select(*KEY, "i", "t"))
     first = F.min(F.struct(F.col(KEY[0]), F.col(KEY[1]), F.col("i"))).alias("first")
     # Stored tables leave both sides of these joins plain exchanges, which Spark splits where one chunk is in very many texts.
     repeated = stored(found.groupBy("t").agg(F.count("*").alias("n"), first).where("n > 1").select("t", "first"))

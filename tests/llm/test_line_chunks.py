@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from shelfmark.llm import line_chunks
 from shelfmark.llm.common import KEY, row_key
 from shelfmark.llm.line_chunks import deduped_documents, line_dedup
 
@@ -63,3 +64,25 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert got[None, text].n_removed_chunks == 0 and got[3, text].n_removed_lines > 20 and got[5, "x\n" + text].n_removed_lines > 20
     assert got[4, None].n_lines == 1 and got[4, None]["__sm_kept"] == ""
     assert line_dedup(frame.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_repeated_chunks_are_found_without_a_shuffle_of_whole_texts(spark, monkeypatch, few):
+    rows = [(i, "\n".join([f"own {i}", *[f"row {k}" for k in range(40)]])) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real, plans = line_chunks.stored, []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(line_chunks, "stored", kept)
+    monkeypatch.setattr(line_chunks, "FEW", few)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["__sm_id"]: r["__sm_kept"] for r in line_dedup(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(rows)
+    assert not any("hashpartitioning(__sm_id" in plan and "__sm_text" in plan for plan in plans)
