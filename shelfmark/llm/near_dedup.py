@@ -12,12 +12,9 @@ everybody: all members meet one leader, the one whose buckets are the largest,
 as the original of many edited copies is. Members unlike their leader meet
 again under two bands at once, and another leader. Members outside their
 leader's class then meet a few members of that class, one after the other, until
-one links them to it. Then two members of one leader in different classes are compared if they can be similar, given what
-each has in common with it: if they share a shingle that both have more of than
-it, or if what both share with it is enough for them. What is left are members
-too unlike the leader of a bucket to be tested against it. They meet the other
-members of the bucket in rounds, four times as many leaders in each, until
-everybody has led; classes are merged between rounds.
+one links them to it. What is left is settled for all members of buckets with
+several classes, however unlike their leader: each is compared with it, and two
+are compared if what both have more or less of than it can make them similar.
 """
 
 from __future__ import annotations
@@ -26,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import KEY, buffers, keyed, parts, row_key, slices, stored, table
@@ -39,7 +36,7 @@ BANDS, ROWS = 10, 2
 SAMPLES = BANDS * ROWS
 AGREE = 8  # of 20 samples; a pair at 0.8 has fewer with a chance of 2e-5, less than that of missing all bands
 UNLIKE = 12
-LEADERS = 6
+LEADERS = 2
 FEW = 200_000  # vertices of 16 bytes
 SPACE_BITS = 18
 RANGES = 64
@@ -199,13 +196,13 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 MEASURED = "a binary, b binary, distance double, common double, wa double, wb double"
-MARKED = MEASURED + ", only_a array<long>, only_b array<long>"
+MARKED = MEASURED + ", only_a array<long>, only_b array<long>, more_a array<double>, more_b array<double>"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) -> DataFrame:
     """The pairs with the exact weighted Jaccard distance of their texts, common weight and weights.
 
-    If ``marked``, also with the hashes of all shingles that one has more of than the other.
+    If ``marked``, also with the hashes of all shingles that one has more of than the other, and the weight of how much more.
     """
     pairs = stored(pairs.select("a", "b"))
     ends = stored(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct())
@@ -219,13 +216,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) ->
         return found, weight.astype(np.float64), np.searchsorted(row, np.arange(len(column) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = pa.list_(pa.int64())
+        shapes = [pa.list_(pa.int64())] * 2 + [pa.list_(pa.float64())] * 2
         for batch in batches:
             sizes = buffers(batch.column(2))[1] + buffers(batch.column(3))[1]
             for start, stop in slices(sizes, 4 * SLICE):
                 part = batch.slice(start, stop - start)
                 (fa, wa, ca), (fb, wb, cb) = sets(part.column(2)), sets(part.column(3))
-                found, more = np.zeros((4, part.num_rows)), ([], [])
+                found, more = np.zeros((4, part.num_rows)), ([], [], [], [])
                 for i in range(part.num_rows):
                     x, y = fa[ca[i] : ca[i + 1]], fb[cb[i] : cb[i + 1]]
                     _, at, of = np.intersect1d(x, y, assume_unique=True, return_indices=True)
@@ -233,12 +230,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) ->
                     first, second = wa[ca[i] : ca[i + 1]].sum(), wb[cb[i] : cb[i + 1]].sum()
                     found[:, i] = 1 - common / (first + second - common), common, first, second
                     if marked:
-                        p, q = wa[ca[i] + at], wb[cb[i] + of]
-                        more[0].append(np.delete(x, at[p <= q]).view(np.int64))
-                        more[1].append(np.delete(y, of[q <= p]).view(np.int64))
+                        p, q = wa[ca[i] : ca[i + 1]].copy(), wb[cb[i] : cb[i + 1]].copy()
+                        p[at], q[of] = p[at] - q[of], q[of] - p[at]
+                        for k, (names, rest) in enumerate(((x, p), (y, q))):
+                            more[k].append(names[rest > 0].view(np.int64))
+                            more[k + 2].append(rest[rest > 0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, marks) for m in more if marked]],
-                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b"][: 8 if marked else 6],
+                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, shape) for m, shape in zip(more, shapes, strict=True) if marked]],
+                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b", "more_a", "more_b"][: 10 if marked else 6],
                 )
 
     return joined.mapInArrow(run, MARKED if marked else MEASURED)
@@ -331,45 +330,59 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     tested = stored(_verified(pairs.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf))
     links = tested.where(F.col("distance") <= reach).select("a", "b")
     classes = components(links)
-    classes, tested_more = _more_leaders(met, classes, tested.select("a", "b"), texts, idf, reach)
-
-    # Members of one leader, by their class; those outside the leader's class look for others.
-    both = tested.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), "common", F.col("wa").alias("weight"))
-    both = both.union(tested.select("b", "a", "common", "wb")).join(pairs, ["vertex", "leader"], "left_semi")
-    state = both.join(classes, "vertex", "left").join(classes.withColumnsRenamed({"vertex": "leader", "class": "main"}), "leader", "left")
-    state = state.withColumns({"class": F.coalesce("class", "vertex"), "main": F.coalesce("main", "leader")})
-    waiting = stored(state.where("class != main").select("leader").distinct())
-    state = stored(state.join(waiting, "leader", "left_semi").withColumn("waits", F.col("class") != F.col("main")))
-
-    # What a member has more of than its leader, of all members of leaders for whom somebody waits.
-    measured = stored(_verified(state.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf, marked=True).select("a", "b", "only_a", "only_b"))
-    marks = measured.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), F.col("only_a").alias("marks")).union(measured.select("b", "a", "only_b"))
-    marked = state.join(marks, ["vertex", "leader"]).select("leader", "vertex", "class", "waits", F.explode("marks").alias("mark"))
-    shared = marked.groupBy("leader", "mark").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("waits").alias("w")).where("lo != hi AND w")
-    marked = stored(marked.join(stored(shared.select("leader", "mark")), ["leader", "mark"], "left_semi"))
-    other = {"vertex": "other", "class": "other_class", "common": "other_common", "weight": "other_weight"}
-    hits = marked.where("waits").join(marked.drop("waits").withColumnsRenamed(other), ["leader", "mark"]).where("class != other_class")
-    more = hits.select(*_ordered_pair("vertex", "other")).distinct()
-
-    # What both share with the leader may be enough: only for weights in a narrow range, dealt by steps of a tenth.
-    step = lambda w: F.floor(F.log(w) * 10).cast("int")
-    most = F.least(F.col("weight") / similarity, F.col("common") * (1 + similarity) / similarity - F.col("weight"))
-    wide = state.where("waits").select("leader", "vertex", "class", "common", "weight", most.alias("most")).where(F.col("most") >= F.col("weight") * similarity)
-    wide = wide.withColumn("step", F.explode(F.sequence(step(F.col("weight") * similarity), step(F.col("most")))))
-    rest = state.select("leader", "vertex", "class", "common", "weight").withColumnsRenamed(other).withColumn("step", step(F.col("other_weight")))
-    least = F.least("common", "other_common")
-    enough = wide.join(rest, ["leader", "step"]).where("class != other_class").where(least >= similarity * (F.col("weight") + F.col("other_weight") - least) - 1e-9)
-    more = stored(more.union(enough.select(*_ordered_pair("vertex", "other"))).distinct().join(tested_more, ["a", "b"], "left_anti"))
-    tested = tested_more
-    if not more.isEmpty():
-        of = vertices.select("vertex", "samples")
-        more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
-        found = stored(_verified(more.where(_agreeing("sa", "sb") >= AGREE).select("a", "b"), texts, idf))
-        late = found.where(F.col("distance") <= reach).select("a", "b")
-        tested = tested.union(found.select("a", "b"))
-        if not late.isEmpty():
-            classes = _merged(classes, late)
-    return _rest(met, classes, tested, texts, idf, reach)
+    classes, tested = _more_leaders(met, classes, tested.select("a", "b"), texts, idf, reach)
+
+    # Members of one leader in buckets with several classes; those outside the leader's class look for others.
+    of = met.select("bucket", "vertex", "leader").join(classes, "vertex", "left").join(classes.withColumnsRenamed({"vertex": "leader", "class": "main"}), "leader", "left")
+    of = stored(of.select("bucket", "vertex", "leader", F.coalesce("class", "vertex").alias("class"), F.coalesce("main", "leader").alias("main")))
+    mixed_ = stored(of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("bucket"))
+    state = of.join(mixed_, "bucket", "left_semi").select("vertex", "leader", F.xxhash64("class").alias("class"), (F.col("class") != F.col("main")).alias("waits"))
+    state = stored(state.distinct())
+    if state.isEmpty():
+        return classes
+    measured = stored(_verified(state.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf, marked=True))
+    more = stored(_possible(state, measured, similarity).join(tested, ["a", "b"], "left_anti"))
+    of = vertices.select("vertex", "samples")
+    more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
+    late = stored(_verified(more.where(_agreeing("sa", "sb") >= AGREE).select("a", "b"), texts, idf).where(F.col("distance") <= reach).select("a", "b"))
+    return classes if late.isEmpty() else _merged(classes, late)
+
+
+def _possible(state: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members of one leader in different classes, one of which waits, that can be similar.
+
+    With c for what a member has in common with the leader, w and l for their weights and k = similarity / (1 + similarity),
+    two members have c1 + c2 - l in common and what their differences from the leader share, more and less of a shingle apart.
+    They are similar from k (w1 + w2) on, so their differences have to share k (w1 + w2) + l - c1 - c2. One that waits
+    is not similar to the leader, c1 < k (w1 + l): the other has to share k w2 + (1 - k) l - c2 at least, half of what it
+    differs by if it is as heavy as the leader, and the one that waits k (w1 + l) - c1. So differences are put in one order,
+    those that fewest members have last, and the first ones are left out as long as they are too few to be enough.
+    """
+    k = similarity / (1 + similarity)
+    one = ["common", F.col("wa").alias("weight"), F.col("wb").alias("lead"), "only_a", "only_b", "more_a", "more_b"]
+    other = ["common", "wb", "wa", "only_b", "only_a", "more_b", "more_a"]
+    sides = measured.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), *one).union(measured.select("b", "a", *other))
+    zipped = F.concat(
+        F.transform(F.arrays_zip("only_a", "more_a"), lambda x: F.struct(F.xxhash64("leader", F.lit(1), x["only_a"]).alias("mark"), x["more_a"].alias("more"))),
+        F.transform(F.arrays_zip("only_b", "more_b"), lambda x: F.struct(F.xxhash64("leader", F.lit(0), x["only_b"]).alias("mark"), x["more_b"].alias("more"))),
+    )
+    held = ["vertex", "leader", "class", "waits", "common", "weight", "lead"]
+    every = sides.join(state, ["vertex", "leader"]).select(*held, F.explode_outer(zipped).alias("d")).where("d IS NOT NULL").select(*held, "d.mark", "d.more")
+    often = every.groupBy("mark").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("waits").alias("w"))
+    often = stored(often.where("lo != hi AND w").select("mark", "n"))
+    so_far = Window.partitionBy("leader", "vertex").orderBy(F.desc("n"), "mark").rowsBetween(Window.unboundedPreceding, 0)
+    every = every.join(often, "mark").withColumn("most", F.sum("more").over(so_far))
+    near = lambda w: 1e-6 * w
+    asks = F.col("waits") & (F.col("most") >= k * (F.col("weight") + F.col("lead")) - F.col("common") - near(F.col("weight") + F.col("lead")))
+    told = F.col("most") >= k * F.col("weight") + (1 - k) * F.col("lead") - F.col("common") - near(F.col("weight") + F.col("lead"))
+    every = stored(every.select("mark", "vertex", "class", "common", "weight", "lead", "most", asks.alias("asks"), told.alias("told")).where("asks OR told"))
+    names = ["vertex", "class", "common", "weight", "most"]
+    others = every.where("told").select("mark", *[F.col(c).alias(f"other_{c}") for c in names])
+    both = F.col("common") + F.col("other_common")
+    least = k * (F.col("weight") + F.col("other_weight")) + F.col("lead") - both - near(F.col("weight") + F.col("other_weight") + F.col("lead"))
+    share = F.least(F.col("weight") - F.col("common"), F.col("other_weight") - F.col("other_common")) + F.col("lead") - F.greatest("common", "other_common")
+    hits = every.where("asks").join(others, "mark").where("class != other_class").where((F.least("most", "other_most") >= least) & (share >= least))
+    return hits.select(*_ordered_pair("vertex", "other_vertex")).distinct()
 
 
 def _more_leaders(met: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> tuple[DataFrame, DataFrame]:
@@ -397,34 +410,6 @@ def _more_leaders(met: DataFrame, classes: DataFrame, tested: DataFrame, texts:
     return classes, tested
 
 
-def _rest(met: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> DataFrame:
-    """The classes after members too unlike their bucket's leader have met the other members of the bucket.
-
-    Everybody leads once, in the round that a hash says; a pair meets when the
-    first of the two leads, unless it is in one class by then.
-    """
-    open_ = stored(met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("agree").alias("least")).where(F.col("n") > 1).where(F.col("least") < AGREE).select("bucket", "n"))
-    turn = (F.xxhash64("vertex", "bucket") / F.lit(2.0**64) + 0.5) * F.col("n")
-    members = stored(met.join(open_, "bucket").select("bucket", "vertex", "samples", (F.col("agree") < AGREE).alias("far"), turn.alias("turn")))
-    largest = open_.agg(F.max("n")).first()[0] or 0
-    start, stop = 0, 4
-    while start < largest:
-        of = members.join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
-        mixed_ = of.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("turn").alias("last"))
-        of = stored(of.join(mixed_.where("lo != hi").where(F.col("last") >= start).select("bucket"), "bucket", "left_semi"))
-        heads = of.where((F.col("turn") >= start) & (F.col("turn") < stop)).select(
-            "bucket", F.col("vertex").alias("head"), F.col("samples").alias("leads"), F.col("far").alias("head_far"), F.col("turn").alias("head_turn"), F.col("class").alias("head_class"))
-        first = (F.col("turn") > F.col("head_turn")) | ((F.col("turn") == F.col("head_turn")) & (F.col("vertex") > F.col("head")))
-        pairs = of.join(stored(heads), "bucket").where(first & (F.col("class") != F.col("head_class")) & (F.col("far") | F.col("head_far")))
-        pairs = pairs.where(_agreeing("samples", "leads") >= AGREE).select(*_ordered_pair("vertex", "head")).distinct()
-        found = stored(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf))
-        late = found.where(F.col("distance") <= reach).select("a", "b")
-        if not late.isEmpty():
-            classes = _merged(classes, late)
-        tested, start, stop = tested.union(found.select("a", "b")), stop, stop * 4
-    return classes
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows whose document stays, with all their columns."""
     kept = near_duplicates(docs).where("kept").select(*KEY).distinct()

@@ -116,6 +116,28 @@ def test_pairs_unlike_their_only_leader(spark, far):
     assert classes.pop(rows[0][0], rows[0][0]) == rows[0][0] and classes == {rows[1][0]: least, rows[2][0]: least}
 
 
+def test_members_that_differ_from_an_edited_leader_alike(spark, monkeypatch):
+    """Where the leader is an edited copy itself, all others share what it lost; only pairs that can be similar are compared."""
+    rng = random.Random(5)
+    base, rows = [f"v{i}" for i in range(160)], []
+    for _ in range(130):
+        copy = list(base)
+        for at in rng.sample(range(160), 4):
+            copy[at] = f"n{rng.randrange(10**9)}"
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows + [f"{rows[i]} tail" for i in (3, 50)]))
+    real, pairs = near_dedup._verified, []
+
+    def counted(found, *args, **more):
+        pairs.append(found.count())
+        return real(found, *args, **more)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    got = {r["__sm_doc"]: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)[0] and len(set(got.values())) > 100
+    assert sum(pairs) < 131 * 130 / 4
+
+
 def test_marks_count_excess(spark):
     """Shingles that both texts have more often than the leader are marks, all of them."""
     rows = [(b"a", " ".join(["x"] * 20)), (b"b", " ".join(["x"] * 9)), (b"c", " ".join(f"v{i}" for i in range(90)))]
@@ -125,6 +147,7 @@ def test_marks_count_excess(spark):
     got = {bytes(r.a): r for r in near_dedup._verified(pairs, texts, idf, marked=True).collect()}
     assert (len(got[b"a"].only_a), len(got[b"a"].only_b)) == (1, 0)
     assert (len(got[b"b"].only_a), len(got[b"b"].only_b)) == (1, 86)
+    assert got[b"a"].more_a == [11.0] and got[b"b"].more_a == [5.0] and got[b"b"].more_b == [1.0] * 86
 
 
 def test_filter_nulls_repeats_and_clashes(spark):
