@@ -177,13 +177,16 @@ def _bands() -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring("samples", 1 + i * size, size)) for i in range(BANDS)])
 
 
-def _buckets(every: DataFrame) -> DataFrame:
-    """(bucket, vertex, samples, turn) of buckets of two or more vertices; ``turn`` orders possible leaders."""
+def _buckets(every: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(bucket, vertex, samples, turn) of buckets of two or more vertices; ``turn`` orders possible leaders.
+
+    Most rows of ``every`` (bucket, vertex) are alone in their bucket, so the samples come to those that are left.
+    """
     crowded = stored(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     rows = stored(every.join(crowded, "bucket"))
-    reach = rows.groupBy("vertex").agg(F.sum("n").alias("n"))
+    reach = rows.groupBy("vertex").agg(F.sum("n").alias("n")).join(sampled, "vertex")
     turn = F.struct((-F.col("n")).alias("n"), F.xxhash64("vertex").alias("h")).alias("turn")
-    return stored(rows.drop("n").join(reach.select("vertex", turn), "vertex"))
+    return stored(rows.drop("n").join(reach.select("vertex", "samples", turn), "vertex"))
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -203,13 +206,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) ->
     """The pairs with the exact weighted Jaccard distance of their texts, common weight and weights.
 
     If ``marked``, also with the hashes of all shingles that one has more of than the other, and the weight of how much more.
+    Further columns of the pairs come last.
     """
-    pairs = stored(pairs.select("a", "b"))
+    further = [f for f in pairs.schema if f.name not in ("a", "b")]
+    more_names = [f.name for f in further]
+    pairs = stored(pairs.select("a", "b", *more_names))
     ends = stored(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct())
     if ends.count() <= FEW:  # few enough to be sent to the texts; more of them are worth a shuffle of all texts
         texts = texts.join(F.broadcast(ends), "vertex", "left_semi")
     joined = pairs.join(texts.withColumnsRenamed({"vertex": "a", "__sm_text": "ta"}), "a")
-    joined = joined.join(texts.withColumnsRenamed({"vertex": "b", "__sm_text": "tb"}), "b").select("a", "b", "ta", "tb")
+    joined = joined.join(texts.withColumnsRenamed({"vertex": "b", "__sm_text": "tb"}), "b").select("a", "b", "ta", "tb", *more_names)
 
     def sets(column: pa.Array) -> tuple[np.ndarray, ...]:
         row, found, weight = weighted(*shingles(*words(*buffers(column))), idf.value)
@@ -236,11 +242,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) ->
                             more[k].append(names[rest > 0].view(np.int64))
                             more[k + 2].append(rest[rest > 0])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, shape) for m, shape in zip(more, shapes, strict=True) if marked]],
-                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b", "more_a", "more_b"][: 10 if marked else 6],
+                    [part.column(0), part.column(1), *map(pa.array, found), *[pa.array(m, shape) for m, shape in zip(more, shapes, strict=True) if marked], *part.columns[4:]],
+                    names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b", "more_a", "more_b"][: 10 if marked else 6] + more_names,
                 )
 
-    return joined.mapInArrow(run, MARKED if marked else MEASURED)
+    return joined.mapInArrow(run, ", ".join([MARKED if marked else MEASURED, *[f"{f.name} {f.dataType.simpleString()}" for f in further]]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,23 +320,31 @@ def _ordered_pair(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _likely(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough samples to be similar."""
+    found = pairs.join(sampled.toDF("a", "sa"), "a").join(sampled.toDF("b", "sb"), "b")
+    return found.where(_agreeing("sa", "sb") >= AGREE).select("a", "b")
+
+
 def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> DataFrame:
     """(vertex, class) for every vertex with a link."""
     reach = 1 - similarity + 1e-9
-    buckets = _buckets(vertices.select("vertex", "samples", F.explode(_bands()).alias("bucket")))
-    crowd = vertices.select("vertex", "k.*").join(buckets.select("vertex").distinct(), "vertex")
-    texts = stored(base.join(crowd, KEY).select("vertex", "__sm_text").dropDuplicates(["vertex"]))
+    buckets = _buckets(vertices.select("vertex", F.explode(_bands()).alias("bucket")), vertices.select("vertex", "samples"))
+    crowd = stored(vertices.select("vertex", "k.*", "samples").join(buckets.select("vertex").distinct(), "vertex"))
+    sampled = crowd.select("vertex", "samples")
+    # A vertex has one key, so rows that repeat it are together already.
+    texts = stored(base.join(crowd.drop("samples"), KEY).dropDuplicates([*KEY, "vertex"]).select("vertex", "__sm_text"))
     met = stored(_led(buckets))
     # Those unlike their leader: once more, in buckets of two bands. Of two that are similar, one being too unlike
     # the leader to be tested, the other is not much more like it; so the bound here is higher than AGREE.
     unlike = met.where(F.col("agree") < UNLIKE).select("vertex", "samples", "bucket")
-    again = unlike.select("vertex", "samples", F.explode(F.transform(_bands(), lambda band: F.when(band != F.col("bucket"), F.xxhash64(F.least(band, "bucket"), F.greatest(band, "bucket"))))).alias("bucket"))
-    met_again = _led(_buckets(again.where("bucket IS NOT NULL").distinct()))
+    again = unlike.select("vertex", F.explode(F.transform(_bands(), lambda band: F.when(band != F.col("bucket"), F.xxhash64(F.least(band, "bucket"), F.greatest(band, "bucket"))))).alias("bucket"))
+    met_again = _led(_buckets(again.where("bucket IS NOT NULL").distinct(), sampled))
     pairs = stored(met.select("vertex", "leader", "agree").union(met_again.select("vertex", "leader", "agree")).where(F.col("agree") >= AGREE).select("vertex", "leader").distinct())
     tested = stored(_verified(pairs.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf))
     links = tested.where(F.col("distance") <= reach).select("a", "b")
     classes = components(links)
-    classes, tested = _more_leaders(met, classes, tested.select("a", "b"), texts, idf, reach)
+    classes, tested = _more_leaders(met, sampled, classes, tested.select("a", "b"), texts, idf, reach)
 
     # Members of one leader in buckets with several classes; those outside the leader's class look for others.
     of = met.select("bucket", "vertex", "leader").join(classes, "vertex", "left").join(classes.withColumnsRenamed({"vertex": "leader", "class": "main"}), "leader", "left")
@@ -340,16 +354,15 @@ def _classes(vertices: DataFrame, base: DataFrame, idf, similarity: float) -> Da
     state = stored(state.distinct())
     if state.isEmpty():
         return classes
-    measured = stored(_verified(state.select(*_ordered_pair("vertex", "leader")).distinct(), texts, idf, marked=True))
-    more = stored(_possible(state, measured, similarity).join(tested, ["a", "b"], "left_anti"))
-    of = vertices.select("vertex", "samples")
-    more = more.join(of.withColumnsRenamed({"vertex": "a", "samples": "sa"}), "a").join(of.withColumnsRenamed({"vertex": "b", "samples": "sb"}), "b")
-    late = stored(_verified(more.where(_agreeing("sa", "sb") >= AGREE).select("a", "b"), texts, idf).where(F.col("distance") <= reach).select("a", "b"))
+    # Leaders are in one order over all buckets, so no pair of state comes the other way round too.
+    measured = stored(_verified(state.withColumnsRenamed({"vertex": "a", "leader": "b"}), texts, idf, marked=True))
+    more = stored(_possible(measured, similarity).join(tested, ["a", "b"], "left_anti"))
+    late = stored(_verified(_likely(more, sampled), texts, idf).where(F.col("distance") <= reach).select("a", "b"))
     return classes if late.isEmpty() else _merged(classes, late)
 
 
-def _possible(state: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of members of one leader in different classes, one of which waits, that can be similar.
+def _possible(measured: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of members (a) of one leader (b) in different classes, one of which waits, that can be similar.
 
     With c for what a member has in common with the leader, w and l for their weights and k = similarity / (1 + similarity),
     two members have c1 + c2 - l in common and what their differences from the leader share, more and less of a shingle apart.
@@ -359,19 +372,19 @@ def _possible(state: DataFrame, measured: DataFrame, similarity: float) -> DataF
     those that fewest members have last, and the first ones are left out as long as they are too few to be enough.
     """
     k = similarity / (1 + similarity)
-    one = ["common", F.col("wa").alias("weight"), F.col("wb").alias("lead"), "only_a", "only_b", "more_a", "more_b"]
-    other = ["common", "wb", "wa", "only_b", "only_a", "more_b", "more_a"]
-    sides = measured.select(F.col("a").alias("vertex"), F.col("b").alias("leader"), *one).union(measured.select("b", "a", *other))
     zipped = F.concat(
         F.transform(F.arrays_zip("only_a", "more_a"), lambda x: F.struct(F.xxhash64("leader", F.lit(1), x["only_a"]).alias("mark"), x["more_a"].alias("more"))),
         F.transform(F.arrays_zip("only_b", "more_b"), lambda x: F.struct(F.xxhash64("leader", F.lit(0), x["only_b"]).alias("mark"), x["more_b"].alias("more"))),
     )
-    held = ["vertex", "leader", "class", "waits", "common", "weight", "lead"]
-    every = sides.join(state, ["vertex", "leader"]).select(*held, F.explode_outer(zipped).alias("d")).where("d IS NOT NULL").select(*held, "d.mark", "d.more")
+    # A member of a leader is one number while its differences, hundreds of them, are dealt by mark and back.
+    who = F.xxhash64("vertex", "leader").alias("who")
+    measured = measured.withColumnsRenamed({"a": "vertex", "b": "leader", "wa": "weight", "wb": "lead"})
+    members = measured.select(who, "vertex", "class", "waits", "common", "weight", "lead")
+    every = measured.select(who, "class", "waits", F.explode(zipped).alias("d")).select("who", "class", "waits", "d.mark", "d.more")
     often = every.groupBy("mark").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("waits").alias("w"))
     often = stored(often.where("lo != hi AND w").select("mark", "n"))
-    so_far = Window.partitionBy("leader", "vertex").orderBy(F.desc("n"), "mark").rowsBetween(Window.unboundedPreceding, 0)
-    every = every.join(often, "mark").withColumn("most", F.sum("more").over(so_far))
+    so_far = Window.partitionBy("who").orderBy(F.desc("n"), "mark").rowsBetween(Window.unboundedPreceding, 0)
+    every = every.select("who", "mark", "more").join(often, "mark").withColumn("most", F.sum("more").over(so_far)).select("who", "mark", "most").join(members, "who")
     near = lambda w: 1e-6 * w
     asks = F.col("waits") & (F.col("most") >= k * (F.col("weight") + F.col("lead")) - F.col("common") - near(F.col("weight") + F.col("lead")))
     told = F.col("most") >= k * F.col("weight") + (1 - k) * F.col("lead") - F.col("common") - near(F.col("weight") + F.col("lead"))
@@ -385,7 +398,7 @@ def _possible(state: DataFrame, measured: DataFrame, similarity: float) -> DataF
     return hits.select(*_ordered_pair("vertex", "other_vertex")).distinct()
 
 
-def _more_leaders(met: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> tuple[DataFrame, DataFrame]:
+def _more_leaders(met: DataFrame, sampled: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, idf, reach: float) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs tested) after members outside their leader's class have met further members of that class, one a round.
 
     In a group of edited copies most pairs are similar, so a member that is just too unlike the leader is linked to
@@ -394,15 +407,16 @@ def _more_leaders(met: DataFrame, classes: DataFrame, tested: DataFrame, texts:
     """
     for turn in range(LEADERS):
         heads = classes.withColumnsRenamed({"vertex": "leader", "class": "main"})
-        of = met.join(classes, "vertex", "left").join(heads, "leader", "left").withColumns({"class": F.coalesce("class", "vertex"), "main": F.coalesce("main", "leader")})
-        waiting = stored(of.where("class != main").select("bucket", "vertex", "samples"))
+        of = met.select("bucket", "vertex", "leader").join(classes, "vertex", "left").join(heads, "leader", "left")
+        of = stored(of.select("bucket", "vertex", (F.coalesce("class", "vertex") != F.coalesce("main", "leader")).alias("waits")))
+        waiting = of.where("waits").select("bucket", "vertex")
         if waiting.isEmpty():
             break
-        first = F.min(F.struct(F.xxhash64("vertex", F.lit(turn)).alias("h"), F.col("vertex").alias("head"), F.col("samples").alias("leads"))).alias("f")
+        first = F.min(F.struct(F.xxhash64("vertex", F.lit(turn)).alias("h"), F.col("vertex").alias("head"))).alias("f")
         crowded = waiting.select("bucket").distinct()
-        heads = stored(of.where("class = main").join(crowded, "bucket", "left_semi").groupBy("bucket").agg(first).select("bucket", "f.head", "f.leads"))
-        pairs = waiting.join(heads, "bucket").where(_agreeing("samples", "leads") >= AGREE).select(*_ordered_pair("vertex", "head")).distinct()
-        found = stored(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, idf))
+        heads = of.where("NOT waits").join(crowded, "bucket", "left_semi").groupBy("bucket").agg(first).select("bucket", "f.head")
+        pairs = waiting.join(heads, "bucket").select(*_ordered_pair("vertex", "head")).distinct()
+        found = stored(_verified(_likely(pairs.join(tested, ["a", "b"], "left_anti"), sampled), texts, idf))
         tested = tested.union(found.select("a", "b"))
         late = found.where(F.col("distance") <= reach).select("a", "b")
         if not late.isEmpty():

@@ -138,6 +138,37 @@ def test_members_that_differ_from_an_edited_leader_alike(spark, monkeypatch):
     assert sum(pairs) < 131 * 130 / 4
 
 
+def test_rows_dealt_by_bucket_or_mark_are_narrow(spark, monkeypatch):
+    """The many rows of which most are alone under their bucket or mark carry neither samples nor what is known of a member."""
+    rng = random.Random(6)
+    base, rows = [f"v{i}" for i in range(160)], []
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.sample(range(160), 4):
+            copy[at] = f"n{rng.randrange(10**9)}"
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows + [f"{rows[i]} tail" for i in (3, 20)]))
+    real, columns, by_mark = near_dedup.stored, [], []
+
+    def kept(df):
+        columns.append(set(df.columns))
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        by_mark.extend("".join(lines[i : i + 4]) for i, line in enumerate(lines) if "Exchange hashpartitioning(mark#" in line)
+        return real(df)
+
+    monkeypatch.setattr(near_dedup, "stored", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["__sm_doc"]: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(rows)[0]
+    assert not any(x >= {"bucket", "n", "samples"} for x in columns)
+    counted = [x for x in by_mark if "more#" in x]
+    assert counted and not any("common#" in x for x in counted)
+
+
 def test_marks_count_excess(spark):
     """Shingles that both texts have more often than the leader are marks, all of them."""
     rows = [(b"a", " ".join(["x"] * 20)), (b"b", " ".join(["x"] * 9)), (b"c", " ".join(f"v{i}" for i in range(90)))]
