@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import buffers, slices, small_batches, table
+from shelfmark.llm.common import buffers, frugal, kept_for, slices, small_batches, table
 from shelfmark.llm.registry import query
 
 # Fixed value: the word pattern of byte-level BPE, with white space spelled out.
@@ -203,16 +203,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_LOADED: dict[int, Tokenizer] = {}
-
-
 def _mine(shared) -> Tokenizer:
     """The process's own prepared tables, kept between tasks."""
-    key = shared.value[0]
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = shared.value[1].prepare()
-    return _LOADED[key]
+    key, loaded = shared.value[0], kept_for("bpe")
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = shared.value[1].prepare()
+    return loaded[key]
 
 
 def _shared(spark: SparkSession, path: str | None):
@@ -245,7 +242,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
                 flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(cuts), flat)], names=[*rest, ids_col])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal("bpe", run), schema)
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
@@ -270,7 +267,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", path: str | None = None, tex
                     texts.append(found.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal("bpe", run), schema)
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

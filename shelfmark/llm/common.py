@@ -9,8 +9,10 @@ only the columns they name, so further columns of any name do no harm.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from shelfmark.session import ensure_checkpoint_dir
 
 KEY = ["__sm_id", "__sm_h"]
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -92,6 +95,39 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(BATCH_CONF, str(most))
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What this process keeps between tasks of one operator; what it has kept for another operator goes.
+
+    Spark uses a worker again for the stages that follow, whose memory the tables of an operator before would add to.
+    """
+    others = [name for name in _KEPT if name != operator]
+    for name in others:
+        del _KEPT[name]
+    if others:
+        gc.collect()
+    return _KEPT.setdefault(operator, {})
+
+
+def frugal(operator: str, run: Task) -> Task:
+    """``run`` for the tasks of an operator, in a worker that holds no other operator's tables and gives back what it has freed.
+
+    Idle workers stay beside the stages that follow, and allocators would keep a task's freed arrays for them.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for(operator)
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each; a longer row is a range of its own."""
     start, rows = 0, len(offsets) - 1

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import KEY, buffers, keyed, parts, row_key, slices, stored, table
+from shelfmark.llm.common import KEY, buffers, frugal, keyed, parts, row_key, slices, small_batches, stored, table
 from shelfmark.llm.registry import query
 from shelfmark.llm.words import mixed, words
 
@@ -134,7 +134,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["at", "cells"])
 
     shape = "at int, cells binary"
-    partial = docs.select(F.coalesce("__sm_text", F.lit(""))).mapInArrow(count, shape)
+    partial = docs.select(F.coalesce("__sm_text", F.lit(""))).mapInArrow(frugal("near_dedup", count), shape)
     summed = partial.repartition(RANGES, "at").mapInArrow(add, shape)
     found = {r["at"]: np.frombuffer(bytes(r.cells), np.int64) for r in summed.collect()}
     if not found:
@@ -169,7 +169,7 @@ def _sketches(base: DataFrame, idf) -> DataFrame:
                     names=[*KEY, "vertex", "samples"],
                 )
 
-    return base.mapInArrow(run, shape)
+    return base.mapInArrow(frugal("near_dedup", run), shape)
 
 
 def _bands() -> Column:
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, marked: bool = False) ->
                     names=["a", "b", "distance", "common", "wa", "wb", "only_a", "only_b", "more_a", "more_b"][: 10 if marked else 6] + more_names,
                 )
 
-    return joined.mapInArrow(run, ", ".join([MARKED if marked else MEASURED, *[f"{f.name} {f.dataType.simpleString()}" for f in further]]))
+    return joined.mapInArrow(frugal("near_dedup", run), ", ".join([MARKED if marked else MEASURED, *[f"{f.name} {f.dataType.simpleString()}" for f in further]]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,6 +291,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     base = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
+    small_batches(spark)
     idf = spark.sparkContext.broadcast(document_frequencies(base))
     sketches = stored(_sketches(base, idf))
     named = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("__sm_doc"))

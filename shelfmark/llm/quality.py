@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import buffers, drawn, slices, table
+from shelfmark.llm.common import buffers, drawn, frugal, slices, small_batches, table
 from shelfmark.llm.registry import query
 from shelfmark.llm.words import words
 
@@ -264,6 +264,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
     # At most labelled + unlabelled rows of three numbers.
     source = docs.select("doc_id", *_columns(docs)).join(F.broadcast(picked), "doc_id").select("doc_id", *TARGETS, "__sm_text", "__sm_lang", "__sm_source", "__sm_chars")
     shape = "doc_id long, quality int, toxic int, content binary, meta binary"
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +279,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
                     packed.append(pa.array([sorted_dims[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], names=["doc_id", *TARGETS, "content", "meta"])
 
-    found = sorted(source.mapInArrow(run, shape).collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.doc_id, bytes(r.content)))
+    found = sorted(source.mapInArrow(frugal("quality", run), shape).collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.doc_id, bytes(r.content)))
     both = []
     for name in ("content", "meta"):
         dims = [np.frombuffer(r[name], np.int32) for r in found]
@@ -299,6 +300,7 @@ def score(docs: DataFrame, models: dict[str, Model], columns: list[str] | None =
     keep = len(names)
     schema = source.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("quality_score"), F.lit(0.0).alias("toxic_score"), F.lit(True).alias("accepted")).schema
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +313,7 @@ def score(docs: DataFrame, models: dict[str, Model], columns: list[str] | None =
                 accepted = (good >= 0.5) & (toxic < 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], pa.array(good), pa.array(toxic), pa.array(accepted)], names=[*names, "quality_score", "toxic_score", "accepted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal("quality", run), schema)
 
 
 @query("op6_quality_classifier")

@@ -1,9 +1,12 @@
 """Helpers of the corpus operators."""
 
+import weakref
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from shelfmark.llm import common
 from shelfmark.llm.common import buffers, drawn, slices
 
 
@@ -29,3 +32,17 @@ def test_slices_cover_all_rows_once():
     offsets = np.cumsum([0, 5, 0, 100, 1, 1, 1, 50])
     got = list(slices(offsets, 10))
     assert [a for a, _ in got][1:] == [b for _, b in got][:-1] and got[0][0] == 0 and got[-1][1] == 7
+
+
+def test_tables_kept_for_another_operator_go():
+    """A worker that encoded with BPE keeps its tables for BPE only, and tasks of the stages that follow let them go."""
+
+    class Tables:
+        pass
+
+    common.kept_for("bpe")["file"] = made = Tables()
+    gone = weakref.ref(made)
+    del made
+    assert common.kept_for("bpe")["file"] is gone()
+    assert common.kept_for("near_dedup") == {} and gone() is None
+    assert common.kept_for("bpe") == {}
